@@ -2,10 +2,12 @@
 
 from .chat import OP1_SQL, op1_chat
 from .mixing import op7_mixing
+from .simhash import op10_simhash
 
 QUERIES = {
     "op1_chat": op1_chat,
     "op7_mixing": op7_mixing,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL = {

@@ -17,7 +17,12 @@ STEP_BYTES = 1 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows in an Arrow batch: the default of 10,000 rows of long texts is more than a small Python worker should hold.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
