@@ -3,10 +3,12 @@
 from .chat import OP1_SQL, op1_chat
 from .mixing import op7_mixing
 from .simhash import op10_simhash
+from .syncmers import op9_syncmers
 
 QUERIES = {
     "op1_chat": op1_chat,
     "op7_mixing": op7_mixing,
+    "op9_syncmers": op9_syncmers,
     "op10_simhash": op10_simhash,
 }
 
