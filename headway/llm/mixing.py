@@ -30,7 +30,7 @@ SEED = 17
 #: Words that the dynamic program fits exactly; before it, whole documents of the longest lengths fill what exceeds this.
 FIT_WORDS = 1 << 16
 #: Documents of one source and length in a hash bucket, on average.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 #: Sources are one row each on the driver; more than this many is an error.
 MAX_SOURCES = 1_000_000
 
