@@ -4,9 +4,11 @@ from .chat import OP1_SQL, op1_chat
 from .mixing import op7_mixing
 from .simhash import op10_simhash
 from .syncmers import op9_syncmers
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
     "op9_syncmers": op9_syncmers,
     "op10_simhash": op10_simhash,
