@@ -2,12 +2,14 @@
 
 from .chat import OP1_SQL, op1_chat
 from .mixing import op7_mixing
+from .pii import op4_pii
 from .simhash import op10_simhash
 from .syncmers import op9_syncmers
 from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
     "op9_syncmers": op9_syncmers,
