@@ -1,6 +1,7 @@
 """Registered queries of the training-data operators and the SQL of those that SQL can express."""
 
 from .chat import OP1_SQL, op1_chat
+from .decontaminate import op3_decontaminate
 from .mixing import op7_mixing
 from .pii import op4_pii
 from .simhash import op10_simhash
@@ -9,6 +10,7 @@ from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
