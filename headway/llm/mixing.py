@@ -168,6 +168,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", weights=WEIGHTS, share:
     return ranked.select(*cols).unionByName(alike.select(*cols))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that the mix takes, with `size`, `source_size`, `target` and `copies` (these names are replaced where docs has them).
+
+    Rows of one id and equal sizes are taken alike.
+    """
+    new = ["size", "source_size", "target", "copies"]
+    plan = mix_sources(docs, id_col, **how).filter("copies > 0").groupBy(F.col(id_col).alias("_id"), "size").agg(*[F.max(c).alias(c) for c in new[1:]])
+    left = docs.drop(*new).withColumn("_size", words_in(F.col(text_col)))
+    return left.join(plan, left[id_col].eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size"))).drop("_id", "_size")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

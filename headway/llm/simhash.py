@@ -71,16 +71,16 @@ def simhash(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, seed: int
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(id, fp long) of every row of docs; null text counts as empty, and a text without words has fingerprint 0."""
+    """(id, h, fp long) of every row of docs, h being XXH64 of the text; null text counts as empty, and a text without words has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [simhash(data, offsets, words, seed) for _, _, data, offsets in steps(batch.column(1))]
+            found = [simhash(data, offsets, words, seed) for _, _, data, offsets in steps(batch.column(2))]
             fp = np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["id", "h", "fp"])
 
-    chosen = docs.select(F.col(id_col).alias("id"), text_of().alias("text"))
-    return chosen.mapInArrow(run, T.StructType([T.StructField("id", chosen.schema["id"].dataType), T.StructField("fp", T.LongType())]))
+    chosen = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
+    return chosen.mapInArrow(run, T.StructType([chosen.schema["id"], T.StructField("h", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 class BKTree:
@@ -239,7 +239,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component): every row's fingerprint and the least id among the rows that its links reach.
+    """(id, h, fp, component): every row's fingerprint and the least id among the rows that its links reach.
 
     A row with a null id is linked like any other, but a null is never the least
     id unless its component has no other.  Repeated rows share a fingerprint.
@@ -251,7 +251,25 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS)
     named = materialize(named, "named")
     smallest = named.groupBy("label").agg(F.min("least_id").alias("component"))
     table = named.select("fp", "label").join(smallest, "label").select("fp", "component")
-    return fps.join(table, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    return fps.join(table, "fp").select(F.col("id").alias(id_col), "h", "fp", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """docs with one document of each component, the one of least id, and of repeated rows of it one.
+
+    A row with a null id goes if its component has a row with an id, and stays
+    otherwise.
+    """
+    found = materialize(simhash_dedup(docs, id_col, radius).select(F.col(id_col).alias("_id"), F.col("h").alias("_h"), "component"), "found")
+    match = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_h"))
+    gone = found.filter(~F.col("_id").eqNullSafe(F.col("component"))).select("_id", "_h").distinct()
+    kept = docs.join(gone, match, "left_anti")
+    again = found.filter(F.col("_id") == F.col("component")).groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.first("_h").alias("_h")).filter("n > 1")
+    if again.isEmpty():
+        return kept
+    again = materialize(again.select(F.col("_id").alias("_again")), "again")
+    several = docs[id_col] == F.col("_again")
+    return kept.join(again, several, "left_anti").unionByName(kept.join(again, several, "left_semi").dropDuplicates([id_col]))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
