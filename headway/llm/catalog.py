@@ -4,6 +4,7 @@ from .chat import OP1_SQL, op1_chat
 from .decontaminate import op3_decontaminate
 from .mixing import op7_mixing
 from .pii import op4_pii
+from .quality import op8_quality
 from .simhash import op10_simhash
 from .syncmers import op9_syncmers
 from .toxicity import op5_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
     "op9_syncmers": op9_syncmers,
     "op10_simhash": op10_simhash,
 }
