@@ -2,6 +2,7 @@
 
 from .chat import OP1_SQL, op1_chat
 from .decontaminate import op3_decontaminate
+from .licenses import op2_licenses
 from .mixing import op7_mixing
 from .pii import op4_pii
 from .quality import op8_quality
@@ -11,6 +12,7 @@ from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_licenses": op2_licenses,
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
