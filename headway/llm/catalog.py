@@ -7,6 +7,7 @@ from .mixing import op7_mixing
 from .pii import op4_pii
 from .quality import op8_quality
 from .simhash import op10_simhash
+from .suffixes import op6_suffixes
 from .syncmers import op9_syncmers
 from .toxicity import op5_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
+    "op6_suffixes": op6_suffixes,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_syncmers": op9_syncmers,
