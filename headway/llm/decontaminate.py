@@ -155,11 +155,11 @@ def search(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", tex
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark passages, and which."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = search(docs, read(spark, sf_dir, "benchmark"))
+    found = search(docs, read(spark, sf_dir, "benchmark")).filter(F.size("overlaps") > 0)
     return found.select(
         "doc_id",
-        (F.size("overlaps") > 0).alias("contaminated"),
         F.size("overlaps").cast("long").alias("n_items"),
         F.array_join(F.sort_array(F.transform("overlaps", lambda o: o["item"])), ",").alias("items"),
         F.coalesce(F.array_max(F.transform("overlaps", lambda o: o["tokens"])), F.lit(0)).cast("long").alias("longest"),
