@@ -1,4 +1,6 @@
 """Registered transit queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from headway.plans.oracle import ORACLE_SQL
+from headway.plans.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
