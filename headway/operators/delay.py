@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headway.operators.quantiles import quantile_at
+from headway.functions.scalars import HI, LO, channel, ms, quantile_at
 from headway.sources.fixes import by_vehicle
 
 ALPHA = 0.2
-LO, HI = 12, 86
 #: Terms of the smoothing that are kept; what an earlier one would weigh is under 1e-12.
 TERMS = 125
 
@@ -27,16 +26,6 @@ def ema(series: DataFrame, alpha: float = ALPHA, value: str = "raw_pct", name: s
     return out.withColumn(name, F.round(folded, 6)).drop("_xs")
 
 
-def channel(pct: Column, lo: float = LO, hi: float = HI) -> Column:
-    """anomaly_high over the zone, anomaly_low under it, micro inside, edges included."""
-    return F.when(pct > hi, "anomaly_high").when(pct < lo, "anomaly_low").otherwise("micro")
-
-
-def ms(x: Column) -> Column:
-    """Seconds as whole milliseconds, so that running sums are exact."""
-    return F.round(x * 1000).cast("bigint")
-
-
 def delays(live: DataFrame, lo: float = LO, hi: float = HI, gate_on: str = "raw_pct") -> DataFrame:
     """live (with x, q, raw_pct, ema_pct) with channel, each fix's anomaly_ms and micro_ms, and their running sums.
 

@@ -5,9 +5,10 @@ All of it works on one partitioning by vehicle, so Spark shuffles once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headway.functions.scalars import mse
 from headway.sources.fixes import by_vehicle
 
 LENGTH = 12
@@ -56,12 +57,6 @@ def sequence_windows(series: DataFrame, length: int = LENGTH, value: str = "spee
     return out if stride == 1 else out.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") - 1) % stride == 0).drop("_n")
 
 
-def mse(actual: Column, recon: Column) -> Column:
-    """Mean squared error of two arrays of one length."""
-    total = F.aggregate(F.zip_with(actual, recon, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return total / F.size(actual)
-
-
 def persistence_mse(windows: DataFrame) -> DataFrame:
     """windows with `mse`, the error of the reconstruction that repeats the previous value."""
     n = F.size("xs")

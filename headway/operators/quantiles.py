@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from headway.functions.scalars import percentile_of
+
 SEGMENT = ("route_id", "seg_seq")
 
 
@@ -24,21 +26,6 @@ def segment_baseline(samples: DataFrame, keys: tuple[str, ...] = SEGMENT, value:
     return out.select(*keys, "n", *[F.element_at("q", i + 1).alias(f"p{i}") for i in (10, 50, 90)], "q")
 
 
-def quantile_at(q: Column, pct: Column) -> Column:
-    """The value at a percentile (0 to 100) of a vector of 101 quantiles, linear between them."""
-    i = F.least(F.floor(pct), F.lit(99)).cast("int")
-    low, high = F.get(q, i), F.get(q, i + 1)
-    return low + (pct - i) * (high - low)
-
-
-def percentile_of(q: Column, x: Column, n: Column) -> Column:
-    """The percentile of x, n being the number of quantiles not over it: 0 under the least, 100 from the greatest on, else linear within its bin."""
-    i = F.least(F.greatest(n - 1, F.lit(0)), F.lit(99))
-    low, high = F.get(q, i), F.get(q, i + 1)
-    inside = i + (x - low) / F.when(high > low, high - low)
-    return F.when(n == 0, 0.0).when(n > 100, 100.0).otherwise(inside)
-
-
 def raw_pct(live: DataFrame, baseline: DataFrame, keys: tuple[str, ...] = SEGMENT) -> DataFrame:
     """live with its segment's quantiles and `raw_pct`; samples of segments without a baseline go.
 

@@ -6,14 +6,12 @@ empirical against the normal quantiles keeps within a tolerance.
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from headway.functions.scalars import Z
+
 TOL_INFLECTION, TOL_CURVATURE = 1.0, 2.0
-#: Standard normal quantiles of 1 to 99 percent.
-Z = [round(NormalDist().inv_cdf(i / 100), 9) for i in range(1, 100)]
 
 
 def qq_points(samples: DataFrame, by: str = "route_id", value: str = "x") -> DataFrame:

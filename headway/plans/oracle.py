@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from headway.operators.safezone import Z
+from headway.functions.scalars import Z
 
 _z = ", ".join(f"({i}, {z!r}::DOUBLE)" for i, z in enumerate(Z, 1))
 _levels = "[" + ", ".join(str(i / 100) for i in range(101)) + "]"

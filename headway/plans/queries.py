@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.operators import delay, prep, quantiles, recovery, safezone, stops
+from headway.functions.scalars import channel
+from headway.operators import anomaly, delay, prep, quantiles, recovery, safezone, stops
 from headway.sources import fixes as src
+from headway.streaming import agent
 
 ROUTE = "click"
 SPACING = 50_000
@@ -64,16 +66,12 @@ def q_mse_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_outlier_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from headway.operators import anomaly
-
     scored = persistence(spark, sf_dir)
     kept = anomaly.reject(base(spark, sf_dir), scored, anomaly.threshold(scored.filter("history"), REJECT))
     return kept.select("vehicle_id", "fix_id", "speed_kmh")
 
 
 def q_ae_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from headway.operators import anomaly
-
     xs = windows(spark, sf_dir)
     model = anomaly.fit_autoencoder(xs.filter("history"))
     return anomaly.reconstruction_mse(xs.filter("not history"), model).select("vehicle_id", F.col("fix_id").alias("end_fix_id"), "mse")
@@ -143,7 +141,7 @@ def q_raw_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("vehicle_id", "fix_id", delay.channel(F.col("raw_pct")).alias("channel"))
+    return scored(spark, sf_dir).select("vehicle_id", "fix_id", channel(F.col("raw_pct")).alias("channel"))
 
 
 def q_ema_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,15 +215,11 @@ def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_agent_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming agent run over the live fixes to their end; rows as q_agent_state."""
-    from headway.streaming import agent
-
     return agent.run_to_end(spark, sf_dir, baseline(spark, sf_dir))
 
 
 def q_eta_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrival estimates that the stream published to its sink."""
-    from headway.streaming import agent
-
     return agent.publish_eta(spark, sf_dir, baseline(spark, sf_dir), stop_stats(spark, sf_dir))
 
 

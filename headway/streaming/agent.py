@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from headway.functions.scalars import HI, LO
 from headway.operators import delay, quantiles, recovery, stops
 from headway.sources import fixes as src
 
@@ -34,7 +35,7 @@ def half_up(x: float, places: int) -> float:
 class BusAgent(StatefulProcessor):
     """Folds a vehicle's new fixes, in order of time, into its state, and emits the state after each micro-batch."""
 
-    def __init__(self, lo: int = delay.LO, hi: int = delay.HI, alpha: float = delay.ALPHA, enter: float = stops.ENTER, exit_: float = stops.EXIT):
+    def __init__(self, lo: int = LO, hi: int = HI, alpha: float = delay.ALPHA, enter: float = stops.ENTER, exit_: float = stops.EXIT):
         self.lo, self.hi, self.alpha, self.enter, self.exit_ = lo, hi, alpha, enter, exit_
 
     def init(self, handle: StatefulProcessorHandle) -> None:

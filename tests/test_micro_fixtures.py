@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from headway.functions import scalars
 from headway.operators import delay, prep, quantiles, recovery, safezone, stops
 from headway.sources import fixes as src
 
@@ -72,7 +73,7 @@ def test_long_ema_equals_the_recursion(spark):
 
 def test_channel_edges(spark):
     rows = spark.createDataFrame([(11.9,), (12.0,), (86.0,), (86.1,)], "p double")
-    assert [r[0] for r in rows.select(delay.channel(F.col("p"))).collect()] == ["anomaly_low", "micro", "micro", "anomaly_high"]
+    assert [r[0] for r in rows.select(scalars.channel(F.col("p"))).collect()] == ["anomaly_low", "micro", "micro", "anomaly_high"]
 
 
 def test_percentile_lookup(spark):
@@ -80,7 +81,7 @@ def test_percentile_lookup(spark):
     base = spark.createDataFrame([("r", 1, [float(i) for i in range(101)])], "route_id string, seg_seq int, q array<double>")
     got = {r["x"]: r["raw_pct"] for r in quantiles.raw_pct(live, base).collect()}
     assert got == {-1.0: 0.0, 37.5: 37.5, 100.0: 100.0, 0.0: 0.0}
-    at = base.select(*[quantiles.quantile_at(F.col("q"), F.lit(p)) for p in (0.0, 37.5, 100.0)]).first()
+    at = base.select(*[scalars.quantile_at(F.col("q"), F.lit(p)) for p in (0.0, 37.5, 100.0)]).first()
     assert tuple(at) == (0.0, 37.5, 100.0)
 
 
