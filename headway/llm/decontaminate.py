@@ -154,6 +154,24 @@ def search(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", tex
     return out
 
 
+def without_passages(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of docs that hold no verified benchmark passage, all columns as they are."""
+    out, place = docs, docs.columns.index(text_col)
+    for block in blocks(benchmark, item_col, limit):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block, hasher = shared.value, Hasher()
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for i, _, data, offsets in steps(batch.column(place)):
+                    clean[[i + r for r, _, _ in block.overlaps(*tokens(hasher, data, offsets))]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, out.schema)
+    return out
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold benchmark passages, and which."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

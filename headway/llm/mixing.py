@@ -174,9 +174,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
     Rows of one id and equal sizes are taken alike.
     """
     new = ["size", "source_size", "target", "copies"]
-    plan = mix_sources(docs, id_col, **how).filter("copies > 0").groupBy(F.col(id_col).alias("_id"), "size").agg(*[F.max(c).alias(c) for c in new[1:]])
-    left = docs.drop(*new).withColumn("_size", words_in(F.col(text_col)))
-    return left.join(plan, left[id_col].eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size"))).drop("_id", "_size")
+    plan = mix_sources(docs, id_col, **how).filter("copies > 0").groupBy(F.col(id_col).alias("id"), "size").agg(*[F.max(c).alias(c) for c in new[1:]])
+    left = docs.drop(*new)
+    both = left.join(plan, left[id_col].eqNullSafe(plan["id"]) & (words_in(left[text_col]) == plan["size"]))
+    return both.select(*[left[c] for c in left.columns], *[plan[c] for c in new])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,15 +260,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A row with a null id goes if its component has a row with an id, and stays
     otherwise.
     """
-    found = materialize(simhash_dedup(docs, id_col, radius).select(F.col(id_col).alias("_id"), F.col("h").alias("_h"), "component"), "found")
-    match = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_h"))
-    gone = found.filter(~F.col("_id").eqNullSafe(F.col("component"))).select("_id", "_h").distinct()
-    kept = docs.join(gone, match, "left_anti")
-    again = found.filter(F.col("_id") == F.col("component")).groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.first("_h").alias("_h")).filter("n > 1")
+    found = materialize(simhash_dedup(docs, id_col, radius).select(F.col(id_col).alias("id"), "h", "component"), "found")
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("component"))).select("id", "h").distinct()
+    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["id"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == gone["h"]), "left_anti")
+    again = found.filter(F.col("id") == F.col("component")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if again.isEmpty():
         return kept
-    again = materialize(again.select(F.col("_id").alias("_again")), "again")
-    several = docs[id_col] == F.col("_again")
+    again = materialize(again.select("id"), "again")
+    several = kept[id_col] == again["id"]
     return kept.join(again, several, "left_anti").unionByName(kept.join(again, several, "left_semi").dropDuplicates([id_col]))
 
 
