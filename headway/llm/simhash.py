@@ -258,7 +258,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one document of each component, the one of least id, and of repeated rows of it one.
 
     A row with a null id goes if its component has a row with an id, and stays
-    otherwise.
+    otherwise.  Different texts under one id are told apart by their texts.
     """
     found = materialize(simhash_dedup(docs, id_col, radius).select(F.col(id_col).alias("id"), "h", "component"), "found")
     gone = found.filter(~F.col("id").eqNullSafe(F.col("component"))).select("id", "h").distinct()
@@ -268,7 +268,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return kept
     again = materialize(again.select("id"), "again")
     several = kept[id_col] == again["id"]
-    return kept.join(again, several, "left_anti").unionByName(kept.join(again, several, "left_semi").dropDuplicates([id_col]))
+    return kept.join(again, several, "left_anti").unionByName(kept.join(again, several, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
