@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, read, text_of
+from .shared import drawn, materialize, read, text_of
 
 #: Notices by family (fixed values).
 TEMPLATES = {
@@ -174,7 +174,9 @@ def fit(docs: DataFrame) -> Model:
     templates = materialize(bigrams(known.filter("label > 1")).select("label", F.array_distinct("grams").alias("template")), "templates")
     vocabulary = sorted(r["g"] for r in bigrams(known).select(F.explode("grams").alias("g")).distinct().collect())
     # Corpus paragraphs that look like a template are left out of class `none`.
-    sample = docs.select(text_of().alias("text")).withColumn("draw", F.xxhash64("text")).orderBy("draw").limit(TRAIN_DOCS)
+    texts = docs.select(text_of().alias("text")).withColumn("draw", F.xxhash64("text"))
+    texts = texts.filter(drawn(F.col("draw"), docs.count(), TRAIN_DOCS)).dropDuplicates(["draw"])
+    sample = texts.orderBy("draw").limit(TRAIN_DOCS)
     plain = paragraphs(sample, F.col("draw")).withColumn("draw", F.xxhash64("draw", "paragraph")).orderBy("draw").limit(TRAIN_PARAGRAPHS)
     plain = bigrams(plain).filter(F.size(F.array_intersect("grams", F.array(*map(F.lit, vocabulary)))) <= 2)
     rows = varied(known).unionByName(plain.select(F.lit(0).alias("label"), "paragraph", (F.pmod("draw", F.lit(5)) == 4).alias("held")))

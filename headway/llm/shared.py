@@ -57,6 +57,17 @@ def crc_mod(name: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("null"))) % n
 
 
+def drawn(draw: Column, rows: int, limit: int) -> Column:
+    """Whether a row's 64-bit hash falls into the part of all hashes that holds `limit` of `rows` rows and half as many more.
+
+    Ordering what is left and taking `limit` of it gives a bounded sample without
+    a task that gathers candidates from every partition.
+    """
+    if rows <= limit:
+        return F.lit(True)
+    return draw <= F.lit(min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, 1.5 * limit / rows))))
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column without copying; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
