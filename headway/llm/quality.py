@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import IS_SPACE, Hasher, crc_mod, mix, read, steps, text_of
+from .shared import IS_SPACE, Hasher, crc_mod, drawn, mix, read, steps, text_of
 
 #: Labelled rows to learn from at most, the least by a hash of the id.
 TRAIN_ROWS = 40_000
@@ -200,8 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", held: int =
     largest holds.
     """
     unit, weight = word_vectors(*contexts(docs))
+    usable = labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 5) != held))
     known = (
-        labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 5) != held))
+        usable.filter(drawn(F.xxhash64(id_col), usable.count(), train_rows))
         .groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
         .orderBy(F.xxhash64("label_id"), "label_id").limit(train_rows)
     )
