@@ -36,8 +36,8 @@ FOLD = LOWER.copy()
 FOLD[9:14] = 0x20
 
 
-def simhash(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """Fingerprint (uint64) of each row of a step of text."""
+def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(row, XXH64) of every shingle of a step of text, rows of fewer words last; each row's shingles stand together."""
     starts, ends, first = word_spans(data, offsets)
     text = FOLD[data].tobytes()
     count, rows = np.diff(first), len(offsets) - 1
@@ -59,8 +59,12 @@ def simhash(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, seed: int
         hashes[k] = digest(b" ".join(text[s[i] : e[i]] for i in range(a, b + 1)), seed)
     for r in short.tolist():
         hashes.append(digest(b" ".join(text[s[i] : e[i]] for i in range(first[r], first[r + 1])), seed))
-    owner = np.concatenate([row[at], short])
-    values = np.array(hashes, dtype="<u8")
+    return np.concatenate([row[at], short]), np.array(hashes, dtype="<u8")
+
+
+def simhash(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Fingerprint (uint64) of each row of a step of text."""
+    (owner, values), rows = shingles(data, offsets, words, seed), len(offsets) - 1
     ones, total = np.zeros((rows, 64), np.int64), np.bincount(owner, minlength=rows)
     for i in range(0, len(values), PIECE):
         own = owner[i : i + PIECE]
@@ -254,13 +258,13 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS)
     return fps.join(table, "fp").select(F.col("id").alias(id_col), "h", "fp", "component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component, the one of least id, and of repeated rows of it one.
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component of groups (id, h, component), the one of least id, and of repeated rows of it one.
 
     A row with a null id goes if its component has a row with an id, and stays
     otherwise.  Different texts under one id are told apart by their texts.
     """
-    found = materialize(simhash_dedup(docs, id_col, radius).select(F.col(id_col).alias("id"), "h", "component"), "found")
+    found = materialize(groups.select(F.col(id_col).alias("id"), "h", "component"), "found")
     gone = found.filter(~F.col("id").eqNullSafe(F.col("component"))).select("id", "h").distinct()
     kept = docs.join(gone, docs[id_col].eqNullSafe(gone["id"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == gone["h"]), "left_anti")
     again = found.filter(F.col("id") == F.col("component")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
