@@ -42,10 +42,10 @@ LOCAL_CHARS = "".join(sorted(LOCAL))
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 RUN = re.compile(r"[0-9]+")
-#: Looser forms (fixed patterns): every quantifier is bounded or follows a literal.
+#: Looser forms (fixed patterns): every quantifier is bounded or follows a literal, or ends the pattern, as a secret has any length.
 HINT = re.compile(r" ?(?:\(at\)|\[at\]|@) ?| at ")
 LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z0-9-]{1,63}){1,6}")
-SECRET = re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key|key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{12,256})", re.I)
+SECRET = re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key|key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{12,})", re.I)
 WORDS = {
     "email": ("mail", "contact", "write", "at", "address"),
     "ip": ("ip", "host", "server", "addr", "version", "v"),

@@ -79,6 +79,16 @@ def test_method_adds_spans_and_keeps_base(spark, rows):
     assert out[0]["text"] == got[0]["redacted"] and out[401]["text"] is None and out[0]["spans"] == "x"
 
 
+def test_long_secrets_are_covered_whole(spark, rows):
+    """A token of over 256 characters is one span to its end."""
+    model = P.fit(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    for n in (5, 30, 400):
+        value = "".join(hashlib.sha1(f"{n} {k}".encode()).hexdigest() for k in range(n))
+        text = f'words before token = "{value}" and after'
+        assert ("secret", text.index(value), text.index(value) + len(value)) in P.candidates(text)
+        assert P.redacted(text, model.spans(text)[1]) == 'words before token = "[SECRET]" and after'
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.find(docs, P.fit(docs)).count() == 0
