@@ -1,7 +1,7 @@
 """Toxicity with noisy-channel deobfuscation.
 
 Words that look disguised (leetspeak, spaced or dotted letters, stretched
-letters) are read as a lattice of what each character may stand for, decoded
+letters), of any length, are read as a lattice of what each character may stand for, decoded
 by Viterbi under a trigram character model whose counts come from all
 documents, and the restored words are scored beside the written ones.
 
@@ -15,6 +15,7 @@ half of the training rows and so is calibrated.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +49,11 @@ CLASSES = 28
 CLASS = np.zeros(256, np.int32)
 CLASS[97:123] = np.arange(1, 27)
 CLASS[128:] = 27
-LONGEST = 32
 CACHED = 20_000
+#: Lengths of the words that are looked for at every place of a spaced run.
+PIECES = range(4, 11)
+#: Runs of one character of over three, which the lattice reads like three.
+STRETCHED = re.compile(r"(.)\1{3,}", re.S)
 
 IS_CORE = np.zeros(256, bool)
 IS_CORE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -88,11 +92,21 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three / three.sum(axis=2, keepdims=True))
 
 
+def is_letter(c: str) -> bool:
+    """a-z."""
+    return c in LETTERS
+
+
+def shortened(word: str) -> str:
+    """The word with every run of one character at most three long, which doesn't change its lattice."""
+    return STRETCHED.sub(r"\1\1\1", word)
+
+
 class Decoder:
     """Reads disguised words back by Viterbi over a lattice of what their characters stand for."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.seen = model, {}
+        self.model, self.seen, self.known = model, {}, {}
 
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For each run of one character, the readings (letters, log probability in the channel)."""
@@ -104,7 +118,7 @@ class Decoder:
                 runs.append([c, 1])
         out = []
         for c, n in runs:
-            if c in LETTERS:
+            if is_letter(c):
                 out.append([(c, -0.1)] if n == 1 else [(c * 2, -0.3), (c, -3.5)] if n == 2 else [(c, -0.7), (c * 2, -1.5)])
                 continue
             options = [(x * k, -1.2 - 0.8 * (n > 1 and k != min(n, 2)) - 0.3 * len(LEET[c])) for x in LEET.get(c, "") for k in ((1,) if n == 1 else (1, 2))]
@@ -116,27 +130,46 @@ class Decoder:
     def __call__(self, word: str) -> str:
         if (known := self.seen.get(word)) is not None:
             return known
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # A path is a chain of its readings, the last first, so that a long word costs no more a character than a short one.
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for options in self.lattice(word):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
-                for letters, p in options:
+            options = [(letters, self.classes(letters), p) for letters, p in options]
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in best.items():
+                for letters, classes, p in options:
                     i, j, s = a, b, score + p
-                    for x in letters:
-                        c = ord(x) - 96 if x in LETTERS else 27
+                    for c in classes:
                         s += self.model[i, j, c]
                         i, j = j, c
                     if (i, j) not in after or s > after[i, j][0]:
-                        after[i, j] = (s, text + letters)
+                        after[i, j] = (s, (path, letters))
             best = after
-        found = max((s + self.model[a, b, 0], t) for (a, b), (s, t) in best.items())[1]
-        if len(self.seen) < CACHED:
+        ends = [(s + self.model[a, b, 0], path) for (a, b), (s, path) in best.items()]
+        top = max(s for s, _ in ends)
+        found = max(self.text(path) for s, path in ends if s == top)
+        if len(self.seen) < CACHED and len(word) < 100:
             self.seen[word] = found
         return found
 
+    def classes(self, letters: str) -> list[int]:
+        if letters not in self.known:
+            self.known[letters] = CLASS[np.frombuffer(letters.encode(), np.uint8)].tolist()
+        return self.known[letters]
+
+    @staticmethod
+    def text(path: tuple | None) -> str:
+        out = []
+        while path is not None:
+            path, letters = path
+            out.append(letters)
+        return "".join(reversed(out))
+
 
 def disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
-    """(row, characters) of the words, and of the runs of single letters, of a step that may be disguised; data in lower case."""
+    """(row, characters) of the words, and of the runs of single letters, of a step that may be disguised; data in lower case.
+
+    Neither has a greatest length; runs of one character are shortened to three.
+    """
     if not len(starts):
         return [], []
     letter, odd = IS_LETTER[data], IS_ODD[data]
@@ -151,27 +184,35 @@ def disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     flagged = (sums[ends] > sums[starts]) & (ends - starts >= 3)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     out = []
-    for i in np.flatnonzero(flagged & (ends - starts <= 2 * LONGEST)).tolist():
-        word = bytes(data[starts[i] : ends[i]]).decode("utf-8", "ignore").strip(OUTSIDE)
+    for i in np.flatnonzero(flagged).tolist():
+        word = shortened(bytes(data[starts[i] : ends[i]]).decode("utf-8", "ignore").strip(OUTSIDE))
         word = word.rstrip("$") if word.endswith("$$$") else word
-        plain = word.isalpha() and not any(word[k] == word[k + 1] == word[k + 2] for k in range(len(word) - 2))
-        if 3 <= len(word) <= LONGEST and not plain and sum(c in LETTERS for c in word) * 3 >= len(word):
+        if len(word) >= 3 and may_hide(word):
             out.append((int(row[i]), word))
     spaced = []
-    single = np.flatnonzero((ends - starts == 1) & odd_or_letter(data[starts]))
+    single = np.flatnonzero(single_letters(data, starts, ends))
     if len(single):
-        new = np.concatenate([[True], (np.diff(single) != 1) | (row[single[1:]] != row[single[:-1]]) | (np.diff(starts[single]) != 2)])
+        new = np.concatenate([[True], (np.diff(single) != 1) | (row[single[1:]] != row[single[:-1]]) | (starts[single[1:]] - ends[single[:-1]] != 1)])
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(single)))
-        for i, k in zip(begin[(size >= 4) & (size <= LONGEST)].tolist(), size[(size >= 4) & (size <= LONGEST)].tolist()):
-            part = single[i : i + k]
-            spaced.append((int(row[part[0]]), bytes(data[starts[part]]).decode("ascii")))
+        for i, k in zip(begin[size >= 3].tolist(), size[size >= 3].tolist()):
+            a, b = starts[single[i]], ends[single[i + k - 1]]
+            part = data[a:b]
+            spaced.append((int(row[single[i]]), shortened(bytes(part[~IS_SPACE[part]]).decode("utf-8", "ignore"))))
     return out, spaced
 
 
-def odd_or_letter(first: np.ndarray) -> np.ndarray:
-    """Single characters that may be a spaced word's: letters and leet."""
-    return ((first >= 97) & (first <= 122)) | np.isin(first, [ord(c) for c in LEET])
+def may_hide(word: str) -> bool:
+    """Whether a word is worth decoding: not plain letters without a stretch, and a third of it letters."""
+    if word.isalpha():
+        return any(word[k] == word[k + 1] == word[k + 2] for k in range(len(word) - 2))
+    return sum(map(is_letter, word)) * 3 >= len(word)
+
+
+def single_letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words are single characters that may be a spaced word's: letters and leet."""
+    lead = data[starts]
+    return (ends - starts == 1) & (((lead >= 97) & (lead <= 122)) | np.isin(lead, [ord(c) for c in LEET]))
 
 
 def hashed(hasher: Hasher, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -192,17 +233,20 @@ def features(decode: Decoder, hasher: Hasher, data: np.ndarray, offsets: np.ndar
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(begin))
     found = hashed(hasher, data, at, to)
     odd, spaced = disguised(data, starts, ends, first)
-    # Spaced letters don't show where a word ends, so every piece of a run that is as long as a word may be one.
-    odd = [(r, decode(w)) for r, w in odd]
-    for r, w in spaced:
-        t = decode(w)
-        odd += [(r, t), *[(r, t[i : i + n]) for n in range(4, 11) for i in range(len(t) - n + 1) if n < len(t)]]
-    if odd:
-        texts = [w.encode() for _, w in odd]
+    odd, spaced = ([(r, decode(w).encode()) for r, w in part] for part in (odd, spaced))
+    if odd or spaced:
+        texts = [t for _, t in odd + spaced]
         extra = np.frombuffer(b" ".join(texts), np.uint8)
-        stop = np.cumsum([len(t) + 1 for t in texts]) - 1
-        found = np.concatenate([found, hashed(hasher, extra, stop - [len(t) for t in texts], stop)])
-        rows = np.concatenate([rows, [r for r, _ in odd]])
+        size = np.array([len(t) for t in texts])
+        stop = np.cumsum(size + 1) - 1
+        begin, end, of = [stop - size], [stop], [np.array([r for r, _ in odd + spaced])]
+        # Spaced letters don't show where a word ends, so every piece of a run that is as long as a word may be one.
+        for k, (r, t) in enumerate(spaced, len(odd)):
+            edge = np.append(np.flatnonzero(np.frombuffer(t, np.uint8) & 0xC0 != 0x80), len(t)) + stop[k] - len(t)
+            for n in range(PIECES.start, min(PIECES.stop, len(edge) - 1)):
+                begin.append(edge[:-n]), end.append(edge[n:]), of.append(np.full(len(edge) - n, r))
+        found = np.concatenate([found, hashed(hasher, extra, np.concatenate(begin), np.concatenate(end))])
+        rows = np.concatenate([rows, *of])
     return rows, found, np.diff(first)
 
 

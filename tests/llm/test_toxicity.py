@@ -48,6 +48,31 @@ def test_disguised_words_are_restored(spark, model):
     assert all(got[i] < 0.3 for i in (0, 3, 4, 5, 6)) and got[3] == got[4]
 
 
+def scores(spark, model, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in X.score(rows, model).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_disguises_of_any_length(spark, model):
+    """Long runs of spaced letters, and letters stretched beyond any bound."""
+    clean = "river garden table window summer "
+    text = clean + "garden grobnak table letter vilzort music murgle paper " + clean
+    spaced = " ".join(text.replace(" ", ""))
+    stretched = clean + f"gro{'b' * 90}nak vi{'l' * 40}zort m{'u' * 500}rgle " + clean
+    got = scores(spark, model, [spaced, stretched, " ".join(clean.replace(" ", "") * 9), clean + "hello" + "o" * 300, "1 2 3 " * 50_000])
+    assert min(got[:2]) > 0.7 and max(got[2:]) < 0.3
+    assert X.Decoder(model.chars)("g" + "r1v3r" * 5000 + "n") == "g" + "river" * 5000 + "n"
+    _, runs = X.disguised(*spans("a s s"))
+    assert runs == [(0, "ass")]
+
+
+def spans(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, first = X.word_spans(data, np.array([0, len(data)]))
+    return data, starts, ends, first
+
+
 def test_empty_tables_and_one_class(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
