@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,12 +55,16 @@ CACHED = 20_000
 PIECES = range(4, 11)
 #: Runs of one character of over three, which the lattice reads like three.
 STRETCHED = re.compile(r"(.)\1{3,}", re.S)
+#: Words without letters that are numbers, not disguised words.
+NUMBER = re.compile(r"[-+#$(<]*[0-9][0-9.,:;/+*()-]*[%$]*")
 
 IS_CORE = np.zeros(256, bool)
 IS_CORE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[[*range(97, 123), *range(128, 256)]] = True
 IS_ODD = ~IS_LETTER & ~IS_SPACE
+IS_MARK = np.zeros(256, bool)
+IS_MARK[[ord(c) for c in LEET if not c.isdigit()]] = True
 
 
 def trigrams(docs: DataFrame) -> np.ndarray:
@@ -93,8 +98,8 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 
 
 def is_letter(c: str) -> bool:
-    """a-z."""
-    return c in LETTERS
+    """a-z, and the letters and combining accents of other alphabets."""
+    return c in LETTERS or (c > "\x7f" and (c.isalpha() or unicodedata.combining(c) > 0))
 
 
 def shortened(word: str) -> str:
@@ -169,6 +174,7 @@ def disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     """(row, characters) of the words, and of the runs of single letters, of a step that may be disguised; data in lower case.
 
     Neither has a greatest length; runs of one character are shortened to three.
+    A word that ends in "$$$" is taken with it, as letters, and without it.
     """
     if not len(starts):
         return [], []
@@ -176,19 +182,24 @@ def disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     n = len(data)
     stretched = np.zeros(n, bool)
     stretched[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] < 128)
+    for width in (2, 3, 4) if n and data.max() >= 128 else ():  # the same for letters of several bytes
+        same = np.zeros(n, np.int64)
+        same[width:] = (data[width:] == data[:-width]) & (data[width:] >= 128)
+        run = np.concatenate([[0], np.cumsum(same)])
+        stretched[2 * width - 1 :] |= run[2 * width :] - run[: -2 * width] == 2 * width
     # an odd character that a letter follows, or before which one stands
     inner = np.zeros(n, bool)
     inner[:-1] |= odd[:-1] & letter[1:]
     inner[1:] |= odd[1:] & letter[:-1]
-    sums = np.concatenate([[0], np.cumsum(stretched | inner)])
+    sums = np.concatenate([[0], np.cumsum(stretched | inner | IS_MARK[data])])
     flagged = (sums[ends] > sums[starts]) & (ends - starts >= 3)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     out = []
     for i in np.flatnonzero(flagged).tolist():
         word = shortened(bytes(data[starts[i] : ends[i]]).decode("utf-8", "ignore").strip(OUTSIDE))
-        word = word.rstrip("$") if word.endswith("$$$") else word
-        if len(word) >= 3 and may_hide(word):
-            out.append((int(row[i]), word))
+        for w in (word, word.rstrip("$")) if word.endswith("$$$") else (word,):
+            if len(w) >= 3 and may_hide(w):
+                out.append((int(row[i]), w))
     spaced = []
     single = np.flatnonzero(single_letters(data, starts, ends))
     if len(single):
@@ -203,16 +214,25 @@ def disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
 
 
 def may_hide(word: str) -> bool:
-    """Whether a word is worth decoding: not plain letters without a stretch, and a third of it letters."""
+    """Whether a word is worth decoding: not plain letters without a stretch, and holding letters, or leet that is no number."""
     if word.isalpha():
         return any(word[k] == word[k + 1] == word[k + 2] for k in range(len(word) - 2))
-    return sum(map(is_letter, word)) * 3 >= len(word)
+    return any(map(is_letter, word)) or (any(c in LEET for c in word) and not NUMBER.fullmatch(word))
 
 
 def single_letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Which words are single characters that may be a spaced word's: letters and leet."""
-    lead = data[starts]
-    return (ends - starts == 1) & (((lead >= 97) & (lead <= 122)) | np.isin(lead, [ord(c) for c in LEET]))
+    """Which words are single characters that may be a spaced word's: letters of any alphabet and leet."""
+    lead, size = data[starts], ends - starts
+    out = (size == 1) & (((lead >= 97) & (lead <= 122)) | np.isin(lead, [ord(c) for c in LEET]))
+    wide = np.flatnonzero((lead >= 0xC2) & (size == 2 + (lead >= 0xE0) + (lead >= 0xF0)))
+    known: dict[bytes, bool] = {}
+    for i, a, b in zip(wide.tolist(), starts[wide].tolist(), ends[wide].tolist()):
+        c = data[a:b].tobytes()
+        if c not in known:
+            text = c.decode("utf-8", "ignore")
+            known[c] = len(text) == 1 and is_letter(text)
+        out[i] = known[c]
+    return out
 
 
 def hashed(hasher: Hasher, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

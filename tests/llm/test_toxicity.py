@@ -73,6 +73,15 @@ def spans(text):
     return data, starts, ends, first
 
 
+def test_all_alphabets_and_leet(spark, model):
+    """Letters outside a-z stand for themselves; words of little but leet are decoded; a final $$$ has both readings."""
+    decode = X.Decoder(model.chars)
+    assert [decode(w) for w in ("gr0ßn4k", "v.i.é.z.o.r.t", "mééérgle")] == ["großnak", "viézort", "mérgle"]
+    words, runs = X.disguised(*spans("ok gr0ßn4k @$$h0l3 5h!7 $#!7 a$$$ gr0b$$$ g r ß b é éééé mééérg 455 $45.00 12:30"))
+    assert [w for _, w in words] == ["gr0ßn4k", "@$$h0l3", "5h!7", "$#!7", "a$$$", "gr0b$$$", "gr0b", "ééé", "mééérg"]
+    assert runs == [(0, "grßbé")]
+
+
 def test_empty_tables_and_one_class(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
