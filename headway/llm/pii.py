@@ -346,7 +346,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN_R
     Without both accepted and rejected candidates the model finds base spans only.
     """
     may = docs.select(text_of().alias("text")).filter(F.col("text").rlike(r"@|\+[0-9]|[0-9]{3}|\(at\)|\[at\]")).withColumn("draw", F.xxhash64("text"))
-    sample = may.filter(drawn(F.col("draw"), may.count(), train_docs)).dropDuplicates(["draw"]).select("text")
+    sample = may.filter(drawn(F.col("draw"), may.select("draw").distinct().count(), train_docs)).dropDuplicates(["draw"]).select("text")
     rows = materialize(sample.mapInArrow(training_rows, ", ".join(f"{c} double" for c in NAMES)), "pii-rows")
     rows = rows.withColumn("draw", F.xxhash64(*NAMES)).orderBy("draw", *NAMES).limit(train_rows).toPandas()[NAMES].to_numpy()
     held, y, x = rows[:, 0] == 1, rows[:, 1], rows[:, 2:]

@@ -89,6 +89,13 @@ def test_long_secrets_are_covered_whole(spark, rows):
         assert P.redacted(text, model.spans(text)[1]) == 'words before token = "[SECRET]" and after'
 
 
+def test_copies_do_not_thin_the_training_texts(spark, rows):
+    """The share of hashes is that of different texts, so copies change nothing."""
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    one, many = (P.fit(d, train_docs=len(rows)) for d in (docs, docs.crossJoin(spark.range(5).toDF("copy"))))
+    assert one.least == many.least and one.trees.base == many.trees.base
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.find(docs, P.fit(docs)).count() == 0
