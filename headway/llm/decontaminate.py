@@ -7,9 +7,14 @@ and a window of WINDOW tokens with at most CHANGES differences is a verified
 overlap.  The two masks find every such window: whichever two of 13 tokens
 change, one mask fits beside them.
 
+An item of SPAN to WINDOW - 1 tokens must stand whole, with one change at most;
+its seeds are its two halves, of which one is unchanged then.  A shorter item
+must stand whole and unchanged.  A token is a run of letters and digits; in
+scripts without spaces between words every character is one.
+
 The benchmark is the stated query set.  Its distinct texts are worked through
-in blocks of at most BLOCK_TOKENS tokens; a block, with that proven bound, is
-what tasks hold, and every document is read against every block without a
+in blocks of at most BLOCK_TOKENS tokens.  One operator reads every document
+against the blocks one after another and holds one block at a time, without a
 shuffle.
 """
 
@@ -30,7 +35,7 @@ MASKS = ((0, 1, 2, 5, 7, 8), (0, 2, 3, 6, 7, 8))
 SPAN = 9
 WINDOW = 13
 CHANGES = 2
-#: Items of fewer tokens than WINDOW must stand whole and unchanged; shorter ones than this aren't searched.
+#: The pipeline keeps documents that hold an item of fewer tokens, as so few stand in clean texts too.
 LEAST_TOKENS = 5
 BLOCK_TOKENS = 400_000
 
@@ -50,10 +55,23 @@ def folded(data: np.ndarray) -> np.ndarray:
 def tokens(hasher: Hasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (runs of letters and digits) of a step, and the index of each row's first (rows + 1)."""
     text = folded(data)
-    starts, ends, first = spans_where(IS_TOKEN[text], offsets)
+    starts, ends, first = spans_where(IS_TOKEN[text], offsets, unspaced(text))
     return hasher(text, starts, ends), first
 
 
+def unspaced(text: np.ndarray) -> np.ndarray | None:
+    """Where characters of scripts without spaces begin and end: U+3000 to U+9FFF (kana, Han) and U+0E00 to U+0EBF (Thai, Lao); None without any."""
+    lead = (text >= 0xE3) & (text <= 0xE9)
+    lead[:-1] |= (text[:-1] == 0xE0) & (text[1:] >= 0xB8) & (text[1:] <= 0xBA)
+    at = np.flatnonzero(lead)
+    return np.concatenate([at, at + 3]) if len(at) else None
+
+
+def allowed(size: int) -> tuple[int, int]:
+    """(tokens that must lie side by side, changes among them) for an item of so many tokens."""
+    return min(WINDOW, size), CHANGES if size >= WINDOW else 1 if size >= SPAN else 0
+
+
 class Block:
     """Tokens and sorted seeds of some benchmark items."""
 
@@ -66,26 +84,33 @@ class Block:
         self.words, self.first = tokens(Hasher(), data, offsets)
         self.item = np.repeat(np.arange(len(ids)), np.diff(self.first))
         size = np.diff(self.first)
-        self.masks = [np.array(m) for m in MASKS] + [np.arange(n) for n in sorted(set(size[(size >= LEAST_TOKENS) & (size < SPAN)].tolist()))]
+        small = sorted({n for n in size.tolist() if 0 < n < WINDOW})
+        #: (places of a seed's tokens, the size of items that it is for; 0: those of WINDOW tokens and more)
+        self.masks = [(np.array(m), 0) for m in MASKS]
+        for n in small:
+            parts = (np.arange(n),) if n < SPAN else (np.arange(n // 2), np.arange(n // 2, n))
+            self.masks += [(m, n) for m in parts]
         self.seeds = []
-        for k, mask in enumerate(self.masks):
+        for mask, n in self.masks:
             h = grams(self.words, mask)
-            at = np.flatnonzero(self.item[: len(h)] == self.item[int(mask[-1]) : int(mask[-1]) + len(h)]) if len(h) else np.zeros(0, np.int64)
-            if k >= len(MASKS):
-                at = at[size[self.item[at]] == len(mask)]
+            if n:
+                at = self.first[:-1][size == n]
+            else:
+                at = np.flatnonzero(self.item[: len(h)] == self.item[int(mask[-1]) : int(mask[-1]) + len(h)]) if len(h) else np.zeros(0, np.int64)
+                at = at[size[self.item[at]] >= WINDOW]
             order = np.argsort(h[at], kind="stable")
             self.seeds.append((h[at][order], at[order]))
-        self.filter = [np.zeros(1 << 22, bool) for _ in self.masks]
+        self.filter = [np.zeros(1 << (22 if n == 0 else 16), bool) for _, n in self.masks]
         for f, (h, _) in zip(self.filter, self.seeds):
-            f[h >> np.uint64(42)] = True
+            f[h >> np.uint64(65 - len(f).bit_length())] = True
 
     def overlaps(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, item, tokens in verified windows) for a step's rows."""
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
         found = []
-        for mask, may, (seeds, places) in zip(self.masks, self.filter, self.seeds):
+        for (mask, _), may, (seeds, places) in zip(self.masks, self.filter, self.seeds):
             h = grams(words, mask)
-            at = np.flatnonzero(may[h >> np.uint64(42)])
+            at = np.flatnonzero(may[h >> np.uint64(65 - len(may).bit_length())])
             at = at[row[at] == row[at + int(mask[-1])]]
             low, high = np.searchsorted(seeds, h[at], "left"), np.searchsorted(seeds, h[at], "right")
             n = high - low
@@ -97,24 +122,27 @@ class Block:
             a, b = int(self.first[i]), int(self.first[i + 1])
             low, high = max(a, int(first[r]) - shift), min(b, int(first[r + 1]) - shift)
             same = self.words[low:high] == words[low + shift : high + shift]
-            need = min(WINDOW, b - a)
+            need, changes = allowed(b - a)
             if high - low < need:
                 continue
             sums = np.concatenate([[0], np.cumsum(same)])
-            good = sums[need:] - sums[:-need] >= need - (CHANGES if need == WINDOW else 0)
+            good = sums[need:] - sums[:-need] >= need - changes
             if good.any():
                 cover = np.convolve(good, np.ones(need, np.int64)) > 0
                 best[r, i] = max(best.get((r, i), 0), int(cover.sum()))
         return [(r, i, n) for (r, i), n in best.items()]
 
 
-def blocks(benchmark: DataFrame, id_col: str, limit: int) -> Iterator[Block]:
-    """The distinct texts in order of their least ids, in blocks of at most `limit` bytes / 2 tokens; only one block at a time is on its way to the driver."""
+def blocks(benchmark: DataFrame, id_col: str, limit: int, least: int) -> Iterator[Block]:
+    """The distinct texts of `least` tokens or more in order of their least ids, in blocks of at most `limit` bytes / 2 tokens; only one block at a time is on its way to the driver."""
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), text_of().alias("text"), F.col(id_col).alias("order"))
     items = items.groupBy("text").agg(F.min("order").alias("order"), F.array_join(F.sort_array(F.collect_set("id")), " ").alias("ids")).orderBy("order", "text")
-    ids, texts, size = [], [], 0
+    ids, texts, size, hasher = [], [], 0, Hasher()
     for r in items.toLocalIterator():
-        n = len(r["text"]) // 2 + 1
+        data = np.frombuffer(r["text"].encode(), np.uint8)
+        if not len(data) or len(tokens(hasher, data, np.array([0, len(data)]))[0]) < max(least, 1):
+            continue
+        n = len(data) // 2 + 1
         if ids and size + n > limit:
             yield Block(ids, texts)
             ids, texts, size = [], [], 0
@@ -125,51 +153,60 @@ def blocks(benchmark: DataFrame, id_col: str, limit: int) -> Iterator[Block]:
         yield Block(ids, texts)
 
 
+class Blocks:
+    """All blocks as broadcasts, of which a task's worker holds one at a time: with several, each is read from the executor's disk when it is its turn."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, item_col: str, limit: int, least: int):
+        self.shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, limit, least)]
+
+    def overlaps(self, hasher: Hasher, texts: pa.Array) -> Iterator[tuple[int, str, int]]:
+        """(row, ids of the items of one text, tokens) of everything found in a batch of texts."""
+        for shared in self.shared:
+            block = shared.value
+            if len(self.shared) > 1:
+                vars(shared).pop("_value", None)  # what the worker read stays cached there otherwise
+            for i, _, data, offsets in steps(texts):
+                for r, item, n in block.overlaps(*tokens(hasher, data, offsets)):
+                    yield i + r, block.ids[item], n
+
+
 FOUND = T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("tokens", T.LongType())]))
 
 
-def search(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_TOKENS) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_TOKENS, least: int = 1) -> DataFrame:
     """docs with `overlaps`: the benchmark items found in each row, with the number of tokens in verified windows.
 
     `item` holds the ids of all items with that text, joined by spaces.  Null
-    texts on either side count as empty and match nothing; items of fewer than
-    LEAST_TOKENS tokens are not searched.  Rows, repeated ones too, keep all
-    their columns; an existing column `overlaps` is replaced.
+    texts on either side count as empty and match nothing, and so do texts
+    without tokens and items of fewer tokens than `least`.  Rows, repeated ones
+    too, keep all their columns; an existing column `overlaps` is replaced.
     """
     out = docs.drop("overlaps").withColumn("overlaps", F.array().cast(FOUND))
-    place, last = out.columns.index(text_col), len(out.columns) - 1
-    for block in blocks(benchmark, item_col, limit):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, hasher = shared.value, Hasher()
-            for batch in batches:
-                found = batch.column(last).to_pylist()
-                for i, _, data, offsets in steps(batch.column(place)):
-                    for r, item, n in block.overlaps(*tokens(hasher, data, offsets)):
-                        found[i + r].append({"item": block.ids[item], "tokens": n})
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, batch.column(last).type)], names=batch.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    place, last, found_in = out.columns.index(text_col), len(out.columns) - 1, Blocks(docs, benchmark, item_col, limit, least)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            found = [[] for _ in range(batch.num_rows)]
+            for row, item, n in found_in.overlaps(hasher, batch.column(place)):
+                found[row].append({"item": item, "tokens": n})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, batch.column(last).type)], names=batch.schema.names)
 
-def without_passages(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_TOKENS) -> DataFrame:
-    """The rows of docs that hold no verified benchmark passage, all columns as they are."""
-    out, place = docs, docs.columns.index(text_col)
-    for block in blocks(benchmark, item_col, limit):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    return out.mapInArrow(run, out.schema)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, hasher = shared.value, Hasher()
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for i, _, data, offsets in steps(batch.column(place)):
-                    clean[[i + r for r, _, _ in block.overlaps(*tokens(hasher, data, offsets))]] = False
-                yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+def without_passages(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_TOKENS, least: int = LEAST_TOKENS) -> DataFrame:
+    """The rows of docs that hold no verified passage of a benchmark item of at least `least` tokens, all columns as they are."""
+    place, found_in = docs.columns.index(text_col), Blocks(docs, benchmark, item_col, limit, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[row for row, _, _ in found_in.overlaps(hasher, batch.column(place))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one is set only where none is, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); on a local master, as in tests, one is set where none is."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -102,11 +104,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return spans_where(~IS_SPACE[data], offsets)
 
 
-def spans_where(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of True that don't cross a row's edge."""
+def spans_where(inside: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of True that cross neither a row's edge nor one of the places `cuts`."""
     n = len(inside)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    if cuts is not None:
+        edge[cuts] = True
     begin = inside.copy()
     begin[1:] &= ~inside[:-1] | edge[1:n]
     finish = inside.copy()

@@ -7,15 +7,15 @@ from headway.llm import decontaminate as D
 
 
 def toks(text):
-    return re.findall(r"[a-z0-9\u0080-￿]+", re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text or ""))
+    return re.findall(r"[\u3000-\u9fff\u0e00-\u0ebf]|(?:(?![\u3000-\u9fff\u0e00-\u0ebf])[a-z0-9\u0080-\U0010ffff])+", re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text or ""))
 
 
 def plain(doc, item):
     """Whether some window of the item stands in the document with at most the allowed changes."""
     d, b = toks(doc), toks(item)
-    if len(b) < D.LEAST_TOKENS:
+    if not b:
         return False
-    n, allowed = min(D.WINDOW, len(b)), D.CHANGES if len(b) >= D.WINDOW else 0
+    n, allowed = D.allowed(len(b))
     return any(sum(x != y for x, y in zip(d[i : i + n], b[j : j + n])) <= allowed for i in range(len(d) - n + 1) for j in range(len(b) - n + 1))
 
 
@@ -50,6 +50,29 @@ def test_equals_brute_force(spark):
         assert 7 in got[len(docs) - 1]
 
 
+def test_short_and_unspaced_items(spark):
+    """At and past the old limits: 4 and 5 tokens, 8 and 9 with a change, and sentences without spaces."""
+    han = "今天我们在学校的图书馆里读了一本关于古代历史的新书然后回家"
+    items = ["big red bus", "one two three four", "one two three four five", "a b c d e f g h", "a b c d e f g h i", "k l m n o p q r s t u v", han, "สวัสดีตอนเช้าวันนี้อากาศดีมาก"]
+    texts = ["the BIG red bus", "so one two three four", "a b c X e f g h i", "a b c X e f g h j", "k l m n o p q r X t u v", "k l m n o X q r X t u v", "他说" + han[:12] + "很" + han[13:] + "。", "ก" + items[7] + "ข", "one two, three: four-five", "repeat", "repeat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for limit in (D.BLOCK_TOKENS, 1):
+        got = {r["doc_id"]: {int(o["item"]) for o in r["overlaps"]} for r in D.search(docs, bench, limit=limit).collect()}
+        want = {i: {j for j, b in enumerate(items) if plain(t, b)} for i, t in enumerate(texts)}
+        assert got == want and want[0] == {0} and want[2] == {4} and want[4] == {5} and want[5] == set() and want[6] == {6} and want[7] == {7} and want[8] == {1, 2}
+    kept = {r["doc_id"] for r in D.without_passages(docs, bench).collect()}
+    assert kept == {i for i in range(len(texts)) if not any(len(toks(items[j])) >= D.LEAST_TOKENS for j in want[i])}
+
+
+def test_one_operator_for_all_blocks(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"item number {i} of some words") for i in range(12)], "item_id long, text string")
+    found = D.search(docs, bench, limit=10)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert len(D.Blocks(docs, bench, "item_id", 10, 1).shared) == 12 and found.first()["overlaps"] == []
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
