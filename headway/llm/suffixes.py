@@ -11,11 +11,13 @@ LEAST words or more shares a kept suffix with its copies.
 3. Within a name, suffixes are sorted by what follows and neighbours compared.
    For each number of words to the left, runs of neighbours that agree far
    enough to the right are split by what precedes; where texts differ, both
-   hold the window.  That is an exact test for windows of LEAST words, and the
-   union of windows extends each match to its ends.
+   hold the window.  Words are compared by 64-bit hashes, and the union of
+   windows extends each match to its ends.
 
 A name with more than HOT suffixes is not gathered: its windows are hashed and
-counted by an aggregation that combines before the shuffle.
+counted by an aggregation that combines before the shuffle.  Rows meet the
+shared names and windows in joins of two written tables, which Spark splits
+where one key is hot.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ STARTS = LEAST - PREFIX + 1
 #: Words on either side of a prefix that a window of LEAST words can hold.
 SIDE = LEAST - PREFIX
 HOT = 20_000
-#: Bytes of a word's hash in a context: 24 bits.
-WIDTH = 3
+#: Bytes of a word's hash in a context.
+WIDTH = 8
+#: Suffixes whose contexts are laid out at a time.
+PIECE = 1 << 14
 PLAIN = np.arange(256, dtype=np.uint8)
 
 
@@ -80,38 +84,44 @@ def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, text, positions, large) to (name, large, t, pos, n_left, n_right, left, right): the words beside each prefix, nearest first, zeros where there are none."""
+    """(t, one, text, positions, large) to (name, large, t, one, pos, n_left, n_right, left, right): the words beside each prefix, nearest first, zeros where there are none."""
     hasher = Hasher(PLAIN)
     for batch in batches:
-        t, at_list, hot_list = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for i, j, data, offsets in steps(batch.column(1)):
+        t, one, at_list, hot_list = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        for i, j, data, offsets in steps(batch.column(2)):
             starts, ends, first = word_spans(data, offsets)
             words = hasher(data, starts, ends)
             at = np.concatenate([np.array(at_list[r], np.int64) + first[r - i] for r in range(i, j)])
             hot = np.concatenate([np.array(hot_list[r], bool) for r in range(i, j)])
             row = np.searchsorted(first, at, "right") - 1
-            for lo in range(0, len(at), 1 << 15):
-                a, r = at[lo : lo + (1 << 15)], row[lo : lo + (1 << 15)]
+            name = grams(words, np.arange(PREFIX)).view(np.int64)
+            raw = words.astype(">u8").view(np.uint8).reshape(-1, WIDTH)
+            step = np.arange(SIDE)
+            for lo in range(0, len(at), PIECE):
+                a, r = at[lo : lo + PIECE], row[lo : lo + PIECE]
                 n_left, n_right = np.minimum(SIDE, a - first[r]), np.minimum(SIDE, first[r + 1] - a - PREFIX)
-                small = np.ascontiguousarray((words >> np.uint64(64 - 8 * WIDTH)).astype(">u4")).view(np.uint8).reshape(-1, 4)[:, 4 - WIDTH :]
-                step = np.arange(SIDE)
                 cols = []
                 for index, n in ((a[:, None] - 1 - step, n_left), (a[:, None] + PREFIX + step, n_right)):
-                    side = small[np.clip(index, 0, len(words) - 1)]
+                    side = raw[np.clip(index, 0, len(words) - 1)]
                     side[step >= n[:, None]] = 0
                     cols.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIDE * WIDTH), len(a), [None, pa.py_buffer(np.ascontiguousarray(side))]).cast(pa.binary()))
-                name = grams(words, np.arange(PREFIX))[a].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name), pa.array(hot[lo : lo + (1 << 15)]), pa.array(t[i + r]), pa.array((a - first[r]).astype(np.int32)), pa.array(n_left.astype(np.int32)), pa.array(n_right.astype(np.int32)), *cols],
-                    names=["name", "large", "t", "pos", "n_left", "n_right", "left", "right"],
+                    [pa.array(name[a]), pa.array(hot[lo : lo + PIECE]), pa.array(t[i + r]), one.take(pa.array(i + r)), pa.array((a - first[r]).astype(np.int32)), pa.array(n_left.astype(np.int32)), pa.array(n_right.astype(np.int32)), *cols],
+                    names=["name", "large", "t", "one", "pos", "n_left", "n_right", "left", "right"],
                 )
 
 
-def sides(batch: pa.RecordBatch, column: str) -> np.ndarray:
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def numbers(batch: pa.RecordBatch, *columns: str) -> list[np.ndarray]:
+    return [column(batch, c).to_numpy(zero_copy_only=False) for c in columns]
+
+
+def sides(batch: pa.RecordBatch, name: str) -> np.ndarray:
     """Context words as a matrix of integers."""
-    raw = b"".join(batch.column(batch.schema.get_field_index(column)).to_pylist())
-    parts = np.frombuffer(raw, np.uint8).reshape(batch.num_rows, SIDE, WIDTH).astype(np.uint32)
-    return (parts[:, :, 0] << 16) | (parts[:, :, 1] << 8) | parts[:, :, 2]
+    return np.frombuffer(b"".join(column(batch, name).to_pylist()), ">u8").reshape(batch.num_rows, SIDE).astype(np.uint64)
 
 
 def running(matrix: np.ndarray) -> np.ndarray:
@@ -122,100 +132,113 @@ def running(matrix: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows_of(name: np.ndarray, t: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Of suffixes sorted by name and what follows: for each and each number of words to the left, whether another text has that window too."""
+def windows_of(name: np.ndarray, t: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, left: np.ndarray, right: np.ndarray, within: bool = False) -> np.ndarray:
+    """Of suffixes sorted by name and what follows: for each and each number of words to the left, the index of another text's suffix that has that window too, or -1.
+
+    With `within`, a repeat inside the same text counts as well (its index is the suffix's own).
+    """
     n = len(name)
-    held = np.zeros((n, SIDE + 1), bool)
+    partner = np.full((n, SIDE + 1), -1)
     if n < 2:
-        return held
+        return partner
     differ = right[1:] != right[:-1]
     lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), SIDE)
     lcp = np.minimum(lcp, np.minimum(n_right[1:], n_right[:-1]))
     lcp[name[1:] != name[:-1]] = -1
-    before = running(left)
+    before, by_text = running(left), np.argsort(t, kind="stable")
     for o in range(SIDE + 1):
         need = SIDE - o
         run = np.concatenate([[0], np.cumsum(lcp < need)])
-        able = np.flatnonzero((n_left >= o) & (n_right >= need))
+        able = by_text[((n_left >= o) & (n_right >= need))[by_text]]
         if len(able) < 2:
             continue
         group = mix(run[able].astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + before[able, o])
         order = np.argsort(group, kind="stable")
-        g, who = group[order], t[able][order]
+        g, who = group[order], able[order]  # a group's suffixes stand in the order of their texts
         begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        several = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
-        held[able[order], o] = np.repeat(several, np.diff(np.append(begin, len(g))))
-    return held
-
-
-def found(t: np.ndarray, pos: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
-    """(t, lo, hi): windows that start at words lo to hi."""
-    turn = np.diff(held.astype(np.int8), axis=1, prepend=0, append=0)
-    row, low = np.nonzero(turn == 1)
-    _, high = np.nonzero(turn == -1)
-    return pa.RecordBatch.from_arrays([pa.array(t[row]), pa.array((pos[row] - high + 1).astype(np.int64)), pa.array((pos[row] - low).astype(np.int64))], names=["t", "lo", "hi"])
+        size = np.diff(np.append(begin, len(g)))
+        low, high = np.repeat(who[begin], size), np.repeat(who[begin + size - 1], size)
+        partner[who, o] = np.where(t[low] != t[high], np.where(t[who] == t[low], high, low), np.where(within & (np.repeat(size, size) > 1), who, -1))
+    return partner
+
+
+def found(t: np.ndarray, one: pa.Array, pos: np.ndarray, partner: np.ndarray) -> pa.RecordBatch:
+    """(t, lo, hi, other): windows that start at words lo to hi and that the document `other` holds too."""
+    held, n = partner >= 0, partner.shape[1]
+    same = (partner[:, 1:] == partner[:, :-1]) & held[:, 1:]
+    edge = np.zeros((len(partner), 1), bool)
+    row, low = np.nonzero(held & ~np.concatenate([edge, same], axis=1))
+    _, high = np.nonzero(held & ~np.concatenate([same, edge], axis=1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(t[row]), pa.array((pos[row] - high).astype(np.int64)), pa.array((pos[row] - low).astype(np.int64)), one.take(pa.array(partner[row, low]))], names=["t", "lo", "hi", "other"]
+    )
 
 
-def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compared(within: bool):
     """For partitions sorted by name and what follows; a name's suffixes are carried over batches."""
-    rest: pa.RecordBatch | None = None
-    get = lambda b, c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
-        t = get(b, "t")
-        return found(t, get(b, "pos"), windows_of(get(b, "name"), t, get(b, "n_left"), get(b, "n_right"), sides(b, "left"), sides(b, "right")))
-
-    for batch in batches:
+        name, t, pos, n_left, n_right = numbers(b, "name", "t", "pos", "n_left", "n_right")
+        return found(t, column(b, "one"), pos, windows_of(name, t, n_left, n_right, sides(b, "left"), sides(b, "right"), within))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        for batch in batches:
+            if rest is not None and rest.num_rows:
+                batch = pa.concat_batches([rest, batch])
+            (name,) = numbers(batch, "name")
+            cut = int(np.searchsorted(name, name[-1])) if len(name) else 0
+            if cut:
+                yield of(batch.slice(0, cut))
+            rest = batch.slice(cut)
         if rest is not None and rest.num_rows:
-            batch = pa.concat_batches([rest, batch])
-        name = get(batch, "name")
-        cut = int(np.searchsorted(name, name[-1])) if len(name) else 0
-        if cut:
-            yield of(batch.slice(0, cut))
-        rest = batch.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield of(rest)
+            yield of(rest)
+
+    return run
 
 
 def hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, t, start) of every window at the suffixes of hot names."""
-    get = lambda b, c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+    """(window, t, one, start) of every window at the suffixes of hot names."""
     for batch in batches:
-        before, after = running(sides(batch, "left")), running(sides(batch, "right"))
-        t, pos, n_left, n_right, name = (get(batch, c) for c in ("t", "pos", "n_left", "n_right", "name"))
+        before, after, one = running(sides(batch, "left")), running(sides(batch, "right")), column(batch, "one")
+        t, pos, n_left, n_right, name = numbers(batch, "t", "pos", "n_left", "n_right", "name")
         for o in range(SIDE + 1):
             able = np.flatnonzero((n_left >= o) & (n_right >= SIDE - o))
             w = mix(name[able].view(np.uint64) + mix(before[able, o] + np.uint64(o)) * np.uint64(3) + mix(after[able, SIDE - o]))
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(t[able]), pa.array((pos[able] - o).astype(np.int64))], names=["w", "t", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(t[able]), one.take(pa.array(able)), pa.array((pos[able] - o).astype(np.int64))], names=["w", "t", "one", "start"])
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, ranges of window starts) to (t, spans), the maximal spans of words (start, end) in order."""
+    """(t, ranges of window starts) to (t, spans), the maximal spans of words (start, end) in order, each with the documents that hold some of its windows too."""
     for batch in batches:
         out = []
         for ranges in batch.column(1).to_pylist():
-            spans: list[list[int]] = []
+            spans: list[tuple[list[int], set[str]]] = []
             for r in ranges:
-                if spans and r["lo"] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], r["hi"] + LEAST)
+                if spans and r["lo"] <= spans[-1][0][1]:
+                    spans[-1][0][1] = max(spans[-1][0][1], r["hi"] + LEAST)
                 else:
-                    spans.append([r["lo"], r["hi"] + LEAST])
-            out.append([{"start": a, "end": b} for a, b in spans])
+                    spans.append(([r["lo"], r["hi"] + LEAST], set()))
+                spans[-1][1].add(r["other"])
+            out.append([{"start": a, "end": b, "others": sorted(others)} for (a, b), others in spans])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, SPANS_ARROW)], names=["t", "spans"])
 
 
-SPANS = "array<struct<start: bigint, end: bigint>>"
-SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-CONTEXT = "name long, large boolean, t long, pos int, n_left int, n_right int, left binary, right binary"
+SPANS = "array<struct<start: bigint, end: bigint, others: array<string>>>"
+SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("others", pa.list_(pa.string()))]))
+CONTEXT = "name long, large boolean, t long, one string, pos int, n_left int, n_right int, left binary, right binary"
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", within: bool = False) -> DataFrame:
     """(id, n_words, spans): the documents with passages of LEAST words or more that stand in another document too.
 
     Words are runs without white space, compared as they are; spans are maximal
     runs of words (start, end exclusive) that lie in windows of LEAST words
-    which another document holds.  Documents of one id count as one, and a null
-    id as an id.  Null and shorter texts have no spans; extra columns are
+    which another document holds.  `others` of a span are ids (as text) of
+    documents, one at least for every window, that hold windows of it.  With
+    `within`, passages that repeat inside one document only are found as well;
+    its own id is among the others then.  Documents of one id count as one, and
+    a null id as an id.  Null and shorter texts have no spans; extra columns are
     ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -227,23 +250,32 @@ def repeats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     copies = materialize(table.groupBy("t", "digest").agg(F.min(ident).alias("one"), F.max(ident).alias("other"), F.max("n_words").alias("words")), "copies")
     keyed = docs.select(F.xxhash64(text).alias("t"), text.alias("text"))
     suffixes = materialize(keyed.mapInArrow(names, "name long, t long, pos int"), "suffixes")
-    shared = suffixes.groupBy("name").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("name", (F.col("n") > HOT).alias("large"))
+    if within:  # a copy's suffixes are the text's own
+        suffixes = suffixes.distinct()
+    shared = suffixes.groupBy("name").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n"))
+    shared = materialize(shared.filter("n > 1" if within else "a <> b").select("name", (F.col("n") > HOT).alias("large")), "shared")
     places = suffixes.join(shared, "name").groupBy("t").agg(F.sort_array(F.collect_set(F.struct("pos", "large"))).alias("at"))
     places = places.select("t", F.transform("at", lambda x: x["pos"]).alias("at"), F.transform("at", lambda x: x["large"]).alias("large"))
     one = copies.groupBy(F.col("t").alias("ct")).agg(F.min("one").alias("one"))
     places = places.join(one, places["t"] == one["ct"]).select(F.col("t").alias("pt"), "one", "at", "large")
     named = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("name"), F.xxhash64(text).alias("t"), text.alias("text"))
-    chosen = named.join(places, (named["t"] == places["pt"]) & (named["name"] == places["one"])).select("t", "text", "at", places["large"])
+    chosen = named.join(places, (named["t"] == places["pt"]) & (named["name"] == places["one"])).select("t", "one", "text", "at", places["large"])
+    if within:  # repeated rows of one id and text would be read as repeats
+        chosen = chosen.dropDuplicates(["t"])
     beside = materialize(chosen.mapInArrow(contexts, CONTEXT), "contexts")
     usual = beside.filter(~F.col("large")).drop("large").repartition(partitions(spark), "name").sortWithinPartitions("name", "right", "t", "pos")
-    ranges = usual.mapInArrow(compared, "t long, lo long, hi long")
-    hashed = materialize(beside.filter("large").mapInArrow(hashed_windows, "w long, t long, start long"), "windows")
-    several = hashed.groupBy("w").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("w")
-    ranges = ranges.unionByName(hashed.join(several, "w", "left_semi").select("t", F.col("start").alias("lo"), F.col("start").alias("hi")))
-    spans = ranges.groupBy("t").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("r")).mapInArrow(merged, f"t long, spans {SPANS}")
-    whole = F.when(F.col("one") != F.col("other"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("words").alias("end"))))
-    result = copies.join(spans, "t", "left").select("t", "digest", F.coalesce(whole, F.col("spans")).alias("spans")).filter("spans is not null")
-    return table.join(result, ["t", "digest"]).select(F.col("id").alias(id_col), "n_words", "spans")
+    ranges = usual.mapInArrow(compared(within), "t long, lo long, hi long, other string")
+    hashed = materialize(beside.filter("large").mapInArrow(hashed_windows, "w long, t long, one string, start long"), "windows")
+    both = F.struct("t", "one")
+    several = hashed.groupBy("w").agg(F.min(both).alias("a"), F.max(both).alias("b"), F.count(F.lit(1)).alias("n"))
+    several = materialize(several.filter("n > 1" if within else "a.t <> b.t").drop("n"), "several")
+    partner = F.when(F.col("t") == F.col("a.t"), F.col("b.one")).otherwise(F.col("a.one"))
+    ranges = ranges.unionByName(hashed.join(several, "w").select("t", F.col("start").alias("lo"), F.col("start").alias("hi"), partner.alias("other")))
+    spans = ranges.groupBy("t").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "other"))).alias("r")).mapInArrow(merged, f"t long, spans {SPANS}")
+    result = copies.join(spans, "t", "left").filter("one <> other or spans is not null").select("t", "digest", "one", "other", "words", "spans")
+    own = table.withColumn("ident", ident).join(result, ["t", "digest"])
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("words").alias("end"), F.array(F.when(F.col("ident") == F.col("one"), F.col("other")).otherwise(F.col("one"))).alias("others")))
+    return own.select(F.col("id").alias(id_col), "n_words", F.when(F.col("one") != F.col("other"), whole).otherwise(F.col("spans")).alias("spans"))
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,4 +286,5 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("repeated_words"),
         F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["others"])))), ",").alias("others"),
     )

@@ -4,13 +4,13 @@ import pytest
 from headway.llm import suffixes as S
 
 
-def plain(rows):
-    """Spans of words in windows of LEAST words that documents of another id hold."""
+def plain(rows, within=False):
+    """Spans of words in windows of LEAST words that documents of another id hold, or that stand twice in one."""
     where = {}
     for i, t in rows:
         w = (t or "").split()
         for k in range(len(w) - S.LEAST + 1):
-            where.setdefault(tuple(w[k : k + S.LEAST]), set()).add(i)
+            where.setdefault(tuple(w[k : k + S.LEAST]), set()).add((i, k) if within else i)
     out = []
     for i, t in rows:
         w, spans = (t or "").split(), []
@@ -57,8 +57,30 @@ def rows():
 def test_equals_brute_force(spark, monkeypatch, rows, hot):
     monkeypatch.setattr(S, "HOT", hot)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, t int").repartition(6)
-    got = sorted((str(r["doc_id"]), tuple((s["start"], s["end"]) for s in r["spans"])) for r in S.repeats(docs).collect())
-    assert got == plain(rows)
+    found = S.repeats(docs).collect()
+    assert sorted((str(r["doc_id"]), tuple((s["start"], s["end"]) for s in r["spans"])) for r in found) == plain(rows)
+    words = {str(i): (t or "").split() for i, t in rows}
+    held = {i: {tuple(w[k : k + S.LEAST]) for k in range(len(w) - S.LEAST + 1)} for i, w in words.items()}
+    for r in found:  # every repeated window of a span stands in one of its others, and each of them holds one
+        own = words[str(r["doc_id"])]
+        for s in r["spans"]:
+            windows = [tuple(own[k : k + S.LEAST]) for k in range(s["start"], s["end"] - S.LEAST + 1)]
+            assert str(r["doc_id"]) not in s["others"] and all(any(w in held[o] for w in windows) for o in s["others"])
+            repeated = [w for w in windows if any(w in h for i, h in held.items() if i != str(r["doc_id"]))]
+            assert repeated and all(any(w in held[o] for o in s["others"]) for w in repeated)
+    both = sorted((str(r["doc_id"]), tuple((s["start"], s["end"]) for s in r["spans"])) for r in S.repeats(docs, within=True).collect())
+    assert sorted(set(both)) == sorted(set(plain(rows, within=True))) and len(both) == len(plain(rows, within=True))
+
+
+def test_a_text_over_a_step(spark):
+    """Two texts of over 1 MB with one passage in common, at their ends."""
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(f"word{k}" for k in rng.integers(0, 1 << 40, n))
+    passage = say(70)
+    rows = [(1, say(90_000) + " " + passage), (2, passage + " " + say(90_000)), (3, say(100))]
+    assert min(len(t) for _, t in rows[:2]) > 1 << 20
+    got = S.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], [(s["start"], s["end"], s["others"]) for s in r["spans"]]) for r in got) == [(1, [(90_000, 90_070, ["2"])]), (2, [(0, 70, ["1"])])]
 
 
 def test_empty_table(spark):
