@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, materialize, read
+from .shared import SPACE, materialize, read, text_of
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -31,8 +31,6 @@ SEED = 17
 FIT_WORDS = 1 << 16
 #: Documents of one source and length in a hash bucket, on average.
 BUCKET_ROWS = 512
-#: Sources are one row each on the driver; more than this many is an error.
-MAX_SOURCES = 1_000_000
 
 
 def words_in(text: Column) -> Column:
@@ -40,22 +38,30 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, SPACE), "")), F.lit(0)).cast("long")
 
 
-def targets(totals: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> dict:
-    """Words for each source: share of all words by weight, none above ceiling times its own words, the excess reshared by weight among the others."""
-    ordered = sorted(totals, key=lambda x: (x[0] is None, [ord(c) for c in x[0] or ""]))
-    weight = {s: float(weights[i % len(weights)]) for i, (s, _) in enumerate(ordered)}
-    words = dict(ordered)
-    left, open_, out = share * sum(words.values()), [s for s, _ in ordered], {}
-    while open_:
-        each = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if weight[s] * each > ceiling * words[s]]
-        if not full:
-            return out | {s: weight[s] * each for s in open_}
-        for s in full:
-            out[s] = ceiling * words[s]
-            left -= out[s]
-        open_ = [s for s in open_ if s not in full]
-    return out
+def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
+    """(source, words) to (source, words, target): share of all words by weight, none above ceiling times its own words, the excess reshared by weight among the others.
+
+    Weights follow the sources' order by code point, null last.  Each round
+    closes the sources that are full; only sums reach the driver, so any number
+    of sources will do.
+    """
+    spark = totals.sparkSession
+    ordered = totals.orderBy(F.col("source").isNull(), "source").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], float(weights[x[1] % len(weights)])))
+    open_ = materialize(spark.createDataFrame(ordered, "source string, words long, weight double"), "sources")
+    left, done = share * float(open_.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]), []
+    while True:
+        each = left / (open_.agg(F.sum("weight")).first()[0] or 1.0)
+        full = open_.filter(F.col("weight") * each > ceiling * F.col("words"))
+        used = full.agg(F.sum(ceiling * F.col("words"))).first()[0]
+        if used is None:
+            out = open_.withColumn("target", F.col("weight") * each)
+            break
+        done.append(full.withColumn("target", ceiling * F.col("words")))
+        left -= used
+        open_ = open_.filter(F.col("weight") * each <= ceiling * F.col("words"))
+    for part in done:
+        out = out.unionByName(part)
+    return out.select("source", "words", "target")
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -78,24 +84,26 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if left > FIT_WORDS:  # every document that would fit is taken
         return take
     # Bounded knapsack: bit s of `reach` says that s words can be made; a length with n spare documents enters as parts of 1, 2, 4, ... documents.
-    reach, mask, parts, history = 1, (1 << (left + 1)) - 1, [], []
+    # `by` keeps for each sum the part that first made it, which only needs earlier parts beside it.
+    reach, mask, parts, by = 1, (1 << (left + 1)) - 1, [], np.full(left + 1, -1)
     for i in range(len(lengths)):
         size, n = int(lengths[i]), int(spare[i])
-        if size <= 0 or size > left or reach >> left & 1:
+        if size <= 0 or size > left:
             continue
         n, part = min(n, left // size), 1
-        while n > 0:
+        while n > 0 and not reach >> left & 1:
             part = min(part, n)
-            history.append(reach)
+            new = reach << (size * part) & mask & ~reach
+            by[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(left // 8 + 1, "little"), np.uint8), bitorder="little"))] = len(parts)
             parts.append((i, part))
-            reach |= reach << (size * part) & mask
+            reach |= new
             n -= part
             part *= 2
     at = reach.bit_length() - 1
-    for before, (i, part) in zip(reversed(history), reversed(parts)):
-        if not before >> at & 1:
-            take[i] += part
-            at -= int(lengths[i]) * part
+    while at > 0:
+        i, part = parts[by[at]]
+        take[i] += part
+        at -= int(lengths[i]) * part
     return take
 
 
@@ -114,7 +122,7 @@ PLAN_SCHEMA = "source string, size long, n long, copies long, extra long, source
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: int = SEED) -> DataFrame:
-    """(id, source, size, source_size, target, copies): how often the mix takes each document (0, 1 or 2).
+    """(id, h, source, size, source_size, target, copies): how often the mix takes each document (0, 1 or 2); h is XXH64 of the text.
 
     Null text: size 0, taken as often as its source's documents at least.  Null
     source: a source of its own, the last.  Equal rows are told apart by their
@@ -122,24 +130,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", weights=WEIGHTS, share:
     (id, text) rows hash alike and are ranked in any order, which changes no
     total.  Empty input gives an empty result.
     """
-    spark = docs.sparkSession
     sized = materialize(
         docs.select(
             F.col(id_col).alias("id"),
             F.col("source").cast("string").alias("source"),
             words_in(F.col("text")).alias("size"),
+            F.xxhash64(text_of()).alias("h"),
             F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("draw"),
         ),
         "sized",
     )
     counts = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    goal = targets([(r["source"], int(r["words"])) for r in totals], weights, share, ceiling)
-    goals = spark.createDataFrame([(s, float(t)) for s, t in goal.items()], "goal_source string, target double")
+    totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+    goals = targets(totals, weights, share, ceiling).select(F.col("source").alias("goal_source"), "target")
     plan = (
-        counts.join(F.broadcast(goals) if len(goal) <= 10_000 else goals, F.col("source").eqNullSafe(F.col("goal_source")))
+        counts.join(goals, F.col("source").eqNullSafe(F.col("goal_source")))
         .select("source", "size", "n", "target")
         .groupBy("source")
         .applyInPandas(plan_source, PLAN_SCHEMA)
@@ -164,20 +169,27 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", weights=WEIGHTS, share:
     rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("draw", "id"))
     ranked = few.unionByName(many).withColumn("more", ((F.col("before") + rank) <= F.col("extra")).cast("long"))
     alike = keyed.filter("extra = 0 or extra = n").withColumn("more", (F.col("extra") > 0).cast("long"))
-    cols = [F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("copies") + F.col("more")).alias("copies")]
+    cols = [F.col("id").alias(id_col), "h", "source", "size", "source_size", "target", (F.col("copies") + F.col("more")).alias("copies")]
     return ranked.select(*cols).unionByName(alike.select(*cols))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that the mix takes, with `size`, `source_size`, `target` and `copies` (these names are replaced where docs has them).
 
-    Rows of one id and equal sizes are taken alike.
+    Rows of one id and text share what the mix takes of them: each gets its
+    part, and the first ones one more where it does not divide.
     """
     new = ["size", "source_size", "target", "copies"]
-    plan = mix_sources(docs, id_col, **how).filter("copies > 0").groupBy(F.col(id_col).alias("id"), "size").agg(*[F.max(c).alias(c) for c in new[1:]])
-    left = docs.drop(*new)
-    both = left.join(plan, left[id_col].eqNullSafe(plan["id"]) & (words_in(left[text_col]) == plan["size"]))
-    return both.select(*[left[c] for c in left.columns], *[plan[c] for c in new])
+    # Keys without nulls, so that the window below finds its rows where the join has dealt them.
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    origin = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    shared = mix_sources(docs, id_col, **how).groupBy(name.alias("_name"), F.col("h").alias("_h"), origin.alias("_from"), "size", "source_size", "target").agg(F.sum("copies").alias("_taken"), F.count(F.lit(1)).alias("_rows"))
+    shared = shared.filter("_taken > 0").withColumnsRenamed({c: f"_{c}" for c in new[:3]})
+    keys = ["_name", "_h", "_from"]
+    both = docs.withColumns({"_name": name, "_h": F.xxhash64(text_of(text_col)), "_from": origin}).join(shared, keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))
+    both = both.withColumn("_copies", F.expr("_taken div _rows") + (rank <= F.expr("_taken % _rows")).cast("long")).filter("_copies > 0")
+    return both.select(*[c for c in docs.columns if c not in new], *[F.col(f"_{c}").alias(c) for c in new])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,11 +26,24 @@ def plain_targets(words):
         fixed |= {s: Fraction(2 * words[s]) for s in over}
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.one_of(st.none(), st.text("abé𝒳", max_size=3)), st.integers(0, 1000), max_size=7))
-def test_targets(words):
-    got, want = M.targets(list(words.items())), plain_targets(words)
-    assert got == pytest.approx(want)
+def test_targets(spark):
+    rng = np.random.default_rng(6)
+    cases = [{}, {None: 0}, {"a": 0, "b": 0}, {"é": 900, "𝒳": 3, "\uffee": 40, "a": 10, None: 500}]
+    cases += [{f"s{k}": int(10 ** rng.uniform(0, 4)) for k in range(n)} for n in (2, 5, 9)]
+    for words in cases:
+        rows = spark.createDataFrame(list(words.items()), "source string, words long")
+        got = {r["source"]: r["target"] for r in M.targets(rows).collect()}
+        assert got == pytest.approx(plain_targets(words)), words
+
+
+def test_many_sources(spark):
+    """More sources than a driver's list should hold; all of them are full or share one level."""
+    rows = spark.range(30_000).selectExpr("concat('s', lpad(id, 6, '0')) source", "1 + id * 7919 % 1000 words")
+    out = M.targets(rows).toPandas()
+    assert len(out) == 30_000 and out["target"].sum() == pytest.approx(1.5 * out["words"].sum()) and (out["target"] <= 2 * out["words"] + 1e-6).all()
+    weight = np.array(M.WEIGHTS, float)[out["source"].str[1:].astype(int) % 3]
+    level = (out["target"] / weight)[out["target"] < 2 * out["words"] - 1e-6]
+    assert level.max() - level.min() < 1e-6
 
 
 @settings(max_examples=300, deadline=None)
@@ -81,6 +94,22 @@ def test_mix(spark, rows, monkeypatch):
     assert all(abs(taken[s] - goal[s]) <= 1 for s in words if words[s] > 50)
 
 
+def test_fit_keeps_little_of_a_budget_out_of_reach():
+    """Only even lengths for an odd budget: every part is tried, and one number for each sum is kept."""
+    lengths, counts = np.arange(2, 12_000, 2), np.full(5999, 9)
+    budget = int((lengths * counts).sum() * 0.5) | 1
+    take = M.fit(lengths, counts, budget)
+    assert budget - int((lengths * take).sum()) == 1 and (take <= counts).all()
+
+
+def test_repeated_rows_share_what_is_taken(spark):
+    """Rows of one id and text: their copies add up to what the plan takes."""
+    rows = [(1, "a b c", "x")] * 50 + [(1, "d e f", "x")] * 30 + [(None, "g h", "x")] * 20 + [(i, "w " * i, "yz"[i % 2]) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, out = M.mix_sources(docs).toPandas(), M.mixed(docs).toPandas()
+    assert plan["copies"].sum() == out["copies"].sum() and (plan["copies"] * plan["size"]).sum() == (out["copies"] * out["size"]).sum() and out["copies"].max() <= 2
+
+
 def test_mixed_rows_and_empty_table(spark, rows):
     docs = spark.createDataFrame([(i, t, s, 0) for i, t, s in rows], "doc_id long, text string, source string, size int")
     out = M.mixed(docs)
