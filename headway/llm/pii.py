@@ -315,6 +315,26 @@ def training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 NAMES = [f"c{k}" for k in range(FEATURES + 2)]
 
 
+class Cover:
+    """Disjoint intervals in order; overlapping ones that it begins with are merged."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a), self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Whether [a, b) overlapped nothing; it is part of the cover then."""
+        at = bisect.bisect_right(self.starts, a)
+        if (at and self.ends[at - 1] > a) or (at < len(self.starts) and self.starts[at] < b):
+            return False
+        self.starts.insert(at, a), self.ends.insert(at, b)
+        return True
+
+
 class Model:
     """Boosted trees and the least probability with which a candidate of each kind is taken; without trees only base spans are found."""
 
@@ -328,14 +348,8 @@ class Model:
         if self.trees is not None and (more := [c for c in candidates(text) if c not in known]):
             p = self.trees(np.array([describe(text, *c) for c in more]))
             good = [i for i in np.argsort(-p, kind="stable").tolist() if p[i] >= self.least[more[i][0]]]
-            if good:
-                covered = sorted((a, b) for _, a, b in base)
-                for i in good:
-                    kind, a, b = more[i]
-                    at = bisect.bisect(covered, (a, b))
-                    if (at == 0 or covered[at - 1][1] <= a) and (at == len(covered) or covered[at][0] >= b) and not any(y > a and x < b for x, y in covered[max(0, at - 8) : at + 1]):
-                        covered.insert(at, (a, b))
-                        taken.append(more[i])
+            cover = Cover((a, b) for _, a, b in base)
+            taken += [more[i] for i in good if cover.add(*more[i][1:])]
         order = (*KINDS, *MORE_KINDS).index
         return base, sorted(taken, key=lambda s: (order(s[0]), s[1], s[2]))
 

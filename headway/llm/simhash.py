@@ -254,7 +254,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS)
     named = distinct.join(labels, distinct["fp"] == labels["v"], "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
     named = materialize(named, "named")
     smallest = named.groupBy("label").agg(F.min("least_id").alias("component"))
-    table = named.select("fp", "label").join(smallest, "label").select("fp", "component")
+    # A written table on both sides of the last join, which Spark then splits where one fingerprint is hot.
+    table = materialize(named.select("fp", "label").join(smallest, "label").select("fp", "component"), "table")
     return fps.join(table, "fp").select(F.col("id").alias(id_col), "h", "fp", "component")
 
 

@@ -96,6 +96,27 @@ def test_copies_do_not_thin_the_training_texts(spark, rows):
     assert one.least == many.least and one.trees.base == many.trees.base
 
 
+class Eager:
+    """Trees that want every candidate."""
+
+    def __call__(self, x):
+        import numpy as np
+
+        return np.linspace(0.99, 0.95, len(x))
+
+
+def test_added_spans_overlap_nothing():
+    """At and past eight spans inside one: addresses of many numbers, and every candidate accepted."""
+    model = P.Model(Eager(), dict.fromkeys((*P.KINDS, *P.MORE_KINDS), 0.5))
+    for n in (7, 8, 9, 12, 40):
+        text = "x" + ".".join(["10.0.0.1"] * n) + "@example.com then 4111 1111 1111 1112 and 10 20 30 40 50 60"
+        base, spans = model.spans(text)
+        assert set(base) <= set(spans)
+        for kind, a, b in set(spans) - set(base):
+            assert not any(x < b and y > a for k, x, y in spans if (k, x, y) != (kind, a, b)), (n, kind, text[a:b])
+        assert len(spans) > len(base)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.find(docs, P.fit(docs)).count() == 0
