@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,10 +235,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("near"))
         least = labels.join(near, labels["v"] == near["a"]).select("v", F.least("label", "near").alias("next"), F.col("label").alias("was"))
         jump = labels.select(F.col("v").alias("j"), F.col("label").alias("to"))
-        after = materialize(least.join(jump, least["next"] == jump["j"], "left").select("v", "was", F.least("next", F.coalesce("to", "next")).alias("label")), name)
-        changed = not after.filter("label <> was").isEmpty()
+        after = least.join(jump, least["next"] == jump["j"], "left").select("v", "was", F.least("next", F.coalesce("to", "next")).alias("label"))
+        moved = Observation()
+        after = materialize(after.observe(moved, F.count_if(F.col("label") != F.col("was")).alias("n")), name)
         labels = after.select("v", "label")
-        if not changed:
+        if not moved.get["n"]:
             return labels
 
 
