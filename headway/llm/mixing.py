@@ -45,9 +45,14 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: f
     closes the sources that are full; only sums reach the driver, so any number
     of sources will do.
     """
-    spark = totals.sparkSession
-    ordered = totals.orderBy(F.col("source").isNull(), "source").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], float(weights[x[1] % len(weights)])))
-    open_ = materialize(spark.createDataFrame(ordered, "source string, words long, weight double"), "sources")
+    # A source's number is its place in its range of sources and the number of sources in the ranges before.
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = materialize(totals.repartitionByRange(*order).select("source", "words", F.spark_partition_id().alias("p")), "ranges")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select("p", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("p").orderBy(*order)) - 1 + F.col("before")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights)).cast("int"))
+    open_ = materialize(ranged.join(before, "p").select("source", "words", weight.alias("weight")), "sources")
     left, done = share * float(open_.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]), []
     while True:
         each = left / (open_.agg(F.sum("weight")).first()[0] or 1.0)
