@@ -34,9 +34,9 @@ def percentile_of(q: Column, x: Column, n: Column) -> Column:
     return F.when(n == 0, 0.0).when(n > 100, 100.0).otherwise(inside)
 
 
-def channel(pct: Column, lo: float = LO, hi: float = HI) -> Column:
-    """anomaly_high over the zone, anomaly_low under it, micro inside, edges included."""
-    return F.when(pct > hi, "anomaly_high").when(pct < lo, "anomaly_low").otherwise("micro")
+def channel(pct: Column, lo: float | Column = LO, hi: float | Column = HI) -> Column:
+    """anomaly_high over the zone, anomaly_low under it, micro inside, edges included; none for a null.  The edges may be columns."""
+    return F.when(pct > hi, "anomaly_high").when(pct < lo, "anomaly_low").when(pct.isNotNull(), "micro")
 
 
 def ms(x: Column) -> Column:

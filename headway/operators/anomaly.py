@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headway.operators.quantiles import exact_quantiles
+
 #: Windows that the autoencoder learns from at most, the least by a hash of the row.
 TRAIN_WINDOWS = 4000
 
@@ -133,13 +135,10 @@ def reconstruction_mse(windows: DataFrame, model: Autoencoder) -> DataFrame:
 
 
 def threshold(scored: DataFrame, level: float = 0.99, exact: bool = True) -> DataFrame:
-    """One row (cut): the quantile of the errors, rounded to 6 places.
-
-    The exact one gathers the distinct errors; over more than a task holds, take
-    exact=False, a sketch within one in 10,000 of the rank.
-    """
-    cut = F.percentile("mse", F.lit(level)) if exact else F.percentile_approx("mse", F.lit(level), F.lit(10_000))
-    return scored.agg(F.round(cut, 6).alias("cut"))
+    """One row (cut): the quantile of the errors, rounded to 6 places; exact=False takes a sketch within one in 10,000 of the rank."""
+    if exact:
+        return exact_quantiles(scored, (), "mse", [level]).select(F.round(F.get("q", F.lit(0)), 6).alias("cut"))
+    return scored.agg(F.round(F.percentile_approx("mse", F.lit(level), F.lit(10_000)), 6).alias("cut"))
 
 
 def reject(fixes: DataFrame, scored: DataFrame, cut: DataFrame) -> DataFrame:

@@ -27,27 +27,34 @@ def estimate_crossings(fixes: DataFrame, spacing: int, distance: str = "dist_c")
     A boundary d inside the pair i, i+1 belongs to (s_i, s_i+1], and its time is
     linear between the two.  Pairs that don't move forward pass nothing.
     """
-    k0, k1 = F.expr(f"{distance} div {spacing} + 1"), F.expr(f"next_{distance} div {spacing}")
+    k0, k1 = F.floor(F.col(distance) / spacing) + 1, F.floor(F.col(f"next_{distance}") / spacing)
     inside = pairs(fixes, distance).withColumn("k0", k0).withColumn("k1", k1).filter("k0 <= k1")
     rows = inside.withColumn("boundary", F.explode(F.sequence("k0", "k1")))
     share = (F.col("boundary") * spacing - F.col(distance)) / (F.col(f"next_{distance}") - F.col(distance))
     return rows.select("vehicle_id", "boundary", ((F.col("u") + share * (F.col("next_u") - F.col("u"))) / 1e6).alias("cross_s"))
 
 
-def resample_linear(fixes: DataFrame, step_s: int = 5, value: str = "speed_kmh", max_gap_s: int | None = None) -> DataFrame:
-    """(vehicle_id, k, value): linear interpolation at the multiples of step_s from the epoch.
+def resample_columns(fixes: DataFrame, step_s: int, columns: tuple[str, ...], keep: tuple[str, ...] = (), max_gap_s: int | None = None) -> DataFrame:
+    """(vehicle_id, k, keep, columns): linear interpolation at the multiples k of step_s from the epoch.
 
     The pair i, i+1 owns the grid points in [t_i, t_i+1).  Pairs further apart
-    than max_gap_s give none.
+    than max_gap_s, or of different values of the columns `keep`, give none.
     """
     step = step_s * 1_000_000
-    rows = pairs(fixes, value)
+    rows = pairs(fixes, *columns, *keep)
+    for c in keep:
+        rows = rows.filter(F.col(c).eqNullSafe(F.col(f"next_{c}")))
     if max_gap_s is not None:
         rows = rows.filter(F.col("next_u") - F.col("u") <= max_gap_s * 1_000_000)
     rows = rows.withColumn("k0", F.expr(f"(u + {step} - 1) div {step}")).withColumn("k1", F.expr(f"(next_u - 1) div {step}")).filter("k0 <= k1")
     rows = rows.withColumn("k", F.explode(F.sequence("k0", "k1")))
     share = (F.col("k") * step - F.col("u")) / (F.col("next_u") - F.col("u"))
-    return rows.select("vehicle_id", "k", (F.col(value) + share * (F.col(f"next_{value}") - F.col(value))).alias("value"))
+    return rows.select("vehicle_id", "k", *keep, *[(F.col(c) + share * (F.col(f"next_{c}") - F.col(c))).alias(c) for c in columns])
+
+
+def resample_linear(fixes: DataFrame, step_s: int = 5, value: str = "speed_kmh", max_gap_s: int | None = None) -> DataFrame:
+    """(vehicle_id, k, value): one column on the grid; see resample_columns."""
+    return resample_columns(fixes, step_s, (value,), max_gap_s=max_gap_s).withColumnRenamed(value, "value")
 
 
 def sequence_windows(series: DataFrame, length: int = LENGTH, value: str = "speed_kmh", stride: int = 1) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,21 +18,55 @@ def normalize(samples: DataFrame, keys: tuple[str, ...] = ("vehicle_id", "time_b
     return samples.withColumn("pct", 100 * F.percent_rank().over(Window.partitionBy(*keys).orderBy(value)))
 
 
+def exact_quantiles(rows: DataFrame, keys: tuple[str, ...], value: str, levels: list[float]) -> DataFrame:
+    """(keys, n, q): for each group its number of values and the quantiles at the levels, linear between neighbours; nulls and NaN don't count.
+
+    No task holds a group: equal values are counted, dealt into bins of about
+    equal numbers over all groups, and the ranks of a level are looked up in
+    their bins by running counts.  Groups without values are left out.
+    """
+    bins = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = F.col(value).cast("double")
+    usable = rows.filter(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias("_v"))
+    cuts = sorted(set(usable.approxQuantile("_v", [i / bins for i in range(1, bins)], 1 / (4 * bins))))
+    counted = usable.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counted = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="_v", outputCol="_b").transform(counted)
+    whole = Window.partitionBy(*keys)
+    binned = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_in"))
+    binned = binned.withColumns({"_before": F.coalesce(F.sum("_in").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_of": F.sum("_in").over(whole)})
+    binned = binned.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_bin"), "_before", "_of")
+    same = F.col("_b") == F.col("_bin")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    run = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.join(binned, same).withColumn("_to", F.col("_before") + run).withColumn("_from", F.col("_to") - F.col("_n"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(levels)])
+    at = lambda p: (F.col("_of") - 1) * p
+    hit = F.filter(wanted, lambda w: (F.floor(at(w["p"])) < F.col("_to")) & (F.ceil(at(w["p"])) >= F.col("_from")))
+    found = ranked.select(*keys, "_v", "_from", "_to", "_of", F.explode(hit).alias("w")).select("*", "w.i", at(F.col("w.p")).alias("_at"))
+    held = lambda rank: F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_v")))
+    found = found.groupBy(*keys, "i").agg(F.max("_of").alias("n"), F.max("_at").alias("_at"), held(F.floor("_at")).alias("_low"), held(F.ceil("_at")).alias("_high"))
+    q = F.col("_low") + (F.col("_at") - F.floor("_at")) * (F.col("_high") - F.col("_low"))
+    found = found.select(*keys, "n", F.struct("i", q.alias("q")).alias("iq"))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list("iq")), lambda e: e["q"]).alias("q"))
+
+
 def segment_baseline(samples: DataFrame, keys: tuple[str, ...] = SEGMENT, value: str = "x") -> DataFrame:
-    """(keys, n, p10, p50, p90, q): exact interpolated quantiles; q holds p0 to p100.
+    """(keys, n, p10, p50, p90, q): exact interpolated quantiles of the n values; q holds p0 to p100.
 
     Quantiles are rounded to 6 places once, here, so that later comparisons
     don't depend on the last bit.
     """
-    levels = F.array(*[F.lit(i / 100) for i in range(101)])
-    out = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.transform(F.percentile(value, levels), lambda v: F.round(v, 6)).alias("q"))
+    out = exact_quantiles(samples, keys, value, [i / 100 for i in range(101)]).withColumn("q", F.transform("q", lambda v: F.round(v, 6)))
     return out.select(*keys, "n", *[F.element_at("q", i + 1).alias(f"p{i}") for i in (10, 50, 90)], "q")
 
 
 def raw_pct(live: DataFrame, baseline: DataFrame, keys: tuple[str, ...] = SEGMENT) -> DataFrame:
     """live with its segment's quantiles and `raw_pct`; samples of segments without a baseline go.
 
-    Catalyst broadcasts the baseline if it is small: it has a row for each segment.
+    A sample that is null or NaN has a null percentile.  Catalyst broadcasts the
+    baseline if it is small: it has a row for each segment.
     """
     rows = live.join(baseline.select(*keys, "q"), list(keys)).withColumn("_n", F.size(F.filter("q", lambda v: v <= F.col("x"))))
-    return rows.withColumn("raw_pct", F.round(percentile_of(F.col("q"), F.col("x"), F.col("_n")), 6)).drop("_n")
+    known = F.col("x").isNotNull() & ~F.isnan("x")
+    return rows.withColumn("raw_pct", F.when(known, F.round(percentile_of(F.col("q"), F.col("x"), F.col("_n")), 6))).drop("_n")

@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROUTE_AHEAD = ("vehicle_id", "seg_seq")
+from headway.functions.scalars import quantile_at
 
 
-def remaining(state: DataFrame, baseline: DataFrame, stats: DataFrame) -> DataFrame:
-    """A row for each vehicle and segment ahead of it on its route, with p10, p50 and stop statistics; a segment without any counts as one without stops."""
-    ahead = baseline.select("route_id", "seg_seq", "p10", "p50")
+def remaining(state: DataFrame, baseline: DataFrame, stats: DataFrame, pace: str = "median") -> DataFrame:
+    """A row for each vehicle and segment ahead of it on its route, with p10, p50, stop statistics, and the time that is expected for it and for what is left of the current one.
+
+    A segment without stop statistics counts as one without stops.  The expected
+    time `pace_s` is the median, or with pace="ema" the segment's quantile at
+    the vehicle's smoothed percentile; `remaining_current` is that time of the
+    current segment for the share of it (1 - `progress`) that lies ahead, 0 where
+    a state has no progress or its segment no baseline.
+    """
+    ahead = baseline.select("route_id", "seg_seq", "p10", "p50", *(["q"] if pace == "ema" else []))
     ahead = ahead.join(stats.select("route_id", "seg_seq", "p_stop", "mean_dwell_s"), ["route_id", "seg_seq"], "left").fillna(0.0, ["p_stop", "mean_dwell_s"])
-    now = state.select("vehicle_id", "route_id", F.col("seg_seq").alias("cur"), F.col("total_ms"))
-    return now.join(ahead, (now["route_id"] == ahead["route_id"]) & (ahead["seg_seq"] > now["cur"])).select("vehicle_id", now["route_id"], "cur", "total_ms", "seg_seq", "p10", "p50", "p_stop", "mean_dwell_s")
+    progress = F.coalesce("progress", F.lit(1.0)) if "progress" in state.columns else F.lit(1.0)
+    now = state.select("vehicle_id", "route_id", F.col("seg_seq").alias("cur"), F.col("total_ms"), progress.alias("progress"), *(["ema_pct"] if pace == "ema" else []))
+    rows = now.join(ahead, (now["route_id"] == ahead["route_id"]) & (ahead["seg_seq"] >= now["cur"]))
+    expected = F.round(quantile_at(F.col("q"), F.col("ema_pct")), 6) if pace == "ema" else F.col("p50")
+    rows = rows.withColumn("pace_s", expected)
+    here = F.max(F.when(F.col("seg_seq") == F.col("cur"), (1 - F.col("progress")) * F.col("pace_s"))).over(Window.partitionBy("vehicle_id"))
+    rows = rows.withColumn("remaining_current", F.round(F.coalesce(here, F.lit(0.0)), 6)).filter("seg_seq > cur")
+    return rows.select("vehicle_id", now["route_id"], "cur", "total_ms", "seg_seq", "p10", "p50", "p_stop", "mean_dwell_s", "pace_s", "remaining_current")
 
 
 def allocate(plan: DataFrame, weight_mode: str = "direct", cap: str | None = "q50-q10") -> DataFrame:
@@ -39,7 +52,14 @@ def propagate(plan: DataFrame) -> DataFrame:
     return plan.withColumn("delay_after", F.round(F.greatest(F.lit(0.0), left), 6))
 
 
-def eta(plan: DataFrame, remaining_current: float = 0.0) -> DataFrame:
-    """plan with `eta_s`, seconds from now to the end of each segment ahead: medians less what is recovered.  `now` holds the delay already."""
+def eta(plan: DataFrame) -> DataFrame:
+    """plan with `eta_s`, seconds from now to the end of each segment ahead: what is left of the current one, then expected times less what is recovered, none below p10 on that account.
+
+    `now` holds the delay already.  Without columns `pace_s` and
+    `remaining_current`, medians count and nothing is left of the current segment.
+    """
     run = Window.partitionBy("vehicle_id").orderBy("seg_seq").rowsBetween(Window.unboundedPreceding, 0)
-    return plan.withColumn("eta_s", F.round(F.lit(remaining_current) + F.sum(F.col("p50") - F.col("recovery")).over(run), 6))
+    pace = F.col("pace_s") if "pace_s" in plan.columns else F.col("p50")
+    left = F.col("remaining_current") if "remaining_current" in plan.columns else F.lit(0.0)
+    each = F.greatest(pace - F.col("recovery"), F.least("p10", pace))
+    return plan.withColumn("eta_s", F.round(left + F.sum(each).over(run), 6))

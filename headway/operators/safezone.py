@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.scalars import Z
+from headway.operators.quantiles import exact_quantiles
 
 TOL_INFLECTION, TOL_CURVATURE = 1.0, 2.0
 
 
 def qq_points(samples: DataFrame, by: str = "route_id", value: str = "x") -> DataFrame:
     """(grp, i, z, emp, smooth, d1, d2): percentiles 1 to 99, their centred 5-point means and central differences; null where neighbours lack."""
-    levels = F.array(*[F.lit(i / 100) for i in range(1, 100)])
-    rows = samples.groupBy(F.col(by).alias("grp")).agg(F.percentile(value, levels).alias("e"))
+    rows = exact_quantiles(samples.select(F.col(by).alias("grp"), value), ("grp",), value, [i / 100 for i in range(1, 100)]).withColumnRenamed("q", "e")
     rows = rows.select("grp", F.posexplode("e").alias("pos", "emp")).select("grp", (F.col("pos") + 1).alias("i"), F.element_at(F.array(*map(F.lit, Z)), F.col("pos") + 1).alias("z"), F.round("emp", 6).alias("emp"))
     w = Window.partitionBy("grp").orderBy("i")
     five = w.rowsBetween(-2, 2)

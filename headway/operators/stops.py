@@ -40,23 +40,37 @@ def grid_search(series: DataFrame, enters: list[float], exits: list[float], shor
     """(enter, exit, n_episodes, short_share, long_share, score) for each pair with enter < exit, best first.
 
     The score is the share of episodes of at least long_s less that of episodes
-    under short_s; ties go to the smaller thresholds.
+    under short_s; ties go to the smaller thresholds.  All pairs share one
+    shuffle and sort by vehicle: their states are columns of the same windows.
     """
-    grid = F.array(*[F.struct(F.lit(float(a)).alias("enter"), F.lit(float(b)).alias("exit")) for a in enters for b in exits if a < b])
-    rows = series.select("vehicle_id", *ORDER, "speed_kmh", F.explode(grid).alias("pair")).select("*", "pair.enter", "pair.exit").drop("pair")
-    keys = ("enter", "exit", "vehicle_id")
-    episodes = stop_episodes(stop_state(rows, F.col("enter"), F.col("exit"), keys), keys)
+    grid = [(float(a), float(b)) for a in enters for b in exits if a < b]
+    w = Window.partitionBy("vehicle_id").orderBy(*ORDER)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = series.select("vehicle_id", *ORDER, "speed_kmh").withColumn("_next", F.lead("u").over(w))
+    mark = lambda a, b: F.when(F.col("speed_kmh") <= a, 1).when(F.col("speed_kmh") >= b, 0)
+    rows = rows.withColumns({f"_s{k}": F.coalesce(F.last(mark(a, b), ignorenulls=True).over(run), F.lit(0)) for k, (a, b) in enumerate(grid)})
+    rows = rows.withColumns({f"_c{k}": F.when(F.col(f"_s{k}") != F.coalesce(F.lag(f"_s{k}").over(w), F.lit(0)), 1).otherwise(0) for k in range(len(grid))})
+    rows = rows.withColumns({f"_r{k}": F.sum(f"_c{k}").over(run) for k in range(len(grid))})
+    pairs = F.array(*[F.struct(F.lit(a).alias("enter"), F.lit(b).alias("exit"), F.col(f"_s{k}").alias("s"), F.col(f"_r{k}").alias("run")) for k, (a, b) in enumerate(grid)])
+    rows = rows.select("vehicle_id", "u", "_next", F.explode(F.filter(pairs, lambda p: p["s"] == 1)).alias("p"))
+    episodes = rows.groupBy("vehicle_id", "p.enter", "p.exit", "p.run").agg(((F.max(F.coalesce("_next", "u")) - F.min("u")) / 1e6).alias("dwell_s"))
     share = lambda c: F.avg(c.cast("double"))
     out = episodes.groupBy("enter", "exit").agg(F.count(F.lit(1)).alias("n_episodes"), share(F.col("dwell_s") < short_s).alias("short_share"), share(F.col("dwell_s") >= long_s).alias("long_share"))
     return out.withColumn("score", F.col("long_share") - F.col("short_share")).orderBy(F.desc("score"), "enter", "exit")
 
 
-def segment_stop_stats(traversals: DataFrame, episodes: DataFrame) -> DataFrame:
-    """(route_id, seg_seq, n_traversals, p_stop, mean_dwell_s): share of traversals in which a stop began, and mean dwell, 0 without stops; microseconds are summed as integers, so the mean doesn't depend on their order."""
-    began = episodes.select("vehicle_id", F.col("enter_fix_id").alias("fix_id"), F.round(F.col("dwell_s") * 1e6).cast("bigint").alias("dwell_us"))
-    joined = traversals.join(began, ["vehicle_id", "fix_id"], "left")
+def segment_stop_stats(traversals: DataFrame, episodes: DataFrame, keys: tuple[str, ...] = ("vehicle_id", "fix_id")) -> DataFrame:
+    """(route_id, seg_seq, n_traversals, p_stop, mean_dwell_s): share of traversals in which a stop began, and mean dwell, 0 without stops.
+
+    Episodes belong to the traversal of the same keys (enter_fix_id reads as
+    fix_id).  Microseconds are summed as integers, so the mean doesn't depend on
+    their order.
+    """
+    began = episodes.withColumnRenamed("enter_fix_id", "fix_id") if "fix_id" in keys else episodes
+    began = began.groupBy(*keys).agg(F.count(F.lit(1)).alias("_stops"), F.sum(F.round(F.col("dwell_s") * 1e6).cast("bigint")).alias("_us"))
+    joined = traversals.join(began, list(keys), "left")
     return joined.groupBy("route_id", "seg_seq").agg(
         F.count(F.lit(1)).alias("n_traversals"),
-        F.avg(F.col("dwell_us").isNotNull().cast("double")).alias("p_stop"),
-        F.coalesce(F.try_divide(F.sum("dwell_us").cast("double"), F.count("dwell_us").cast("double")) / 1e6, F.lit(0.0)).alias("mean_dwell_s"),
+        F.avg(F.col("_stops").isNotNull().cast("double")).alias("p_stop"),
+        F.coalesce(F.try_divide(F.sum("_us").cast("double"), F.sum("_stops").cast("double")) / 1e6, F.lit(0.0)).alias("mean_dwell_s"),
     )

@@ -12,7 +12,7 @@ _levels99 = "[" + ", ".join(str(i / 100) for i in range(1, 100)) + "]"
 PARTS = {
     "fixes": ("""SELECT event_type AS route_id, user_id AS vehicle_id, event_id AS fix_id, epoch_us(ts) AS u, value AS speed_kmh,
         CAST(CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) // 10 AS INTEGER) AS seg_seq,
-        CAST(hour(ts) // 6 AS INTEGER) AS time_bucket, CAST(round(value * 100) AS BIGINT) AS cents, day(ts) <= 20 AS history FROM events""", ()),
+        CAST(CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) % 10 AS DOUBLE) / 10 AS progress, CAST(hour(ts) // 6 AS INTEGER) AS time_bucket, CAST(round(value * 100) AS BIGINT) AS cents, day(ts) <= 20 AS history FROM events""", ()),
     "dist": ("SELECT *, CAST(sum(cents) OVER (PARTITION BY vehicle_id ORDER BY u, fix_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS dist_c FROM fixes", ("fixes",)),
     "past": ("SELECT *, speed_kmh AS x FROM fixes WHERE history", ("fixes",)),
     "pairs": ("""SELECT *, lead(u) OVER w AS next_u, lead(speed_kmh) OVER w AS next_v, lead(dist_c) OVER w AS next_c
@@ -56,7 +56,7 @@ PARTS = {
     "counted": ("SELECT *, len(list_filter(q, lambda v: v <= x)) AS below FROM live", ("live",)),
     "scored": ("""SELECT *, round(CASE WHEN below = 0 THEN 0.0::DOUBLE WHEN below > 100 THEN 100.0
         ELSE (below - 1) + (x - q[below]) / nullif(q[below + 1] - q[below], 0) END, 6) AS raw_pct FROM counted""", ("counted",)),
-    "terms": ("SELECT *, list(raw_pct) OVER (PARTITION BY vehicle_id ORDER BY u, fix_id ROWS BETWEEN 124 PRECEDING AND CURRENT ROW) AS ps FROM scored", ("scored",)),
+    "terms": ("SELECT *, list(raw_pct) OVER (PARTITION BY vehicle_id ORDER BY u, fix_id ROWS UNBOUNDED PRECEDING) AS ps FROM scored", ("scored",)),
     "ema": ("SELECT *, round(list_reduce(ps, lambda y, v: v * 0.2::DOUBLE + y * 0.8::DOUBLE), 6) AS ema_pct FROM terms", ("terms",)),
     "gated": ("""SELECT *, CASE WHEN raw_pct > 86 THEN 'anomaly_high' WHEN raw_pct < 12 THEN 'anomaly_low' ELSE 'micro' END AS channel,
         least(CAST(floor(ema_pct) AS INTEGER), 99) AS e FROM ema""", ("ema",)),
@@ -70,13 +70,49 @@ PARTS = {
     "stats": ("""SELECT route_id, seg_seq, count(*) AS n_traversals, avg(CAST(exit_u IS NOT NULL AS DOUBLE)) AS p_stop,
         coalesce(sum(exit_u - enter_u)::DOUBLE / nullif(count(exit_u), 0) / 1e6, 0) AS mean_dwell_s FROM past LEFT JOIN episodes ON episodes.vehicle_id = past.vehicle_id AND enter_fix_id = fix_id GROUP BY route_id, seg_seq""", ("past", "episodes")),
     "plan": ("""SELECT a.vehicle_id, a.route_id, a.seg_seq AS cur, a.total_ms, b.seg_seq, b.p10, b.p50,
+        round(coalesce((1 - a.progress) * c.p50, 0), 6) AS remaining_current,
+        round(b.q[e + 1] + (ema_pct - e) * (b.q[e + 2] - b.q[e + 1]), 6) AS pace_s,
+        round(coalesce((1 - a.progress) * round(c.q[e + 1] + (ema_pct - e) * (c.q[e + 2] - c.q[e + 1]), 6), 0), 6) AS remaining_pace,
         coalesce(p_stop, 0) * coalesce(mean_dwell_s, 0) AS weight
-        FROM agent a JOIN baseline b ON b.route_id = a.route_id AND b.seg_seq > a.seg_seq LEFT JOIN stats s ON s.route_id = b.route_id AND s.seg_seq = b.seg_seq""", ("agent", "baseline", "stats")),
+        FROM agent a JOIN baseline b ON b.route_id = a.route_id AND b.seg_seq > a.seg_seq LEFT JOIN baseline c ON c.route_id = a.route_id AND c.seg_seq = a.seg_seq
+        LEFT JOIN stats s ON s.route_id = b.route_id AND s.seg_seq = b.seg_seq""", ("agent", "baseline", "stats")),
     "shares": ("""SELECT *, round(CASE WHEN sum(weight) OVER w > 0 THEN greatest(0, total_ms) / 1000 * weight / nullif(sum(weight) OVER w, 0)
         ELSE greatest(0, total_ms) / 1000 / count(*) OVER w END, 6) AS share FROM plan WINDOW w AS (PARTITION BY vehicle_id)""", ("plan",)),
     "tick": ("""SELECT *, round(least(share, p50 - p10), 6) AS capped FROM shares""", ("shares",)),
-    "ahead": ("""SELECT *, round(greatest(0.0::DOUBLE, greatest(0, total_ms) / 1000 - sum(capped) OVER w), 6) AS delay_after, round(sum(p50 - capped) OVER w, 6) AS eta_s
+    "ahead": ("""SELECT *, round(greatest(0.0::DOUBLE, greatest(0, total_ms) / 1000 - sum(capped) OVER w), 6) AS delay_after, round(remaining_current + sum(p50 - capped) OVER w, 6) AS eta_s,
+        round(remaining_pace + sum(greatest(pace_s - capped, least(p10, pace_s))) OVER w, 6) AS pace_eta_s
         FROM tick WINDOW w AS (PARTITION BY vehicle_id ORDER BY seg_seq ROWS UNBOUNDED PRECEDING)""", ("tick",)),
+    "zoned": ("""SELECT g.*, coalesce(z.lo, 12) AS lo, coalesce(z.hi, 86) AS hi FROM ema g LEFT JOIN (
+        SELECT grp, CASE WHEN max(lo) <= min(hi) THEN max(lo) END AS lo, CASE WHEN max(lo) <= min(hi) THEN min(hi) END AS hi FROM zones
+        WHERE (method = 'curvature' AND tol = 2) OR (method = 'inflection' AND tol = 1) GROUP BY grp) z ON z.grp = g.route_id""", ("ema", "zones")),
+    "zone_gated": ("""SELECT *, CASE WHEN raw_pct > hi THEN 'anomaly_high' WHEN raw_pct < lo THEN 'anomaly_low' ELSE 'micro' END AS channel,
+        least(CAST(floor(ema_pct) AS INTEGER), 99) AS e FROM zoned""", ("zoned",)),
+    "zone_steps": ("""SELECT *, CAST(round(CASE channel WHEN 'anomaly_high' THEN (x - q[hi + 1]) * 1000 WHEN 'anomaly_low' THEN (x - q[lo + 1]) * 1000 ELSE 0 END) AS BIGINT) AS a_step,
+        CAST(round(CASE channel WHEN 'micro' THEN (q[e + 1] + (ema_pct - e) * (q[e + 2] - q[e + 1]) - q[51]) * 1000 ELSE 0 END) AS BIGINT) AS m_step FROM zone_gated""", ("zone_gated",)),
+    "zone_dual": ("""SELECT *, CAST(sum(a_step) OVER w AS BIGINT) AS anomaly_ms, CAST(sum(m_step) OVER w AS BIGINT) AS micro_ms,
+        CAST(sum(a_step + m_step) OVER w AS BIGINT) AS total_ms FROM zone_steps WINDOW w AS (PARTITION BY vehicle_id ORDER BY u, fix_id ROWS UNBOUNDED PRECEDING)""", ("zone_steps",)),
+    "line": ("SELECT vehicle_id, fix_id, u, next_u, speed_kmh, next_v, dist_c / 100.0::DOUBLE AS d, next_c / 100.0::DOUBLE AS next_d FROM pairs WHERE next_u IS NOT NULL", ("pairs",)),
+    "ends": ("SELECT vehicle_id, min(d) AS began FROM line GROUP BY vehicle_id", ("line",)),
+    "places": ("""SELECT vehicle_id, k, u + CAST(round((k * 500 - d) / (next_d - d) * (next_u - u)) AS BIGINT) AS at_u
+        FROM (SELECT *, unnest(generate_series(0, 10)) AS k FROM line JOIN ends USING (vehicle_id)) WHERE next_d > d AND (k * 500 > d OR (k * 500 = d AND d = began)) AND k * 500 <= next_d""", ("line", "ends")),
+    "passed": ("""SELECT a.vehicle_id, CAST(a.k AS INTEGER) AS seg_seq, (b.at_u - a.at_u) / 1e6 AS x FROM places a JOIN places b ON b.vehicle_id = a.vehicle_id AND b.k = a.k + 1""", ("places",)),
+    "grid_points": ("""SELECT vehicle_id, k, speed_kmh + (k * 3600000000 - u)::DOUBLE / (next_u - u) * (next_v - speed_kmh) AS v, d + (k * 3600000000 - u)::DOUBLE / (next_u - u) * (next_d - d) AS d
+        FROM (SELECT *, unnest(generate_series((u + 3599999999) // 3600000000, (next_u - 1) // 3600000000)) AS k FROM line)""", ("line",)),
+    "grid_errors": ("""SELECT vehicle_id, k, round(list_sum(list_transform(range(1, 12), lambda i: (xs[i + 1] - xs[i]) * (xs[i + 1] - xs[i]))) / 11, 4) AS mse FROM (
+        SELECT *, list(v) OVER (PARTITION BY vehicle_id ORDER BY k ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS xs FROM grid_points) WHERE len(xs) = 12""", ("grid_points",)),
+    "grid_bad": ("SELECT vehicle_id, k FROM grid_errors WHERE mse > (SELECT round(quantile_cont(mse, 0.99), 6) FROM grid_errors)", ("grid_errors",)),
+    "grid_clean": ("SELECT * FROM grid_points ANTI JOIN grid_bad USING (vehicle_id, k)", ("grid_points", "grid_bad")),
+    "line_samples": ("""SELECT * FROM passed ANTI JOIN (SELECT vehicle_id, CAST(floor(d / 500) AS INTEGER) AS seg_seq FROM grid_points SEMI JOIN grid_bad USING (vehicle_id, k)) b
+        USING (vehicle_id, seg_seq)""", ("passed", "grid_points", "grid_bad")),
+    "grid_marks": ("""SELECT *, coalesce(last_value(CASE WHEN v <= 5 THEN 1 WHEN v >= 10 THEN 0 END IGNORE NULLS) OVER (PARTITION BY vehicle_id ORDER BY k ROWS UNBOUNDED PRECEDING), 0) AS stopped,
+        lead(k) OVER (PARTITION BY vehicle_id ORDER BY k) AS next_k FROM grid_clean""", ("grid_clean",)),
+    "grid_turns": ("""SELECT *, CASE WHEN stopped <> lag(stopped, 1, 0) OVER (PARTITION BY vehicle_id ORDER BY k) THEN 1 ELSE 0 END AS change FROM grid_marks""", ("grid_marks",)),
+    "grid_stops": ("""SELECT vehicle_id, CAST(floor(arg_min(d, k) / 500) AS INTEGER) AS seg_seq, (max(coalesce(next_k, k)) - min(k)) * 3600000000 AS us FROM (
+        SELECT *, sum(change) OVER (PARTITION BY vehicle_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM grid_turns) WHERE stopped = 1 GROUP BY vehicle_id, run""", ("grid_turns",)),
+    "line_stats": ("""SELECT seg_seq, count(*) AS n_traversals, avg(CAST(stops IS NOT NULL AS DOUBLE)) AS p_stop, coalesce(sum(us)::DOUBLE / nullif(sum(stops), 0) / 1e6, 0) AS mean_dwell_s
+        FROM line_samples LEFT JOIN (SELECT vehicle_id, seg_seq, count(*) AS stops, sum(us) AS us FROM grid_stops GROUP BY vehicle_id, seg_seq) USING (vehicle_id, seg_seq) GROUP BY seg_seq""", ("line_samples", "grid_stops")),
+    "line_baseline": ("SELECT seg_seq, count(*) AS n, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90 FROM line_samples GROUP BY seg_seq", ("line_samples",)),
+    "line_rows": ("SELECT 'line' AS route_id, * FROM line_baseline JOIN line_stats USING (seg_seq)", ("line_baseline", "line_stats")),
 }
 
 #: Each query's columns and the part that they come from, then anything after it.
@@ -109,15 +145,19 @@ SELECTS = {
     "q_anomaly_delay": ("vehicle_id, fix_id, anomaly_ms", "dual"),
     "q_micro_delay": ("vehicle_id, fix_id, micro_ms", "dual"),
     "q_dual_delay": ("vehicle_id, fix_id, channel, anomaly_ms, micro_ms, total_ms", "dual"),
-    "q_agent_state": ("vehicle_id, u AS last_u, route_id, seg_seq, live_stopped AS stopped, ema_pct, anomaly_ms, micro_ms", "agent"),
-    "q_agent_stream": ("vehicle_id, u AS last_u, route_id, seg_seq, live_stopped AS stopped, ema_pct, anomaly_ms, micro_ms", "agent"),
+    "q_channel_calibrated": ("vehicle_id, fix_id, lo, hi, channel", "zone_gated"),
+    "q_dual_delay_calibrated": ("vehicle_id, fix_id, channel, anomaly_ms, micro_ms, total_ms", "zone_dual"),
+    "q_prepared_baseline": ("route_id, seg_seq, n, p10, p50, p90, n_traversals, p_stop, mean_dwell_s", "line_rows"),
+    "q_eta_pace": ("vehicle_id, route_id, seg_seq, remaining_pace AS remaining_current, pace_s, pace_eta_s AS eta_s", "ahead"),
+    "q_agent_state": ("vehicle_id, u AS last_u, route_id, seg_seq, progress, live_stopped AS stopped, ema_pct, anomaly_ms, micro_ms", "agent"),
+    "q_agent_stream": ("vehicle_id, u AS last_u, route_id, seg_seq, progress, live_stopped AS stopped, ema_pct, anomaly_ms, micro_ms", "agent"),
     "q_eta_sink": ("vehicle_id, route_id, seg_seq, capped AS recovery, delay_after, eta_s", "ahead"),
     "q_stop_stats": ("*", "stats"),
     "q_recovery_alloc": ("vehicle_id, route_id, seg_seq, weight, share AS recovery", "shares"),
     "q_recovery_capped": ("vehicle_id, route_id, seg_seq, weight, capped AS recovery", "tick"),
     "q_delay_propagation": ("vehicle_id, route_id, seg_seq, delay_after", "ahead"),
     "q_eta": ("vehicle_id, route_id, seg_seq, eta_s", "ahead"),
-    "q_flagship": ("vehicle_id, route_id, cur, seg_seq, total_ms, capped AS recovery, delay_after, eta_s", "ahead"),
+    "q_flagship": ("vehicle_id, route_id, cur, seg_seq, total_ms, remaining_current, capped AS recovery, delay_after, eta_s", "ahead"),
 }
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from headway.functions.scalars import channel
 from headway.operators import anomaly, delay, prep, quantiles, recovery, safezone, stops
+from headway.plans import prepared
 from headway.sources import fixes as src
 from headway.streaming import agent
 
@@ -32,7 +33,7 @@ def q_source_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_travel_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.travel_samples(base(spark, sf_dir))
+    return src.travel_samples(base(spark, sf_dir)).drop("progress")
 
 
 def q_route_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def q_mse_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_outlier_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = persistence(spark, sf_dir)
+    scored = src.table(persistence(spark, sf_dir).select("vehicle_id", "fix_id", "history", "mse"), "scored")
     kept = anomaly.reject(base(spark, sf_dir), scored, anomaly.threshold(scored.filter("history"), REJECT))
     return kept.select("vehicle_id", "fix_id", "speed_kmh")
 
@@ -77,6 +78,15 @@ def q_ae_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.reconstruction_mse(xs.filter("not history"), model).select("vehicle_id", F.col("fix_id").alias("end_fix_id"), "mse")
 
 
+def q_ae_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixes that the autoencoder, which learns from the history, leaves; the threshold is the history's."""
+    xs = windows(spark, sf_dir)
+    scored = anomaly.reconstruction_mse(xs, anomaly.fit_autoencoder(xs.filter("history")))
+    scored = src.table(scored.select("vehicle_id", "fix_id", "history", "mse"), "scored")
+    kept = anomaly.reject(base(spark, sf_dir), scored, anomaly.threshold(scored.filter("history"), REJECT))
+    return kept.select("vehicle_id", "fix_id", "speed_kmh")
+
+
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stops.stop_state(base(spark, sf_dir).select("vehicle_id", "fix_id", "u", "speed_kmh", "history"))
 
@@ -127,8 +137,7 @@ def q_qq_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_safe_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = qq(spark, sf_dir)
-    return safezone.intersect_zones(safezone.zone_curvature(points), safezone.zone_inflection(points))
+    return zones(spark, sf_dir)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +153,23 @@ def q_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("vehicle_id", "fix_id", channel(F.col("raw_pct")).alias("channel"))
 
 
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = qq(spark, sf_dir)
+    return safezone.intersect_zones(safezone.zone_curvature(points), safezone.zone_inflection(points))
+
+
+def q_channel_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels by each route's own calibrated zone."""
+    rows = delay.with_zone(scored(spark, sf_dir), zones(spark, sf_dir))
+    return rows.select("vehicle_id", "fix_id", "lo", "hi", channel(F.col("raw_pct"), F.col("lo"), F.col("hi")).alias("channel"))
+
+
+def q_dual_delay_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both delays with each route's own calibrated zone as the gate."""
+    rows = delay.delays(delay.ema(delay.with_zone(scored(spark, sf_dir), zones(spark, sf_dir))), F.col("lo"), F.col("hi"))
+    return rows.select("vehicle_id", "fix_id", "channel", "anomaly_ms", "micro_ms", "total_ms")
+
+
 def q_ema_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delay.ema(scored(spark, sf_dir)).select("vehicle_id", "fix_id", "ema_pct")
 
@@ -166,13 +192,13 @@ def q_dual_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agent_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch twin of the streaming agent: each vehicle's last live state."""
-    live = delayed(spark, sf_dir).withColumn("speed_kmh", F.col("x"))
-    rows = stops.stop_state(live).select("vehicle_id", "fix_id", "u", "route_id", "seg_seq", "stopped", "ema_pct", "anomaly_ms", "micro_ms", "total_ms")
+    live = delayed(spark, sf_dir).filter("raw_pct is not null").withColumn("speed_kmh", F.col("x"))
+    rows = stops.stop_state(live).select("vehicle_id", "fix_id", "u", "route_id", "seg_seq", "progress", "stopped", "ema_pct", "anomaly_ms", "micro_ms", "total_ms")
     return delay.latest(rows)
 
 
 def q_agent_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agent_state(spark, sf_dir).select("vehicle_id", F.col("u").alias("last_u"), "route_id", "seg_seq", "stopped", "ema_pct", "anomaly_ms", "micro_ms")
+    return agent_state(spark, sf_dir).select("vehicle_id", F.col("u").alias("last_u"), "route_id", "seg_seq", "progress", "stopped", "ema_pct", "anomaly_ms", "micro_ms")
 
 
 def stop_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,13 +230,26 @@ def q_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.eta(recovery.allocate(plan(spark, sf_dir))).select("vehicle_id", "route_id", "seg_seq", "eta_s")
 
 
+def q_eta_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals at each vehicle's own pace: quantiles at its smoothed percentile instead of medians."""
+    rows = recovery.remaining(agent_state(spark, sf_dir), baseline(spark, sf_dir), stop_stats(spark, sf_dir), pace="ema")
+    return recovery.eta(recovery.allocate(rows)).select("vehicle_id", "route_id", "seg_seq", "remaining_current", "pace_s", "eta_s")
+
+
+def q_prepared_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five preparation stages over the adapter's reports as one line of ten segments; rejection by the persistence error, which SQL can check."""
+    fixes = src.line_fixes(base(spark, sf_dir))
+    found = prepared.prepare(fixes, src.line_segments(spark), STEP_S, REJECT, lambda w: prep.persistence_mse(w).withColumn("mse", F.round("mse", 4)))
+    return found.baseline.drop("q").join(found.stats, ["route_id", "seg_seq"])
+
+
 def run_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From history and live fixes to recovery, propagation and arrivals for every vehicle and segment ahead."""
     return recovery.eta(recovery.propagate(recovery.allocate(plan(spark, sf_dir))))
 
 
 def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_tick(spark, sf_dir).select("vehicle_id", "route_id", "cur", "seg_seq", "total_ms", "recovery", "delay_after", "eta_s")
+    return run_tick(spark, sf_dir).select("vehicle_id", "route_id", "cur", "seg_seq", "total_ms", "remaining_current", "recovery", "delay_after", "eta_s")
 
 
 def q_agent_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ files; `read_fixes` and `read_segments` read those, in batch or as a stream.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,13 +26,28 @@ def by_vehicle() -> Window:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir, for streams' checkpoints and sinks; a temporary one where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    """The shared folder of spark.checkpoint.dir, for streams' checkpoints, sinks and tables; on a local master, as in tests, a temporary one where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
-def read_fixes(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Landed position reports (FIXES), with `u`, their time in microseconds."""
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet to the shared folder, so that nothing that reads it twice computes it twice."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_fixes(spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None) -> DataFrame:
+    """Landed position reports (FIXES), with `u`, their time in microseconds; a stream takes at most max_files files into a micro-batch."""
     reader = spark.readStream if streaming else spark.read
+    if streaming and max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.schema(FIXES).parquet(path).withColumn("u", F.unix_micros("ts"))
 
 
@@ -52,6 +68,7 @@ def adapt(events: DataFrame) -> DataFrame:
         F.unix_micros(ts).alias("u"),
         F.col("value").alias("speed_kmh"),
         F.expr("cast(cast(get_json_object(props, '$.k') as int) div 10 as int)").alias("seg_seq"),
+        F.expr("cast(cast(get_json_object(props, '$.k') as int) % 10 as double) / 10").alias("progress"),
         F.expr("cast(hour(ts) div 6 as int)").alias("time_bucket"),
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
         (F.dayofmonth("ts") <= HISTORY_DAYS).alias("history"),
@@ -77,8 +94,19 @@ def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def travel_samples(fixes: DataFrame, history: bool = True) -> DataFrame:
     """Travel-time samples of the history (or the live) period."""
-    return fixes.filter("history" if history else "not history").select("route_id", "seg_seq", "time_bucket", "vehicle_id", "fix_id", "u", F.col("speed_kmh").alias("x"))
+    return fixes.filter("history" if history else "not history").select("route_id", "seg_seq", "time_bucket", "vehicle_id", "fix_id", "u", "progress", F.col("speed_kmh").alias("x"))
 
 
 def for_route(df: DataFrame, route_id: str) -> DataFrame:
     return df.filter(F.col("route_id") == route_id)
+
+
+def line_fixes(fixes: DataFrame) -> DataFrame:
+    """The adapter's fixes in the landed schema: every vehicle runs along one line, its distance the running sum."""
+    moved = with_distance(fixes)
+    return moved.select(F.lit("line").alias("route_id"), "vehicle_id", "fix_id", "ts", "u", "speed_kmh", (F.col("dist_c") / 100.0).alias("dist_m"))
+
+
+def line_segments(spark: SparkSession, n: int = 10, length_m: float = 500.0) -> DataFrame:
+    """The line's segments: n of one length."""
+    return spark.range(n).select(F.lit("line").alias("route_id"), F.col("id").cast("int").alias("seg_seq"), F.lit(float(length_m)).alias("length_m"))

@@ -1,12 +1,14 @@
 """The stateful bus agent on Structured Streaming, and the arrival-estimate sink.
 
-Each vehicle's state is its last time and segment, whether it stands, its
-smoothed percentile and the two delay accumulators.  A fix that is not later
-than the state is counted and not applied.
+Each vehicle's state is its last time and segment, how much of that lies behind,
+whether it stands, its smoothed percentile and the two delay accumulators.  A
+fix that is not later than the state, and one without a time or percentile, are
+counted and not applied.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
@@ -20,7 +22,7 @@ from headway.functions.scalars import HI, LO
 from headway.operators import delay, quantiles, recovery, stops
 from headway.sources import fixes as src
 
-STATE = "u bigint, fix_id bigint, route_id string, seg_seq int, stopped int, ema_pct double, anomaly_ms bigint, micro_ms bigint, late bigint"
+STATE = "u bigint, fix_id bigint, route_id string, seg_seq int, stopped int, ema_pct double, anomaly_ms bigint, micro_ms bigint, progress double, late bigint, skipped bigint"
 OUT = f"vehicle_id bigint, {STATE}"
 FIELDS = [f.split()[0] for f in STATE.split(", ")]
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,7 +44,9 @@ class BusAgent(StatefulProcessor):
         self.state = handle.getValueState("agent", STATE)
 
     def step(self, s: dict, r) -> dict:
-        """The state after one fix with its segment's quantiles q and raw_pct."""
+        """The state after one fix with its segment's quantiles q, raw_pct and progress; pandas reads nulls as NaN or None."""
+        if any(v is None or math.isnan(v) for v in (r.u, r.x, r.raw_pct)):
+            return s | {"skipped": s["skipped"] + 1}
         if s["u"] is not None and (r.u, r.fix_id) <= (s["u"], s["fix_id"]):
             return s | {"late": s["late"] + 1}
         x, q = r.x, r.q
@@ -57,11 +61,12 @@ class BusAgent(StatefulProcessor):
             i = min(int(p), 99)
             micro += int(half_up((q[i] + (p - i) * (q[i + 1] - q[i]) - q[50]) * 1000, 0))
         stopped = 1 if x <= self.enter else 0 if x >= self.exit_ else s["stopped"]
-        return s | {"u": int(r.u), "fix_id": int(r.fix_id), "route_id": r.route_id, "seg_seq": int(r.seg_seq), "stopped": stopped, "ema_pct": pct, "anomaly_ms": anomaly, "micro_ms": micro}
+        progress = None if r.progress is None or math.isnan(r.progress) else float(r.progress)
+        return s | {"u": int(r.u), "fix_id": int(r.fix_id), "route_id": r.route_id, "seg_seq": int(r.seg_seq), "stopped": stopped, "ema_pct": pct, "anomaly_ms": anomaly, "micro_ms": micro, "progress": progress}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         old = self.state.get() if self.state.exists() else None
-        s = dict(zip(FIELDS, old)) if old else dict.fromkeys(FIELDS) | {"stopped": 0, "anomaly_ms": 0, "micro_ms": 0, "late": 0}
+        s = dict(zip(FIELDS, old)) if old else dict.fromkeys(FIELDS) | {"stopped": 0, "anomaly_ms": 0, "micro_ms": 0, "late": 0, "skipped": 0}
         for r in pd.concat(list(rows)).sort_values(["u", "fix_id"], kind="stable").itertuples():
             s = self.step(s, r)
         self.state.update(tuple(s[f] for f in FIELDS))
@@ -72,9 +77,11 @@ class BusAgent(StatefulProcessor):
 
 
 def agent_stream(live: DataFrame, baseline: DataFrame, agent: BusAgent | None = None) -> DataFrame:
-    """A stream of live samples (ts, u, vehicle_id, fix_id, route_id, seg_seq, x) to the vehicles' states."""
+    """A stream of live samples (ts, u, vehicle_id, fix_id, route_id, seg_seq, x, and progress where it is known) to the vehicles' states."""
     rows = quantiles.raw_pct(live.withWatermark("ts", WATERMARK), baseline)
-    rows = rows.select("vehicle_id", "fix_id", "u", "route_id", "seg_seq", "x", "q", "raw_pct")
+    if "progress" not in rows.columns:
+        rows = rows.withColumn("progress", F.lit(None).cast("double"))
+    rows = rows.select("vehicle_id", "fix_id", "u", "route_id", "seg_seq", "x", "q", "raw_pct", "progress")
     return rows.groupBy("vehicle_id").transformWithStateInPandas(agent or BusAgent(), outputStructType=OUT, outputMode="Update", timeMode="None")
 
 
@@ -89,7 +96,7 @@ def write_eta(states: DataFrame, sink: str, baseline: DataFrame, stats: DataFram
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        state = batch.withColumn("total_ms", F.col("anomaly_ms") + F.col("micro_ms"))
+        state = batch.filter("u is not null").withColumn("total_ms", F.col("anomaly_ms") + F.col("micro_ms"))
         plan = recovery.remaining(state, baseline, stats)
         out = recovery.eta(recovery.propagate(recovery.allocate(plan)))
         out.select("vehicle_id", "route_id", "seg_seq", "recovery", "delay_after", "eta_s").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
@@ -97,18 +104,11 @@ def write_eta(states: DataFrame, sink: str, baseline: DataFrame, stats: DataFram
     return states.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet to the shared folder, so that no micro-batch recomputes it."""
-    path = f"{src.scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def run_to_end(spark: SparkSession, sf_dir: str, baseline: DataFrame) -> DataFrame:
     """Run the agent over all live fixes there are; each vehicle's last state."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     place = f"{src.scratch(spark)}/agent-{uuid.uuid4().hex}"
-    states = agent_stream(live_samples(spark, sf_dir), table(baseline, "baseline"))
+    states = agent_stream(live_samples(spark, sf_dir), src.table(baseline, "baseline"))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/states/batch={batch_id}")
@@ -116,15 +116,15 @@ def run_to_end(spark: SparkSession, sf_dir: str, baseline: DataFrame) -> DataFra
     query = states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     found = spark.read.schema(f"{OUT}, batch bigint").parquet(f"{place}/states")
-    last = delay.latest(found.withColumn("u", F.coalesce("u", F.lit(0))))
-    return last.select("vehicle_id", F.col("u").alias("last_u"), "route_id", "seg_seq", "stopped", F.round("ema_pct", 6).alias("ema_pct"), "anomaly_ms", "micro_ms")
+    last = delay.latest(found.filter("u is not null"))
+    return last.select("vehicle_id", F.col("u").alias("last_u"), "route_id", "seg_seq", "progress", "stopped", F.round("ema_pct", 6).alias("ema_pct"), "anomaly_ms", "micro_ms")
 
 
 def publish_eta(spark: SparkSession, sf_dir: str, baseline: DataFrame, stats: DataFrame) -> DataFrame:
     """Run the agent and the sink over all live fixes; what was published."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     place = f"{src.scratch(spark)}/eta-{uuid.uuid4().hex}"
-    base, stop = table(baseline, "baseline"), table(stats, "stats")
+    base, stop = src.table(baseline, "baseline"), src.table(stats, "stats")
     query = write_eta(agent_stream(live_samples(spark, sf_dir), base), f"{place}/eta", base, stop, f"{place}/checkpoint")
     query.awaitTermination()
     return spark.read.parquet(f"{place}/eta").drop("batch")

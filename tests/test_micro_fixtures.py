@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from headway.functions import scalars
-from headway.operators import delay, prep, quantiles, recovery, safezone, stops
+from headway.operators import delay, prep, quantiles, recovery, safezone, stops, travel
+from headway.plans import prepared
 from headway.sources import fixes as src
 
 
@@ -61,14 +62,17 @@ def test_ema(spark):
     assert [r["ema_pct"] for r in delay.ema(rows).orderBy("u").collect()] == [50.0, 60.0, 48.0]
 
 
-def test_long_ema_equals_the_recursion(spark):
-    xs = [float(i * 37 % 101) for i in range(400)]
-    y, want = xs[0], []
+@pytest.mark.parametrize("alpha", [0.01, 0.05, 0.2, 1.0])
+def test_long_ema_equals_the_recursion(spark, alpha):
+    """5,000 rows of a vehicle, and one of two rows; nulls keep the value."""
+    xs = [float(i * 37 % 101) if i % 11 else None for i in range(5000)]
+    y, want = None, []
     for x in xs:
-        y = 0.2 * x + 0.8 * y if want else x
+        y = y if x is None else x if y is None else alpha * x + (1 - alpha) * y
         want.append(y)
-    rows = spark.createDataFrame([(1, i, i, x) for i, x in enumerate(xs)], "vehicle_id long, fix_id long, u long, raw_pct double")
-    assert [r["ema_pct"] for r in delay.ema(rows).orderBy("u").collect()] == pytest.approx(want, abs=1e-6)
+    rows = spark.createDataFrame([(1, i, i, x) for i, x in enumerate(xs)] + [(2, 0, 0, 3.0), (2, 1, 1, 4.0)], "vehicle_id long, fix_id long, u long, raw_pct double")
+    got = [r["ema_pct"] for r in delay.ema(rows, alpha).orderBy("vehicle_id", "u").collect()]
+    assert got[0] is None and got[1:5000] == pytest.approx(want[1:], abs=6e-7) and got[5000:] == pytest.approx([3.0, 3 + alpha], abs=6e-7)
 
 
 def test_channel_edges(spark):
@@ -85,6 +89,32 @@ def test_percentile_lookup(spark):
     assert tuple(at) == (0.0, 37.5, 100.0)
 
 
+def test_unknown_values_have_no_percentile(spark):
+    live = spark.createDataFrame([("r", 1, None), ("r", 1, float("nan"))], "route_id string, seg_seq int, x double")
+    base = spark.createDataFrame([("r", 1, [float(i) for i in range(101)])], "route_id string, seg_seq int, q array<double>")
+    rows = quantiles.raw_pct(live, base).select("raw_pct", scalars.channel(F.col("raw_pct")).alias("c")).collect()
+    assert [tuple(r) for r in rows] == [(None, None)] * 2
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    """Groups of one value, of many equal ones, of a null key, with nulls and NaN, and one much larger than the others."""
+    import random
+
+    random.seed(7)
+    rows = [("one", 4.0), ("same", 2.0)] + [("same", 2.0)] * 50 + [(None, float(i * 7 % 31)) for i in range(200)] + [("none", None), ("nan", float("nan"))]
+    rows += [("hot", random.choice([random.gauss(0, 9), 1.5, random.expovariate(0.1)])) for _ in range(5000)] + [("hot", None), ("hot", float("nan"))]
+    table = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    levels = [0.0, 0.011, 0.25, 0.5, 0.99, 1.0]
+    got = {r["g"]: (r["n"], r["q"]) for r in quantiles.exact_quantiles(table, ("g",), "x", levels).collect()}
+    usable = table.filter("x is not null and not isnan(x)")
+    want = {r["g"]: (r["n"], r["q"]) for r in usable.groupBy("g").agg(F.count("x").alias("n"), F.percentile("x", F.array(*map(F.lit, levels))).alias("q")).collect()}
+    assert got.keys() == want.keys() == {"one", "same", None, "hot"}
+    for g in want:
+        assert got[g][0] == want[g][0] and got[g][1] == pytest.approx(want[g][1], abs=1e-9)
+    assert quantiles.exact_quantiles(table, (), "x", [0.5]).first()["q"][0] == pytest.approx(usable.agg(F.percentile("x", F.lit(0.5))).first()[0])
+    assert quantiles.exact_quantiles(table.limit(0), ("g",), "x", [0.5]).count() == 0
+
+
 def zone(spark, lo, hi):
     return spark.createDataFrame([("g", lo, hi)], "grp string, lo int, hi int")
 
@@ -127,6 +157,85 @@ def test_propagation_and_eta(spark):
     assert [r["eta_s"] for r in rows] == [90.0, 170.0, 240.0]
 
 
+def test_eta_with_progress_and_pace(spark):
+    """Half of the current segment is left; at the vehicle's percentile or at the median."""
+    base = spark.createDataFrame([("r", k, 90.0, 100.0, [float(50 + i) for i in range(101)]) for k in range(3)], "route_id string, seg_seq int, p10 double, p50 double, q array<double>")
+    stats = spark.createDataFrame([("r", 1, 1.0, 5.0)], "route_id string, seg_seq int, p_stop double, mean_dwell_s double")
+    state = spark.createDataFrame([(1, "r", 0, 0, 0.5, 70.0), (2, "r", 2, 0, 0.5, 70.0), (3, "x", 0, 0, 0.5, 70.0), (4, "r", 0, 0, None, 70.0)], "vehicle_id long, route_id string, seg_seq int, total_ms long, progress double, ema_pct double")
+    of = lambda pace: {(r["vehicle_id"], r["seg_seq"]): r["eta_s"] for r in recovery.eta(recovery.allocate(recovery.remaining(state, base, stats, pace))).collect()}
+    assert of("median") == {(1, 1): 150.0, (1, 2): 250.0, (4, 1): 100.0, (4, 2): 200.0}
+    assert of("ema") == {(1, 1): 180.0, (1, 2): 300.0, (4, 1): 120.0, (4, 2): 240.0}
+
+
+def test_calibrated_zone_gates(spark):
+    live = spark.createDataFrame([(1, i, i, r, float(p), float(p), float(p), [float(k) for k in range(101)]) for i, (r, p) in enumerate([("a", 30), ("a", 90), ("b", 30), ("c", 10)])], "vehicle_id long, fix_id long, u long, route_id string, x double, raw_pct double, ema_pct double, q array<double>")
+    zones = spark.createDataFrame([("a", 40, 95), ("b", None, None)], "grp string, lo int, hi int")
+    rows = delay.delays(delay.with_zone(live, zones), F.col("lo"), F.col("hi")).orderBy("u").collect()
+    assert [(r["channel"], r["anomaly_step"], r["micro_step"]) for r in rows] == [("anomaly_low", -10_000, 0), ("micro", 0, 40_000), ("micro", 0, -20_000), ("anomaly_low", -2_000, 0)]
+
+
+def landed(spark, rows):
+    """(vehicle, seconds, speed, metres) in the landed schema, with u."""
+    import datetime
+
+    t0 = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    out = [("r", v, i, t0 + datetime.timedelta(seconds=t), float(s), None if d is None else float(d)) for i, (v, t, s, d) in enumerate(rows)]
+    return spark.createDataFrame(out, src.FIXES).withColumn("u", F.unix_micros("ts"))
+
+
+@pytest.fixture
+def segments(spark):
+    return spark.createDataFrame([("r", 0, 100.0), ("r", 1, 50.0), ("r", 2, 100.0)], src.SEGMENTS)
+
+
+def test_landed_fixes_give_travel_times(spark, segments):
+    """A trip of 10 m/s with a halt, and a second one that begins inside segment 0; by hand."""
+    rows = [(1, 0, 36, 0), (1, 10, 36, 100), (1, 12, 36, 120), (1, 22, 0, 120), (1, 35, 36, 250)]
+    rows += [(1, 100, 36, 40), (1, 120, 36, 240), (2, 0, 36, 90), (2, 5, 36, None), (2, 10, 36, 160)]
+    moved = travel.with_trips(landed(spark, rows))
+    assert [r["trip"] for r in moved.filter("vehicle_id = 1").orderBy("u").collect()] == [0, 0, 0, 0, 0, 1, 1]
+    crossed = travel.segment_crossings(moved, segments)
+    at = {(r["vehicle_id"], r["trip"], r["seg_seq"]): tuple(None if r[c] is None else (r[c] - 1704067200000000) / 1e6 for c in ("enter_u", "leave_u")) for r in crossed.collect()}
+    assert at == {(1, 0, 0): (0, 10), (1, 0, 1): (10, 25), (1, 0, 2): (25, 35), (1, 1, 0): (None, 106), (1, 1, 1): (106, 111), (1, 1, 2): (111, None), (2, 0, 0): (None, 1.428571), (2, 0, 1): (1.428571, 8.571429), (2, 0, 2): (8.571429, None)}
+    got = {(r["vehicle_id"], r["trip"], r["seg_seq"]): r["x"] for r in travel.travel_times(crossed).collect()}
+    assert got == {(1, 0, 0): 10.0, (1, 0, 1): 15.0, (1, 0, 2): 10.0, (1, 1, 1): 5.0, (2, 0, 1): pytest.approx(7.142858)}
+    here = {(r["vehicle_id"], r["fix_id"]): (r["seg_seq"], r["progress"]) for r in travel.with_progress(landed(spark, rows), segments).collect()}
+    assert here[1, 0] == (0, 0.0) and here[1, 1] == (1, 0.0) and here[1, 2] == (1, 0.4) and here[1, 6] == (2, 0.9) and (1, 4) not in here
+    (c,) = prep.estimate_crossings(moved.filter("vehicle_id = 2"), 100, "dist_m").collect()
+    assert (c["boundary"], round(c["cross_s"] - 1704067200, 3)) == (1, 1.429)
+
+
+@pytest.mark.parametrize("model", [False, True])
+def test_five_stages_reach_a_baseline(spark, segments, model):
+    """Vehicles at 10 m/s that halt at 120 m from second 12 to 32; one reports a wild speed in segment 2 and loses that travel time."""
+    rows = []
+    for v in range(12):
+        for t in sorted([*range(0, 46, 5), 12, 32]):
+            d = 10 * t if t <= 12 else 120 if t <= 32 else 120 + 10 * (t - 32)
+            rows.append((v, t, 400 if (v, t) == (3, 35) else 0 if 12 < t <= 32 else 36, d))
+    how = {} if model else {"score": prep.persistence_mse}
+    found = prepared.prepare(landed(spark, rows), segments, 1, 0.99, **how)
+    samples = {(r["vehicle_id"], r["seg_seq"]): (r["x"], r["pct"]) for r in found.samples.collect()}
+    want = {(v, k): ((10.0, 25.0, 10.0)[k], (0.0, 100.0, 0.0)[k]) for v in range(12) for k in range(3) if (v, k) != (3, 2)}
+    assert samples == want
+    assert {r["seg_seq"]: (r["n"], r["p10"], r["p50"], r["p90"]) for r in found.baseline.collect()} == {0: (12, 10.0, 10.0, 10.0), 1: (12, 25.0, 25.0, 25.0), 2: (11, 10.0, 10.0, 10.0)}
+    # The speed is at most 5 km/h from second 15 on and at least 10 at second 33.
+    assert {r["seg_seq"]: (r["n_traversals"], r["p_stop"], r["mean_dwell_s"]) for r in found.stats.collect()} == {0: (12, 0.0, 0.0), 1: (12, 1.0, 18.0), 2: (11, 0.0, 0.0)}
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster(monkeypatch):
+    class Conf:
+        def get(self, name, other=None):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        src.scratch(Session())
+
+
 def test_stop_statistics(spark):
     t = spark.createDataFrame([("r", 1, 1, i) for i in range(4)] + [("r", 2, 1, 9)], "route_id string, seg_seq int, vehicle_id long, fix_id long")
     e = spark.createDataFrame([(1, 0, 10.0), (1, 2, 30.0)], "vehicle_id long, enter_fix_id long, dwell_s double")

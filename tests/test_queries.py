@@ -36,7 +36,26 @@ def test_equals_duckdb(spark, duck, name):
 
 
 def test_every_query_has_sql_but_the_model():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"q_ae_score"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"q_ae_score", "q_ae_reject"}
+
+
+def test_the_model_rejects_what_numpy_would(spark):
+    """q_ae_score and q_ae_reject from the windows as SQL makes them, the model's own numpy and numpy's quantile."""
+    import numpy as np
+
+    from headway.operators import anomaly
+    from headway.plans import queries
+
+    rows = queries.windows(spark, SF).select("vehicle_id", "fix_id", "history", "xs").collect()
+    model = anomaly.fit_autoencoder(queries.windows(spark, SF).filter("history"))
+    errors = dict(zip([(r["vehicle_id"], r["fix_id"]) for r in rows], model.mse(np.array([r["xs"] for r in rows])).tolist()))
+    past = {(r["vehicle_id"], r["fix_id"]) for r in rows if r["history"]}
+    score = {(r["vehicle_id"], r["end_fix_id"]): r["mse"] for r in QUERIES["q_ae_score"](spark, SF).collect()}
+    assert score == pytest.approx({k: v for k, v in errors.items() if k not in past})
+    cut = round(float(np.quantile([errors[k] for k in past], 0.99)), 6)
+    kept = {(r["vehicle_id"], r["fix_id"]) for r in QUERIES["q_ae_reject"](spark, SF).collect()}
+    everything = {(r["vehicle_id"], r["fix_id"]) for r in QUERIES["q_stop_state"](spark, SF).collect()}
+    assert everything - kept == {k for k, v in errors.items() if v > cut} != set()
 
 
 def test_flagship_properties(spark):
@@ -56,6 +75,18 @@ def test_percentiles_stay_in_range(spark):
     assert QUERIES["q_raw_pct"](spark, SF).filter("raw_pct < 0 or raw_pct > 100 or raw_pct is null").count() == 0
 
 
+def test_few_shuffles(spark):
+    """One shuffle by vehicle for the smoothing, the channels and the sums; one for all pairs of the grid, and the counts."""
+    from headway.plans import queries
+
+    assert exchanges(queries.delayed(spark, SF)) <= exchanges(queries.scored(spark, SF)) + 1
+    assert exchanges(QUERIES["q_threshold_grid"](spark, SF)) <= 3
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") + df._jdf.queryExecution().executedPlan().toString().count("Exchange rangepartitioning")
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["q_route_filter"](spark, SF)._jdf.queryExecution().toString()
     scan = plan[plan.rindex("FileScan") :]
