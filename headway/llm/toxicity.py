@@ -29,8 +29,6 @@ from .shared import IS_SPACE, LOWER, Hasher, crc_mod, drawn, materialize, read,
 
 #: Labelled rows to learn from at most, the least by a hash of the id.
 TRAIN_ROWS = 40_000
-#: Words and prefixes with evidence that are kept at most, the strongest first.
-MAX_FEATURES = 200_000
 PREFIXES = (4, 5, 6)
 #: Standard errors that are taken off a log odds, and the evidence from which a word counts.
 CAUTION = 2.5
@@ -389,10 +387,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", held: int =
     if not a.sum() or not b.sum():
         rate = (a.sum() + 0.5) / (a.sum() + b.sum() + 1)
         return Model(chars, np.zeros(0, np.uint64), np.zeros(0), np.ones(6), np.array([0.0] * 6 + [math.log(rate / (1 - rate))]))
-    n = [F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")]
+    n = [F.sum(k).alias(k) for k in ("n00", "n01", "n10", "n11")]
     counts = sample.mapInArrow(counted(chars), "h long, n00 long, n01 long, n10 long, n11 long").groupBy("h").agg(*n)
-    # No feature of fewer toxic documents can have evidence; the order makes the choice of the strongest a fixed one.
-    kept = counts.filter("n01 + n11 >= 2").withColumn("lift", (F.col("n01") + F.col("n11")) / (F.col("n00") + F.col("n10") + 1)).orderBy(F.desc("lift"), "h").limit(MAX_FEATURES).toPandas()
+    # Only features whose evidence counts in some half or in both; the training rows bound their number.
+    bound = lambda x, y, t, c: (F.log((x + 0.5) / (t + 1)) - F.log((y + 0.5) / (c + 1))) - CAUTION * F.sqrt(1 / (x + 0.5) + 1 / (y + 0.5))
+    c = {k: F.col(k) for k in ("n00", "n01", "n10", "n11")}
+    most = F.greatest(bound(c["n11"], c["n10"], float(a[1]), float(b[1])), bound(c["n01"], c["n00"], float(a[0]), float(b[0])), bound(c["n01"] + c["n11"], c["n00"] + c["n10"], float(a.sum()), float(b.sum())))
+    kept = counts.filter(most > LEAST - 1e-9).toPandas()
     h = kept["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     h, kept = h[order], kept.iloc[order]
