@@ -7,9 +7,12 @@ trees score by their format and the words around them.  Every scan is linear in
 the text: runs of digits are found once and joined, and an address is grown to
 both sides of its "@", so long runs of junk cost no more than other text.
 
-Without span labels, the trees learn from the base rules themselves: accepted
-spans, also rewritten into looser forms, against candidates that are surely none
-(`wrong`); candidates that may be either teach nothing.  Thresholds are calibrated on rows not learned from.
+Without span labels, the trees learn from made-up lines (`made`): personal data
+in forms that the base rules don't know, against dates, ranges, counts, versions
+and words of the same shape.  The corpus adds what the base rules accept, also
+rewritten into looser forms, and candidates that are surely none (`wrong`);
+candidates that may be either teach nothing.  Thresholds are calibrated on rows
+not learned from.
 """
 
 from __future__ import annotations
@@ -160,14 +163,20 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                 start = runs[i][0]
                 while start and text[start - 1] in "+(":
                     start -= 1
-                out.add(("phone" if digits > 7 and j - i != 3 else "ip", start, runs[j][1]))
+                parts = [b - a for a, b in runs[i : j + 1]]
+                if len(parts) == 4 and max(parts) <= 3:
+                    out.add(("ip", runs[i][0], runs[j][1]))
+                if 8 <= digits <= 15:
+                    out.add(("phone", start, runs[j][1]))
+                if 13 <= digits <= 19:
+                    out.add(("card", runs[i][0], runs[j][1]))
             i = j + 1
     if "=" in text or ":" in text:
         out |= {("secret", *m.span(1)) for m in SECRET.finditer(text)}
     return sorted(out)
 
 
-FEATURES = 24
+FEATURES = 34
 
 
 def describe(text: str, kind: str, a: int, b: int) -> list[float]:
@@ -178,6 +187,8 @@ def describe(text: str, kind: str, a: int, b: int) -> list[float]:
     groups = RUN.findall(s)
     near = (before + " " + after).lower()
     parts = [int(g[:6]) for g in groups]
+    sizes = [len(g) for g in groups] or [0]
+    between = [x[:1] for x in RUN.split(s)[1:-1]] if len(groups) > 1 else []
     return [
         float((*KINDS, *MORE_KINDS).index(kind)), float(len(s)), float(len(digits)), float(letters), float(len(set(s))),
         float(s.count(".")), float(s.count("-")), float(s.count(" ")), float(s.count("@")), float("(at)" in s or "[at]" in s or " at " in s),
@@ -185,6 +196,8 @@ def describe(text: str, kind: str, a: int, b: int) -> list[float]:
         float(max(parts, default=0) <= 255), float(13 <= len(digits) <= 19 and luhn("".join(digits))),
         float(before[-1:].isalnum() or before[-1:] in "._@/"), float(after[:1].isalnum() or after[:1] in "_@/"), float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after),
         float(any(w in near for w in WORDS[kind])), float(s.lower().rsplit(".", 1)[-1] in ("com", "org", "net", "edu", "de", "fr", "es", "io")), float(sum(not c.isalnum() for c in s)),
+        float(any(len(g) == 4 and g[:2] in ("19", "20") for g in groups)), float(sizes[0]), float(sizes[-1]), float(len(set(between))), float(s[:1] == "0" or s[:2] == "(0"),
+        float(sum(n == 3 for n in sizes)), float(sum(n == 2 for n in sizes)), float(s.isdigit()), float(bool(digits) and letters > 0), float(len(digits) / max(1, len(s))),
     ]
 
 
@@ -279,7 +292,85 @@ def wrong(kind: str, s: str) -> bool:
         return not luhn("".join(c for c in s if c.isdigit()))
     if kind == "ip":
         return any(int(g[:9]) > 255 for g in RUN.findall(s))
-    return s.isdigit()
+    return s.isdigit() or any(len(g) == 4 and g[:2] in ("19", "20") for g in RUN.findall(s))
+
+
+#: Forms of made-up lines (fixed values): d is a digit, n one from 1 to 9, the rest stands for itself.
+MADE = {
+    ("phone", 1): ["ndd-ddd-dddd", "(ndd) ddd-dddd", "ndd.ddd.dddd", "ndd ddd dddd", "0ndd ddddddd", "0nd-ddddddd", "0nd/dddddddd", "0n dd dd dd dd", "0nddd dddddd", "00nd ndd ddddddd", "0ndd/ddd dd dd", "(0nd) ddddddd", "1-ndd-ddd-dddd", "ndd dddd dddd"],
+    ("phone", 0): ["20dd-1d-2d", "19dd-0n-1d", "1d.0n.20dd", "2d.1d.19dd", "0n/1d/20dd", "20dd-20dd", "19dd-20dd", "19dd-19dd", "n ddd ddd ddd", "nd ddd ddd", "ndd ddd ddd", "nd.d nd.d nd.d nd.d", "n.dd n.dd n.dd", "978-d-dd-dddddd-d", "ndddddddd", "ndddddddddd", "20dd1d2d-1ddddd", "ndd-ndd ndd-ndd", "nd-nd nd-nd nd-nd", "nddd nddd", "20dd 20dd 20dd", "nd.ddd.ddd", "20dd-1d-2d 1d", "ndddd-dddd", "n-ddd-ddddd-d"],
+    ("ip", 0): ["3dd.4dd.5dd.6dd", "n.n.n.n0dd", "n-n-n-n", "nd nd nd nd", "n n n n", "19d-20d-19d-20d", "ndd/ndd/ndd/ndd", "n.d.n.d"],
+}
+BEFORE = ("the list of", "we saw", "it was in", "page", "order", "from", "after", "number", "see", "about", "und dann", "le", "in", "")
+AFTER = ("and then more", "in total", "was there", ", as before", ". Then it went on", "were found", "", "on the table")
+LOOSE_AT = (" (at) ", "(at)", " [at] ", "[at]", " at ", " @ ")
+LOOSE_DOT = (".", " dot ", " [dot] ", "[dot]", " (dot) ")
+PLAIN_WORDS = ("home", "understanding", "river", "important", "yesterday", "committee", "garden", "forgotten", "between", "matter", "people", "noon", "wonderful", "unbelievable", "question")
+
+
+def with_check_digit(digits: str) -> str:
+    return digits + next(c for c in "0123456789" if luhn(digits + c))
+
+
+def made(seed: int = 11, times: int = 24) -> list[tuple[str, str, int, int, int]]:
+    """(line, kind, start, end, y) by fixed forms and a seed: personal data and what has its shape."""
+    rng = np.random.default_rng(seed)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    fill = lambda form: "".join(str(rng.integers(10)) if c == "d" else str(rng.integers(1, 10)) if c == "n" else c for c in form)
+    out = []
+
+    def add(kind: str, value: str, y: int, near: bool) -> None:
+        before = pick(WORDS[kind]) + pick((" ", ": ", " no. ")) if near else pick(BEFORE) + " "
+        out.append((before + value + " " + pick(AFTER), kind, len(before), len(before) + len(value), y))
+
+    for (kind, y), forms in MADE.items():
+        for form in forms:
+            for k in range(times):
+                add(kind, fill(form), y, k % 3 == 0 if y == 0 else k % 3 > 0)
+    for _ in range(12 * times):
+        parts = [str(rng.integers(256)) for _ in range(4)]
+        if max(map(int, parts)) > 9:
+            add("ip", pick((".", " . ", "-")).join(parts) if rng.random() < 0.9 else ".".join(parts), 1, True)
+        # cards: 13 to 19 digits with and without their check digit, in groups and bare
+        n = int(rng.integers(13, 20))
+        good = with_check_digit(pick("3456") + "".join(str(rng.integers(10)) for _ in range(n - 2)))
+        bad = good[:-1] + str((int(good[-1]) + int(rng.integers(1, 10))) % 10)
+        group = pick((" ", "-", "  ", ".", "/"))
+        form = lambda d: group.join(d[i : i + 4] for i in range(0, len(d), 4)) if len(d) == 16 else f"{d[:4]} {d[4:10]} {d[10:]}"
+        add("card", form(good), 1, rng.random() < 0.7)
+        add("card", form(bad), 0, rng.random() < 0.5)
+        add("card", good, 1, True)
+        add("card", good, 0, False)
+        add("card", bad, 0, rng.random() < 0.5)
+        add("card", fill("978-d-dd-dddddd-d"), 0, False)
+        # addresses
+        at, dot = pick(LOOSE_AT), pick(LOOSE_DOT)
+        user = pick(("jane", "max.mueller", "info", "a.b", "user", "contact", "k_lee")) + (str(rng.integers(100)) if rng.random() < 0.3 else "")
+        host = pick(("mail", "example", "firma", "lake-house", "shop.example", "uni"))
+        tld = pick(("com", "org", "net", "de", "fr", "es", "io", "edu"))
+        if at != " at " or dot != ".":
+            add("email", user + at + host.replace(".", dot) + dot + tld, 1, rng.random() < 0.5)
+        else:
+            add("email", f"{user} at {host}.{tld}", 1, True)
+        add("email", f"{pick(PLAIN_WORDS)} at {pick(PLAIN_WORDS)}.{pick(PLAIN_WORDS).capitalize()}", 0, False)
+        add("email", f"{pick(PLAIN_WORDS)} at {pick(PLAIN_WORDS)}.{rng.integers(100)}", 0, False)
+        # secrets
+        alphabet = pick(("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789_-"))
+        value = "".join(pick(alphabet) for _ in range(int(rng.integers(14, 60))))
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+            add("secret", value, 1, True)
+        word = pick(PLAIN_WORDS) + str(rng.integers(10, 999)) + pick(PLAIN_WORDS)
+        add("secret", word, 1, True)
+        add("secret", "-".join(pick(PLAIN_WORDS) for _ in range(int(rng.integers(2, 5)))), 0, True)
+        add("secret", pick(PLAIN_WORDS) + pick((".", "", "_", "...")) + pick(PLAIN_WORDS), 0, True)
+        add("secret", "-" * int(rng.integers(12, 30)), 0, True)
+    return out
+
+
+def made_rows() -> np.ndarray:
+    """(held, y, features) of the made-up lines, a fifth of them held back."""
+    held = np.random.default_rng(3).random(1 << 16) < 0.2
+    return np.array([[float(held[k]), float(y), *describe(text, kind, a, b)] for k, (text, kind, a, b, y) in enumerate(made())])
 
 
 def training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,15 +448,14 @@ class Model:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn to choose candidates on about train_docs different documents that may hold any, drawn by a hash of the text, and train_rows candidates at most.
 
-    Without both accepted and rejected candidates the model finds base spans only.
+    Made-up lines stand beside them, whatever the corpus holds.
     """
     may = docs.select(text_of().alias("text")).filter(F.col("text").rlike(r"@|\+[0-9]|[0-9]{3}|\(at\)|\[at\]")).withColumn("draw", F.xxhash64("text"))
     sample = may.filter(drawn(F.col("draw"), may.select("draw").distinct().count(), train_docs)).dropDuplicates(["draw"]).select("text")
     rows = materialize(sample.mapInArrow(training_rows, ", ".join(f"{c} double" for c in NAMES)), "pii-rows")
     rows = rows.withColumn("draw", F.xxhash64(*NAMES)).orderBy("draw", *NAMES).limit(train_rows).toPandas()[NAMES].to_numpy()
+    rows = np.concatenate([made_rows(), rows.reshape(-1, FEATURES + 2)])
     held, y, x = rows[:, 0] == 1, rows[:, 1], rows[:, 2:]
-    if not len(rows) or len(set(y[~held])) < 2:
-        return Model(None, {})
     trees = boost(x[~held], y[~held])
     p, least = trees(x[held]), {}
     for k, kind in enumerate((*KINDS, *MORE_KINDS)):
