@@ -118,7 +118,7 @@ def loss_text(segments: Column) -> Column:
     return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
 
 
-#: The contract's own conversation: control strings inside both texts.
+#: The contract's own conversation: other templates' control strings inside both texts, which stand as they are.
 PLANTED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 

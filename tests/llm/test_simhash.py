@@ -63,6 +63,13 @@ def test_links_of_close_values(spark, monkeypatch, split):
     assert {v: label.get(v, v) for v in signed} == want
 
 
+def test_null_ids(spark):
+    """Null ids are linked like others, and are the least id of a component without another only."""
+    rows = [(None, "a b c d"), (5, "a b c d"), (4, "A b\tc d"), (None, "quite another text here"), (None, ""), (9, None)]
+    got = S.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["component"])) for r in got) == [("4", "4"), ("5", "4"), ("9", "9"), ("None", "4"), ("None", "9"), ("None", "None")]
+
+
 def test_empty_table(spark):
     assert S.simhash_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
