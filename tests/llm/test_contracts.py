@@ -12,6 +12,7 @@ import test_mixing
 import test_pii
 import test_simhash
 import test_suffixes
+import test_syncmers
 
 from headway.llm import mixing
 from headway.llm.catalog import ORACLE_SQL, QUERIES
@@ -79,6 +80,18 @@ def test_classifiers(spark, docs, name, modulus, rest, cut):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= cut)
 
 
+@pytest.mark.parametrize("name, label, precision, recall", [("op5_toxicity", "toxic", 0.9, 0.75), ("op8_quality", "quality", 0.95, 0.95)])
+def test_held_out_accuracy(spark, name, label, precision, recall):
+    """On rows of the given labels that were not learned from; the README has the figures of the larger table."""
+    place = SF.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{place}/labels.parquet").select("doc_id", label)
+    rows = QUERIES[name](spark, place).filter("held_out").join(labels, "doc_id").toPandas()
+    true, said = rows[label] == 1, rows["predicted"] == 1
+    assert len(rows) >= 50 and (true & said).sum() >= precision * said.sum() and (true & said).sum() >= recall * true.sum()
+    rank = rows["score"].rank()
+    assert (rank[true].sum() - true.sum() * (true.sum() + 1) / 2) / (true.sum() * (~true).sum()) > 0.9
+
+
 def test_op6(spark, docs):
     got = {str(i): tuple(tuple(map(int, s.split(":"))) for s in r["spans"].split(",")) for i, r in result(spark, "op6_suffixes").items()}
     want = dict(test_suffixes.plain([(i, " ".join(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, _ in docs]))
@@ -107,6 +120,8 @@ def test_op9(spark, docs):
         half = len(text) // 2
         edit = text[: len(text) - half] + after[:half]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edit.encode()).hexdigest()
+        if len(text) + len(after) < 6000:
+            assert (r["near_edited"], r["near_next"]) == (test_syncmers.plain_likeness(text, edit), test_syncmers.plain_likeness(text, after))
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.4 > 10 * np.mean([r["near_next"] for r in got.values()])
 
 
