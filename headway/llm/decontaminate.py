@@ -20,10 +20,12 @@ shuffle.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,8 @@ CHANGES = 2
 #: The pipeline keeps documents that hold an item of fewer tokens, as so few stand in clean texts too.
 LEAST_TOKENS = 5
 BLOCK_TOKENS = 400_000
+#: Bytes of text that a worker takes through all blocks at once, if there are several.
+GROUP_BYTES = 64 << 20
 
 IS_TOKEN = np.zeros(256, bool)
 IS_TOKEN[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -154,20 +158,44 @@ def blocks(benchmark: DataFrame, id_col: str, limit: int, least: int) -> Iterato
 
 
 class Blocks:
-    """All blocks as broadcasts, of which a task's worker holds one at a time: with several, each is read from the executor's disk when it is its turn."""
+    """All blocks as broadcasts, of which a task's worker holds one at a time: with several, each is read from the executor's disk when it is its turn.
+
+    A broadcast holds a block's pickled bytes, made by value like the tasks'
+    functions, so executors don't need this package.
+    """
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, item_col: str, limit: int, least: int):
-        self.shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, limit, least)]
+        self.shared = [docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(b)) for b in blocks(benchmark, item_col, limit, least)]
+        self.only: Block | None = None
 
-    def overlaps(self, hasher: Hasher, texts: pa.Array) -> Iterator[tuple[int, str, int]]:
-        """(row, ids of the items of one text, tokens) of everything found in a batch of texts."""
+    def each(self) -> Iterator[Block]:
         for shared in self.shared:
-            block = shared.value
+            block = self.only or pickle.loads(shared.value)
             if len(self.shared) > 1:
                 vars(shared).pop("_value", None)  # what the worker read stays cached there otherwise
-            for i, _, data, offsets in steps(texts):
-                for r, item, n in block.overlaps(*tokens(hasher, data, offsets)):
-                    yield i + r, block.ids[item], n
+            else:
+                self.only = block
+            yield block
+
+    def grouped(self, batches: Iterator[pa.RecordBatch], place: int) -> Iterator[list[pa.RecordBatch]]:
+        """The batches as they come, or with several blocks in groups of GROUP_BYTES of text, so that blocks are read once for a group."""
+        group, size = [], 0
+        for batch in batches:
+            group.append(batch)
+            size += batch.column(place).nbytes
+            if len(self.shared) <= 1 or size >= GROUP_BYTES:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
+
+    def overlaps(self, hasher: Hasher, group: list[pa.RecordBatch], place: int) -> Iterator[tuple[int, int, str, int]]:
+        """(batch of the group, row, ids of the items of one text, tokens) of everything found."""
+        for block in self.each():
+            for k, batch in enumerate(group):
+                for i, _, data, offsets in steps(batch.column(place)):
+                    for r, item, n in block.overlaps(*tokens(hasher, data, offsets)):
+                        yield k, i + r, block.ids[item], n
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("tokens", T.LongType())]))
@@ -186,11 +214,12 @@ def search(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
-            found = [[] for _ in range(batch.num_rows)]
-            for row, item, n in found_in.overlaps(hasher, batch.column(place)):
-                found[row].append({"item": item, "tokens": n})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, batch.column(last).type)], names=batch.schema.names)
+        for group in found_in.grouped(batches, place):
+            found = [[[] for _ in range(batch.num_rows)] for batch in group]
+            for k, row, item, n in found_in.overlaps(hasher, group, place):
+                found[k][row].append({"item": item, "tokens": n})
+            for batch, rows in zip(group, found):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, batch.column(last).type)], names=batch.schema.names)
 
     return out.mapInArrow(run, out.schema)
 
@@ -201,10 +230,12 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, item_col: str = "ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
-            clean = np.ones(batch.num_rows, bool)
-            clean[[row for row, _, _ in found_in.overlaps(hasher, batch.column(place))]] = False
-            yield batch.filter(pa.array(clean))
+        for group in found_in.grouped(batches, place):
+            clean = [np.ones(batch.num_rows, bool) for batch in group]
+            for k, row, _, _ in found_in.overlaps(hasher, group, place):
+                clean[k][row] = False
+            for batch, kept in zip(group, clean):
+                yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
 
