@@ -4,6 +4,7 @@ from .chat import OP1_SQL, op1_chat
 from .decontaminate import op3_decontaminate
 from .licenses import op2_licenses
 from .mixing import op7_mixing
+from .pieces import op13_pieces
 from .pii import op4_pii
 from .quality import op8_quality
 from .simhash import op10_simhash
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_syncmers": op9_syncmers,
     "op10_simhash": op10_simhash,
+    "op13_pieces": op13_pieces,
 }
 
 ORACLE_SQL = {

@@ -1,0 +1,104 @@
+import functools
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+
+from headway.llm import pieces
+from headway.llm.catalog import QUERIES
+
+PATH = public_tokenizers.path(pieces.MODEL)
+SF = "/root/testdata/sf0.001"
+
+
+@functools.cache
+def lib():
+    return sentencepiece.SentencePieceProcessor(model_file=PATH)
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.Model(PATH)
+
+
+def texts(seed, n):
+    """Words, runs of one character, several alphabets, marks, control strings, emoji, white space."""
+    rng = random.Random(seed)
+    kinds = ["the", "ing", "tion", " ", "  ", "\n", "a", "e", "ab", "▁", "<s>", "<unk>", "<0x41>", "É", "ß", "你", "好", "한", "ก", "\U0001f600", "\U0001f469‍\U0001f4bb", "\x00", "\t", "1", "23", "…", "﻿", "ﬁ", "'s", "http://", "==", "--", "я", "ст", "\xa0", "‮"]
+    for _ in range(n):
+        some = rng.sample(kinds, rng.randint(1, 6))
+        yield "".join(rng.choice(some) * rng.choice([1, 1, 1, 2, 7]) for _ in range(rng.randint(0, 40)))
+
+
+def test_ids_equal_the_library(model):
+    coder, many = pieces.Encoder(model), [*texts(1, 3000), "", "a" * 5000, " " * 3001, "x y" * 2000, "=" * 999, "-" * 777 + "ab" * 500]
+    flat, first = coder.flat(many)
+    for text, a, b in zip(many, first, first[1:]):
+        assert flat[a:b].tolist() == lib().encode(text), text
+
+
+def test_every_piece_and_pair_equals_the_library(model):
+    """All pieces by themselves, and seeded pairs and triples of them without a space between."""
+    coder, rng = pieces.Encoder(model), random.Random(2)
+    whole = [p.replace(pieces.MARK, " ") for p, k in zip(model.pieces, model.kinds) if k == pieces.NORMAL]
+    many = whole + ["".join(rng.choices(whole, k=rng.choice([2, 3]))) for _ in range(20_000)]
+    flat, first = coder.flat(many)
+    for text, want, a, b in zip(many, lib().encode(many), first, first[1:]):
+        assert flat[a:b].tolist() == want, text
+
+
+def test_backtracking_is_needed_and_bounded(model):
+    """Some texts take a piece back, and a text of one part takes time in its length only."""
+    coder, back = pieces.Encoder(model), 0
+    for text in texts(3, 2000):
+        for part in {pieces.spaced(text)} - {""}:
+            greedy, at = [], 0
+            while at < len(part):
+                n = next((n for n in range(min(16, len(part) - at), 1, -1) if part[at : at + n] in coder.score), 1)
+                greedy.append(part[at : at + n])
+                at += n
+            back += greedy != coder.encode(part)
+    assert back > 50
+    long = "abcde" * 60_000
+    assert len(coder.encode(long)) > 1000
+
+
+def test_decoding_equals_the_library(model):
+    text_of, rng = pieces.Decoder(model), random.Random(4)
+    for text in texts(5, 1500):
+        ids = lib().encode(text)
+        assert text_of(np.array(ids, np.int32)) == lib().decode(ids) == text.replace("▁", " ")
+    some = [0, 1, 2, 3, 259, 260, 29871, *range(3, 259), *rng.sample(range(259, 32000), 300)]
+    for _ in range(5000):
+        ids = [rng.choice(some if rng.random() < 0.5 else some[:250]) for _ in range(rng.randint(0, 12))]
+        assert text_of(np.array(ids, np.int32)) == lib().decode(ids), ids
+
+
+def test_a_model_of_another_kind_is_an_error(tmp_path, monkeypatch, model):
+    monkeypatch.setattr(pieces.Encoder, "ids", lambda self, part: (5,))
+    with pytest.raises(ValueError, match="merge-type"):
+        pieces.Model(PATH)
+
+
+def test_frames(spark, model):
+    """Nulls, empty and repeated rows, a text over 1 MB, null ids, clashing names, an empty table."""
+    rows = [(1, "a b", [9], "x"), (1, "a b", [9], "x"), (None, None, None, None), (2, "", [], "y"), (3, "word " * 300_000, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids array<int>, decoded string")
+    out = pieces.decode(pieces.encode(docs, model), model)
+    assert out.columns == ["doc_id", "text", "ids", "decoded"]
+    got = out.collect()
+    assert sorted((r["doc_id"] or 0, r["decoded"]) for r in got) == sorted((i or 0, t or "") for i, t, _, _ in rows)
+    assert all(r["ids"] == lib().encode(r["text"] or "") for r in got)
+    assert pieces.encode(docs.limit(0), model).count() == 0
+    odd = spark.createDataFrame([(None,), ([],), ([13, None, 99_999_999, -5],)], "ids array<int>")
+    assert [r["decoded"] for r in pieces.decode(odd, model).collect()] == [None, "", lib().decode([13, 0, 0, 0])]
+
+
+def test_query(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {i: (len(ids := lib().encode(t)), sha(",".join(map(str, ids))), sha(lib().decode(ids))) for i, t in docs.items()}
+    assert {r["doc_id"]: tuple(r[1:]) for r in QUERIES["op13_pieces"](spark, SF).collect()} == want
