@@ -16,7 +16,7 @@ piece.  Texts are cut there first, and equal parts are encoded once for a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import ahocorasick
@@ -32,8 +32,9 @@ from .shared import read, steps
 MODEL = "piece_bpe_32k.model"
 #: What stands for a space in pieces.
 MARK = "▁"
-#: Characters of parts, and pairs of pieces, that a task remembers; beyond it begins anew.
-REMEMBERED = 1 << 22
+#: Parts, and a quarter as many pairs of pieces, that a task remembers; parts of more characters than LONG are encoded anew.
+REMEMBERED = 1 << 20
+LONG = 48
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
 PROBES = ("", " ", "a", "  a  b ", "aaaaaaaaaaaaaaaaaaaaaaa", "Hello, world 2024!", "你好 \U0001f600 ﬁ­", "<s>x</s>", "\n\t\x00")
 
@@ -62,6 +63,22 @@ def spaced(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
+class Remembered(dict):
+    """What a function gave, for short keys; emptied when it holds `most` keys."""
+
+    def __init__(self, function: Callable, most: int):
+        super().__init__()
+        self.function, self.most = function, most
+
+    def __missing__(self, key):
+        value = self.function(key)
+        if len(key) <= LONG:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Encodes texts with a model; one for a task."""
 
@@ -84,73 +101,66 @@ class Encoder:
         for p in known:
             for a, b in zip(p, p[1:]):
                 self.beside[number[a], number[b]] = True
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.held = 0
+        self.fits = Remembered(self.fit, REMEMBERED >> 2)
+        self.parts = Remembered(self.ids, REMEMBERED)
 
     def joined(self, text: str) -> list[str]:
         """The pieces by the rule itself, quadratic in the text: for one or two pieces' characters."""
-        found = list(text)
-        while True:
-            score, at = max(((self.score.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(found, found[1:]))), default=(-np.inf, 0))
-            if score == -np.inf:
-                return found
-            found[-at : 2 - at] = ["".join(found[-at : 2 - at])]
+        found, score, none = list(text), self.score.get, -np.inf
+        scores = [score(a + b, none) for a, b in zip(found, found[1:])]
+        while scores and (most := max(scores)) > none:
+            i = scores.index(most)
+            found[i : i + 2] = [found[i] + found[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score(found[i - 1] + found[i], none)
+            if i < len(scores):
+                scores[i] = score(found[i] + found[i + 1], none)
+        return found
 
-    def fit(self, left: str, right: str) -> bool:
+    def fit(self, pair: tuple[str, str]) -> bool:
         """Whether two neighbours' characters, joined anew, give just these two ('' on the left: whether a piece gives itself)."""
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) > REMEMBERED >> 4:
-                self.fits.clear()
-            both = [left, right] if left else [right]
-            known = self.fits[left, right] = left + right not in self.score and self.joined(left + right) == both if left else self.joined(right) == both
-        return known
+        left, right = pair
+        if not left:
+            return self.joined(right) == [right]
+        return left + right not in self.score and self.joined(left + right) == [left, right]
 
     def encode(self, part: str) -> list[str]:
         """The pieces of a part, or single characters that are none, by backtracking."""
+        fits, shorter = self.fits, self.shorter
+        if part in shorter and fits["", part]:
+            return [part]
         n = len(part)
-        longest: list[str] = [""] * n
-        for end, p in self.longest.iter(part[::-1]):
-            if len(p) > len(longest[n - 1 - end]):
-                longest[n - 1 - end] = p
-        failed, taken, at = bytearray(n + 1), [], 0
-        piece = longest[0] or part[0]
-        while at < n:
+        # The automaton gives the longest piece first at every end, that is start of the part: let it come last.
+        longest = dict([*self.longest.iter(part[::-1])][::-1])
+        failed, taken, at, last, piece = bytearray(n + 1), [], 0, "", longest.get(n - 1) or part[0]
+        while True:
             end = at + len(piece)
-            if not failed[end] and self.fit(taken[-1] if taken else "", piece):
+            if not failed[end] and fits[last, piece]:
                 taken.append(piece)
-                at = end
-                piece = (longest[at] or part[at]) if at < n else ""
+                if end == n:
+                    return taken
+                at, last, piece = end, piece, longest.get(n - 1 - end) or part[end]
                 continue
-            piece = self.shorter.get(piece)
+            piece = shorter.get(piece)
             while piece is None:
                 failed[at] = 1
                 piece = taken.pop()
                 at -= len(piece)
-                piece = self.shorter.get(piece)
-        return taken
+                piece = shorter.get(piece)
+            last = taken[-1] if taken else ""
 
     def ids(self, part: str) -> tuple[int, ...]:
-        """A part's ids, remembered; a character that is no piece counts by its bytes, or as unknown where the model has none."""
-        found = self.parts.get(part)
-        if found is None:
-            ids: list[int] = []
-            for p in self.encode(part):
-                if p in self.id:
-                    ids.append(self.id[p])
-                elif self.bytes:
-                    ids += [self.bytes[b] for b in p.encode()]
-                else:
-                    ids.append(self.unknown)
-            found = tuple(ids)
-            if len(part) <= 64:
-                if self.held > REMEMBERED:
-                    self.parts.clear()
-                    self.held = 0
-                self.held += len(part)
-                self.parts[part] = found
-        return found
+        """A part's ids; a character that is no piece counts by its bytes, or as unknown where the model has none."""
+        ids: list[int] = []
+        for p in self.encode(part):
+            if p in self.id:
+                ids.append(self.id[p])
+            elif self.bytes:
+                ids += [self.bytes[b] for b in p.encode()]
+            else:
+                ids.append(self.unknown)
+        return tuple(ids)
 
     def parts_of(self, text: str) -> Iterator[tuple[int, ...]]:
         """The ids of a text, part by part."""
@@ -159,7 +169,7 @@ class Encoder:
             return iter(())
         c = self.char[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         cuts = [0, *(np.flatnonzero(~self.beside[c[:-1], c[1:]]) + 1).tolist(), len(text)]
-        return map(self.ids, (text[a:b] for a, b in zip(cuts, cuts[1:])))
+        return map(self.parts.__getitem__, map(text.__getitem__, map(slice, cuts, cuts[1:])))
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of several texts, and where each text's begin (texts + 1)."""
