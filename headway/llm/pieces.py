@@ -47,7 +47,9 @@ class Model:
     """
 
     def __init__(self, path: str):
-        lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            self.proto = f.read()
+        lib = self.library()
         ids = range(lib.get_piece_size())
         self.pieces = [lib.id_to_piece(i) for i in ids]
         self.scores = [lib.get_score(i) for i in ids]
@@ -57,6 +59,10 @@ class Model:
             if lib.normalize(text) != spaced(text) or lib.encode(text) != list(chain.from_iterable(coder.parts_of(text))):
                 raise ValueError(f"{path} is no merge-type model that leaves characters as they are")
 
+    def library(self) -> sentencepiece.SentencePieceProcessor:
+        """The library's own processor of this model."""
+        return sentencepiece.SentencePieceProcessor(model_proto=self.proto)
+
 
 def spaced(text: str) -> str:
     """The text as pieces see it: a space before it, spaces written as MARK; an empty one stays."""
