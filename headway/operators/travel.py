@@ -6,16 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.operators.prep import pairs
-from headway.sources.fixes import by_vehicle
+from headway.sources.fixes import ORDER, by_vehicle
 
 
-def with_trips(fixes: DataFrame, distance: str = "dist_m") -> DataFrame:
-    """fixes with `trip`, from 0 for each vehicle: a new one where the distance falls or the route changes.  Rows without a time or distance go."""
+#: A fall of the distance by more than so many metres ends a trip; smaller ones are jitter.
+FALL_M = 100.0
+#: No bus goes faster, in metres per second: a fix that needs more is out of place.
+TOP_MS = 40.0
+
+
+def with_trips(fixes: DataFrame, distance: str = "dist_m", fall_m: float = FALL_M, top_ms: float = TOP_MS) -> DataFrame:
+    """fixes with `trip`, from 0 for each vehicle: a new one where the route changes, or where the distance falls by more than fall_m and stays there.
+
+    Falls up to fall_m are jitter.  One fix out of place ends no trip: a fall
+    from a fix that could only be reached faster than top_ms is measured from the
+    fix before it, and a fall that the next fix makes up for, again faster than
+    top_ms, is none.  Rows without a time or distance go.
+    """
     w = by_vehicle()
     usable = fixes.filter(F.col("u").isNotNull() & F.col(distance).isNotNull() & ~F.isnan(distance))
-    turns = (F.col(distance) < F.lag(distance).over(w)) | ~F.col("route_id").eqNullSafe(F.lag("route_id").over(w))
-    turns = F.when(F.lag("u").over(w).isNotNull() & turns, 1).otherwise(0)
-    return usable.withColumn("_turn", turns).withColumn("trip", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_turn")
+    s, far = F.col(distance), lambda a, b: F.greatest(b - a, F.lit(1_000_000)) / 1e6 * top_ms
+    rows = usable.withColumn("_new", F.when(F.lag("u").over(w).isNotNull() & ~F.col("route_id").eqNullSafe(F.lag("route_id").over(w)), 1).otherwise(0))
+    rows = rows.withColumn("_before", F.when(F.col("_new") == 0, F.lag(distance).over(w)))
+    rows = rows.withColumn("_wild", F.coalesce(s - F.col("_before") > far(F.lag("u").over(w), F.col("u")), F.lit(False)))
+    held = F.when(F.lag("_wild").over(w), F.lag("_before").over(w)).otherwise(F.col("_before"))
+    back = F.lead("_wild").over(w) & (F.lead(distance).over(w) >= held - fall_m) & (F.lead("_new").over(w) == 0)
+    fallen = (F.col("_new") == 0) & F.coalesce(s < held - fall_m, F.lit(False)) & ~F.coalesce(back, F.lit(False))
+    rows = rows.withColumn("_turn", F.when(fallen, 1).otherwise(F.col("_new")))
+    return rows.withColumn("trip", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_before", "_wild", "_turn")
+
+
+def monotone(moved: DataFrame, distance: str = "dist_m") -> DataFrame:
+    """moved (with_trips) with the distance replaced by the farthest one of its trip so far: a bus that seems to roll back stands."""
+    w = Window.partitionBy("vehicle_id", "trip").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    return moved.withColumn(distance, F.max(distance).over(w))
 
 
 def bounds(segments: DataFrame) -> DataFrame:

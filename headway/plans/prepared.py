@@ -28,14 +28,21 @@ def by_autoencoder(windows: DataFrame) -> DataFrame:
     return anomaly.reconstruction_mse(windows, anomaly.fit_autoencoder(windows))
 
 
-def prepare(fixes: DataFrame, segments: DataFrame, step_s: int = 5, level: float = 0.99, score: Callable[[DataFrame], DataFrame] = by_autoencoder, max_gap_s: int | None = None) -> Prepared:
-    """Crossings, resampling, rejection, stops, quantiles, in this order.
+def in_place(fixes: DataFrame, clean: Callable[[DataFrame], DataFrame] | None = anomaly.reject_fixes) -> DataFrame:
+    """fixes with their trips and, on each, distances that never fall, without the fixes that `clean` finds out of place (None: no such step)."""
+    moved = travel.with_trips(fixes)
+    return travel.monotone(clean(moved) if clean else moved)
+
 
-    A grid point that ends a window whose error is above the level's quantile is
+def prepare(fixes: DataFrame, segments: DataFrame, step_s: int = 5, level: float = 0.99, score: Callable[[DataFrame], DataFrame] = by_autoencoder, max_gap_s: int | None = None, clean: Callable[[DataFrame], DataFrame] | None = anomaly.reject_fixes) -> Prepared:
+    """Fixes out of place go; then crossings, resampling, rejection, stops, quantiles, in this order.
+
+    `clean` looks at single fixes before anything is formed of them (in_place),
+    `score` at windows of the uniform series after it.  A grid point that ends a window whose error is above the level's quantile is
     rejected, and so is the travel time of the segment in which it lies on that
     trip.  Stops are found on the points that are left.
     """
-    moved = travel.with_trips(fixes)
+    moved = table(in_place(fixes, clean), "moved") if clean else in_place(fixes, None)
     samples = travel.travel_times(travel.segment_crossings(moved, segments))
     grid = prep.resample_columns(moved, step_s, ("speed_kmh", "dist_m"), ("route_id", "trip"), max_gap_s)
     grid = table(grid.withColumns({"u": F.col("k") * (step_s * 1_000_000), "fix_id": F.col("k")}), "grid")

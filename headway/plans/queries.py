@@ -239,7 +239,7 @@ def q_eta_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_prepared_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five preparation stages over the adapter's reports as one line of ten segments; rejection by the persistence error, which SQL can check."""
     fixes = src.line_fixes(base(spark, sf_dir))
-    found = prepared.prepare(fixes, src.line_segments(spark), STEP_S, REJECT, lambda w: prep.persistence_mse(w).withColumn("mse", F.round("mse", 4)))
+    found = prepared.prepare(fixes, src.line_segments(spark), STEP_S, REJECT, lambda w: prep.persistence_mse(w).withColumn("mse", F.round("mse", 4)), clean=None)
     return found.baseline.drop("q").join(found.stats, ["route_id", "seg_seq"])
 
 

@@ -214,7 +214,7 @@ def test_five_stages_reach_a_baseline(spark, segments, model):
             d = 10 * t if t <= 12 else 120 if t <= 32 else 120 + 10 * (t - 32)
             rows.append((v, t, 400 if (v, t) == (3, 35) else 0 if 12 < t <= 32 else 36, d))
     how = {} if model else {"score": prep.persistence_mse}
-    found = prepared.prepare(landed(spark, rows), segments, 1, 0.99, **how)
+    found = prepared.prepare(landed(spark, rows), segments, 1, 0.99, clean=None, **how)
     samples = {(r["vehicle_id"], r["seg_seq"]): (r["x"], r["pct"]) for r in found.samples.collect()}
     want = {(v, k): ((10.0, 25.0, 10.0)[k], (0.0, 100.0, 0.0)[k]) for v in range(12) for k in range(3) if (v, k) != (3, 2)}
     assert samples == want
