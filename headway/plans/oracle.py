@@ -112,6 +112,22 @@ PARTS = {
     "line_stats": ("""SELECT seg_seq, count(*) AS n_traversals, avg(CAST(stops IS NOT NULL AS DOUBLE)) AS p_stop, coalesce(sum(us)::DOUBLE / nullif(sum(stops), 0) / 1e6, 0) AS mean_dwell_s
         FROM line_samples LEFT JOIN (SELECT vehicle_id, seg_seq, count(*) AS stops, sum(us) AS us FROM grid_stops GROUP BY vehicle_id, seg_seq) USING (vehicle_id, seg_seq) GROUP BY seg_seq""", ("line_samples", "grid_stops")),
     "line_baseline": ("SELECT seg_seq, count(*) AS n, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90 FROM line_samples GROUP BY seg_seq", ("line_samples",)),
+    "noise": ("""SELECT vehicle_id, fix_id, row_number() OVER (PARTITION BY vehicle_id ORDER BY u, fix_id) AS i,
+        (dist_c % 500000) / 100.0::DOUBLE + (CASE WHEN fix_id % 97 = 0 THEN 5000.0::DOUBLE ELSE 0 END - CASE WHEN fix_id % 5 = 0 THEN 2.0::DOUBLE ELSE 0 END) AS d FROM dist""", ("dist",)),
+    "wild": ("SELECT *, lag(d) OVER w AS before, coalesce(d - lag(d) OVER w > 600, false) AS wild FROM noise WINDOW w AS (PARTITION BY vehicle_id ORDER BY i)", ("noise",)),
+    "held": ("""SELECT *, CASE WHEN lag(wild) OVER w THEN lag(before) OVER w ELSE before END AS held, lead(wild) OVER w AS wild_next, lead(d) OVER w AS d_next
+        FROM wild WINDOW w AS (PARTITION BY vehicle_id ORDER BY i)""", ("wild",)),
+    "trips": ("""SELECT *, CAST(sum(CASE WHEN coalesce(d < held - 100, false) AND NOT coalesce(wild_next AND d_next >= held - 100, false) THEN 1 ELSE 0 END)
+        OVER (PARTITION BY vehicle_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS trip FROM held""", ("held",)),
+    "moves": ("SELECT *, coalesce((d - lag(d) OVER (PARTITION BY vehicle_id, trip ORDER BY i)) / 10.0::DOUBLE, 0) AS v FROM trips", ("trips",)),
+    "scores": ("SELECT *, round(v * v, 6) + coalesce(lead(round(v * v, 6)) OVER (PARTITION BY vehicle_id, trip ORDER BY i), 0) AS score FROM moves", ("moves",)),
+    "ranked": ("SELECT *, coalesce(lag(score) OVER w, -1) AS score_before, coalesce(lead(score) OVER w, -1) AS score_after FROM scores WINDOW w AS (PARTITION BY vehicle_id, trip ORDER BY i)", ("scores",)),
+    "in_place": ("""SELECT vehicle_id, fix_id, trip, i * 10000000 AS u, max(d) OVER (PARTITION BY vehicle_id, trip ORDER BY i ROWS UNBOUNDED PRECEDING) AS d FROM ranked
+        WHERE NOT (score > 10000 AND score > score_before AND score >= score_after)""", ("ranked",)),
+    "noisy_pairs": ("""SELECT *, lead(u) OVER w AS next_u, lead(d) OVER w AS next_d, row_number() OVER w = 1 AS began FROM in_place WINDOW w AS (PARTITION BY vehicle_id, trip ORDER BY u, fix_id)""", ("in_place",)),
+    "noisy_places": ("""SELECT vehicle_id, trip, k, u + CAST(round((k * 500 - d) / (next_d - d) * (next_u - u)) AS BIGINT) AS at_u
+        FROM (SELECT *, unnest(generate_series(0, 10)) AS k FROM noisy_pairs) WHERE next_d > d AND (k * 500 > d OR (k * 500 = d AND began)) AND k * 500 <= next_d""", ("noisy_pairs",)),
+    "noisy_times": ("SELECT CAST(a.k AS INTEGER) AS seg_seq, (b.at_u - a.at_u) / 1e6 AS x FROM noisy_places a JOIN noisy_places b ON b.vehicle_id = a.vehicle_id AND b.trip = a.trip AND b.k = a.k + 1", ("noisy_places",)),
     "line_rows": ("SELECT 'line' AS route_id, * FROM line_baseline JOIN line_stats USING (seg_seq)", ("line_baseline", "line_stats")),
 }
 
@@ -148,6 +164,8 @@ SELECTS = {
     "q_channel_calibrated": ("vehicle_id, fix_id, lo, hi, channel", "zone_gated"),
     "q_dual_delay_calibrated": ("vehicle_id, fix_id, channel, anomaly_ms, micro_ms, total_ms", "zone_dual"),
     "q_prepared_baseline": ("route_id, seg_seq, n, p10, p50, p90, n_traversals, p_stop, mean_dwell_s", "line_rows"),
+    "q_fixes_in_place": ("vehicle_id, fix_id, trip, round(d, 2) AS dist_m", "in_place"),
+    "q_jitter_baseline": ("'line' AS route_id, seg_seq, count(*) AS n, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90", "noisy_times", "GROUP BY seg_seq"),
     "q_eta_pace": ("vehicle_id, route_id, seg_seq, remaining_pace AS remaining_current, pace_s, pace_eta_s AS eta_s", "ahead"),
     "q_agent_state": ("vehicle_id, u AS last_u, route_id, seg_seq, progress, live_stopped AS stopped, ema_pct, anomaly_ms, micro_ms", "agent"),
     "q_agent_stream": ("vehicle_id, u AS last_u, route_id, seg_seq, progress, live_stopped AS stopped, ema_pct, anomaly_ms, micro_ms", "agent"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.functions.scalars import channel
-from headway.operators import anomaly, delay, prep, quantiles, recovery, safezone, stops
+from headway.operators import anomaly, delay, prep, quantiles, recovery, safezone, stops, travel
 from headway.plans import prepared
 from headway.sources import fixes as src
 from headway.streaming import agent
@@ -243,6 +243,23 @@ def q_prepared_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.baseline.drop("q").join(found.stats, ["route_id", "seg_seq"])
 
 
+def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter's reports with GPS noise, in place: trips, no jumps, distances that never fall."""
+    moved = travel.with_trips(src.jittered_fixes(base(spark, sf_dir)), top_ms=60.0)
+    return travel.monotone(anomaly.reject_fixes(moved, anomaly.by_displacement, level=None, least=10_000.0))
+
+
+def q_fixes_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixes that rejection leaves, with their trips and monotone distances."""
+    return noisy(spark, sf_dir).select("vehicle_id", "fix_id", "trip", F.round("dist_m", 2).alias("dist_m"))
+
+
+def q_jitter_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the segments' travel times from noisy reports."""
+    samples = travel.travel_times(travel.segment_crossings(src.table(noisy(spark, sf_dir), "noisy"), src.line_segments(spark)))
+    return quantiles.segment_baseline(samples).drop("q")
+
+
 def run_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From history and live fixes to recovery, propagation and arrivals for every vehicle and segment ahead."""
     return recovery.eta(recovery.propagate(recovery.allocate(plan(spark, sf_dir))))

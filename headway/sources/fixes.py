@@ -107,6 +107,14 @@ def line_fixes(fixes: DataFrame) -> DataFrame:
     return moved.select(F.lit("line").alias("route_id"), "vehicle_id", "fix_id", "ts", "u", "speed_kmh", (F.col("dist_c") / 100.0).alias("dist_m"))
 
 
+def jittered_fixes(fixes: DataFrame, every_s: int = 10, length_m: float = 5000.0) -> DataFrame:
+    """The adapter's fixes as a bus line with GPS noise, in the landed schema: a report every ten seconds, trips that begin anew after length_m, every fifth fix 2 m back and every 97th 5 km ahead."""
+    moved = with_distance(fixes).withColumn("u", F.row_number().over(by_vehicle()) * (every_s * 1_000_000))
+    noise = F.when(F.col("fix_id") % 97 == 0, 5000.0).otherwise(0.0) - F.when(F.col("fix_id") % 5 == 0, 2.0).otherwise(0.0)
+    place = (F.col("dist_c") % int(length_m * 100)) / 100.0 + noise
+    return moved.select(F.lit("line").alias("route_id"), "vehicle_id", "fix_id", F.timestamp_micros("u").alias("ts"), "u", "speed_kmh", place.alias("dist_m"))
+
+
 def line_segments(spark: SparkSession, n: int = 10, length_m: float = 500.0) -> DataFrame:
     """The line's segments: n of one length."""
     return spark.range(n).select(F.lit("line").alias("route_id"), F.col("id").cast("int").alias("seg_seq"), F.lit(float(length_m)).alias("length_m"))
