@@ -15,13 +15,14 @@ FALL_M = 100.0
 TOP_MS = 40.0
 
 
-def with_trips(fixes: DataFrame, distance: str = "dist_m", fall_m: float = FALL_M, top_ms: float = TOP_MS) -> DataFrame:
+def with_trips(fixes: DataFrame, distance: str = "dist_m", fall_m: float = FALL_M, top_ms: float = TOP_MS, jumps: bool = True) -> DataFrame:
     """fixes with `trip`, from 0 for each vehicle: a new one where the route changes, or where the distance falls by more than fall_m and stays there.
 
     Falls up to fall_m are jitter.  One fix out of place ends no trip: a fall
     from a fix that could only be reached faster than top_ms is measured from the
     fix before it, and a fall that the next fix makes up for, again faster than
-    top_ms, is none.  Rows without a time or distance go.
+    top_ms, is none.  Rows without a time or distance go, and with jumps=False
+    those fixes that are reached and left faster than top_ms in turn.
     """
     w = by_vehicle()
     usable = fixes.filter(F.col("u").isNotNull() & F.col(distance).isNotNull() & ~F.isnan(distance))
@@ -32,8 +33,11 @@ def with_trips(fixes: DataFrame, distance: str = "dist_m", fall_m: float = FALL_
     held = F.when(F.lag("_wild").over(w), F.lag("_before").over(w)).otherwise(F.col("_before"))
     back = F.lead("_wild").over(w) & (F.lead(distance).over(w) >= held - fall_m) & (F.lead("_new").over(w) == 0)
     fallen = (F.col("_new") == 0) & F.coalesce(s < held - fall_m, F.lit(False)) & ~F.coalesce(back, F.lit(False))
-    rows = rows.withColumn("_turn", F.when(fallen, 1).otherwise(F.col("_new")))
-    return rows.withColumn("trip", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_before", "_wild", "_turn")
+    ahead = F.col("_wild") & (F.lead("_new").over(w) == 0) & (s - F.lead(distance).over(w) > far(F.col("u"), F.lead("u").over(w)))
+    behind = (F.col("_new") == 0) & (s < held - fall_m) & back
+    rows = rows.withColumn("_turn", F.when(fallen, 1).otherwise(F.col("_new"))).withColumn("_jump", F.coalesce(ahead | behind, F.lit(False)))
+    rows = rows.withColumn("trip", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return (rows if jumps else rows.filter("not _jump")).drop("_new", "_before", "_wild", "_turn", "_jump")
 
 
 def monotone(moved: DataFrame, distance: str = "dist_m") -> DataFrame:
@@ -58,10 +62,11 @@ def segment_at(found: Column, distance: Column) -> Column:
 def segment_crossings(fixes: DataFrame, segments: DataFrame) -> DataFrame:
     """(route_id, vehicle_id, trip, seg_seq, enter_u, leave_u) for the segments that a trip (with_trips) entered or left, times in microseconds, null where not seen.
 
-    A place inside the pair i, i+1 belongs to (s_i, s_i+1], and to a trip's first
-    fix if it stands there; its time is linear between the two.
+    A place inside the pair i, i+1 belongs to (s_i, s_i+1]; its time is linear
+    between the two.  Where a trip begins at such a place, it is entered by the
+    last fix there.
     """
-    first = F.row_number().over(Window.partitionBy("vehicle_id", "trip").orderBy("u", "fix_id")) == 1
+    first = F.col("dist_m") == F.min("dist_m").over(Window.partitionBy("vehicle_id", "trip"))
     moves = pairs(fixes.withColumn("first", first), "dist_m", "trip").filter("trip = next_trip and next_dist_m > dist_m")
     moves = moves.join(bounds(segments), "route_id")
     passed = lambda b: ((b > F.col("dist_m")) | (F.col("first") & (b == F.col("dist_m")))) & (b <= F.col("next_dist_m"))

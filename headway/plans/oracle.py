@@ -124,7 +124,7 @@ PARTS = {
     "ranked": ("SELECT *, coalesce(lag(score) OVER w, -1) AS score_before, coalesce(lead(score) OVER w, -1) AS score_after FROM scores WINDOW w AS (PARTITION BY vehicle_id, trip ORDER BY i)", ("scores",)),
     "in_place": ("""SELECT vehicle_id, fix_id, trip, i * 10000000 AS u, max(d) OVER (PARTITION BY vehicle_id, trip ORDER BY i ROWS UNBOUNDED PRECEDING) AS d FROM ranked
         WHERE NOT (score > 10000 AND score > score_before AND score >= score_after)""", ("ranked",)),
-    "noisy_pairs": ("""SELECT *, lead(u) OVER w AS next_u, lead(d) OVER w AS next_d, row_number() OVER w = 1 AS began FROM in_place WINDOW w AS (PARTITION BY vehicle_id, trip ORDER BY u, fix_id)""", ("in_place",)),
+    "noisy_pairs": ("""SELECT *, lead(u) OVER w AS next_u, lead(d) OVER w AS next_d, d = min(d) OVER (PARTITION BY vehicle_id, trip) AS began FROM in_place WINDOW w AS (PARTITION BY vehicle_id, trip ORDER BY u, fix_id)""", ("in_place",)),
     "noisy_places": ("""SELECT vehicle_id, trip, k, u + CAST(round((k * 500 - d) / (next_d - d) * (next_u - u)) AS BIGINT) AS at_u
         FROM (SELECT *, unnest(generate_series(0, 10)) AS k FROM noisy_pairs) WHERE next_d > d AND (k * 500 > d OR (k * 500 = d AND began)) AND k * 500 <= next_d""", ("noisy_pairs",)),
     "noisy_times": ("SELECT CAST(a.k AS INTEGER) AS seg_seq, (b.at_u - a.at_u) / 1e6 AS x FROM noisy_places a JOIN noisy_places b ON b.vehicle_id = a.vehicle_id AND b.trip = a.trip AND b.k = a.k + 1", ("noisy_places",)),

@@ -2,8 +2,13 @@
 
 Each vehicle's state is its last time and segment, how much of that lies behind,
 whether it stands, its smoothed percentile and the two delay accumulators.  A
-fix that is not later than the state, and one without a time or percentile, are
-counted and not applied.
+sample that is not later than the state, and one without a time or percentile,
+are counted and not applied.
+
+Samples may come from `traversal`: those of kind `now` tell where a vehicle is
+and how long it has been in its segment.  They move it, and what that time
+exceeds the zone by is its pending delay, which the segment's own sample settles
+when it ends.
 """
 
 from __future__ import annotations
@@ -22,11 +27,10 @@ from headway.functions.scalars import HI, LO
 from headway.operators import delay, quantiles, recovery, stops
 from headway.sources import fixes as src
 
-STATE = "u bigint, fix_id bigint, route_id string, seg_seq int, stopped int, ema_pct double, anomaly_ms bigint, micro_ms bigint, progress double, late bigint, skipped bigint"
+STATE = "u bigint, fix_id bigint, route_id string, seg_seq int, stopped int, ema_pct double, anomaly_ms bigint, micro_ms bigint, progress double, late bigint, skipped bigint, now_u bigint, now_pct double, pending_ms bigint"
 OUT = f"vehicle_id bigint, {STATE}"
 FIELDS = [f.split()[0] for f in STATE.split(", ")]
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-WATERMARK = "10 minutes"
 
 
 def half_up(x: float, places: int) -> float:
@@ -35,7 +39,7 @@ def half_up(x: float, places: int) -> float:
 
 
 class BusAgent(StatefulProcessor):
-    """Folds a vehicle's new fixes, in order of time, into its state, and emits the state after each micro-batch."""
+    """Folds a vehicle's new samples, in order of time, into its state, and emits the state after each micro-batch."""
 
     def __init__(self, lo: int = LO, hi: int = HI, alpha: float = delay.ALPHA, enter: float = stops.ENTER, exit_: float = stops.EXIT):
         self.lo, self.hi, self.alpha, self.enter, self.exit_ = lo, hi, alpha, enter, exit_
@@ -45,7 +49,10 @@ class BusAgent(StatefulProcessor):
 
     def step(self, s: dict, r) -> dict:
         """The state after one fix with its segment's quantiles q, raw_pct and progress; pandas reads nulls as NaN or None."""
-        if any(v is None or math.isnan(v) for v in (r.u, r.x, r.raw_pct)):
+        known = lambda v: v is not None and not math.isnan(v)
+        if r.kind == "now" and known(r.u):
+            return self.move(s, r, known)
+        if not all(map(known, (r.u, r.x, r.raw_pct))):
             return s | {"skipped": s["skipped"] + 1}
         if s["u"] is not None and (r.u, r.fix_id) <= (s["u"], s["fix_id"]):
             return s | {"late": s["late"] + 1}
@@ -60,14 +67,37 @@ class BusAgent(StatefulProcessor):
             p = half_up(pct, 6)
             i = min(int(p), 99)
             micro += int(half_up((q[i] + (p - i) * (q[i + 1] - q[i]) - q[50]) * 1000, 0))
-        stopped = 1 if x <= self.enter else 0 if x >= self.exit_ else s["stopped"]
-        progress = None if r.progress is None or math.isnan(r.progress) else float(r.progress)
-        return s | {"u": int(r.u), "fix_id": int(r.fix_id), "route_id": r.route_id, "seg_seq": int(r.seg_seq), "stopped": stopped, "ema_pct": pct, "anomaly_ms": anomaly, "micro_ms": micro, "progress": progress}
+        v = r.speed_kmh
+        stopped = int(r.stopped) if known(r.stopped) else s["stopped"] if not known(v) else 1 if v <= self.enter else 0 if v >= self.exit_ else s["stopped"]
+        progress = float(r.progress) if known(r.progress) else None
+        return s | {"u": int(r.u), "fix_id": int(r.fix_id), "route_id": r.route_id, "seg_seq": int(r.seg_seq), "stopped": stopped, "ema_pct": pct, "anomaly_ms": anomaly, "micro_ms": micro, "progress": progress, "now_u": None, "now_pct": None, "pending_ms": 0}
+
+    def move(self, s: dict, r, known) -> dict:
+        """The state after a sample of the segment that the vehicle is in: r.x is the time since it entered, if that was seen."""
+        over = int(half_up((r.x - r.q[self.hi]) * 1000, 0)) if known(r.x) and known(r.raw_pct) and r.raw_pct > self.hi else 0
+        return s | {
+            "now_u": int(r.u),
+            "route_id": r.route_id,
+            "seg_seq": int(r.seg_seq),
+            "progress": float(r.progress) if known(r.progress) else None,
+            "stopped": int(r.stopped) if known(r.stopped) else s["stopped"],
+            "now_pct": float(r.raw_pct) if known(r.raw_pct) else None,
+            "pending_ms": over,
+        }
+
+    def handleInitialState(self, key, initial: pd.DataFrame, timerValues) -> None:
+        """Begin from a state of the batch twin (columns of STATE; absent ones are as in a new state)."""
+        row = {k: v for k, v in initial.iloc[0].to_dict().items() if k in FIELDS and not (v is None or v != v)}
+        whole = [f.split()[0] for f in STATE.split(", ") if f.split()[1] in ("bigint", "int")]
+        self.state.update(tuple((self.new() | {k: int(v) if k in whole else v for k, v in row.items()})[f] for f in FIELDS))
+
+    def new(self) -> dict:
+        return dict.fromkeys(FIELDS) | {"stopped": 0, "anomaly_ms": 0, "micro_ms": 0, "late": 0, "skipped": 0, "pending_ms": 0}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         old = self.state.get() if self.state.exists() else None
-        s = dict(zip(FIELDS, old)) if old else dict.fromkeys(FIELDS) | {"stopped": 0, "anomaly_ms": 0, "micro_ms": 0, "late": 0, "skipped": 0}
-        for r in pd.concat(list(rows)).sort_values(["u", "fix_id"], kind="stable").itertuples():
+        s = dict(zip(FIELDS, old)) if old else self.new()
+        for r in pd.concat(list(rows)).sort_values(["u", "kind", "fix_id"], kind="stable").itertuples():
             s = self.step(s, r)
         self.state.update(tuple(s[f] for f in FIELDS))
         yield pd.DataFrame([{"vehicle_id": key[0], **s}], columns=["vehicle_id", *FIELDS])
@@ -76,17 +106,27 @@ class BusAgent(StatefulProcessor):
         pass
 
 
-def agent_stream(live: DataFrame, baseline: DataFrame, agent: BusAgent | None = None) -> DataFrame:
-    """A stream of live samples (ts, u, vehicle_id, fix_id, route_id, seg_seq, x, and progress where it is known) to the vehicles' states."""
-    rows = quantiles.raw_pct(live.withWatermark("ts", WATERMARK), baseline)
-    if "progress" not in rows.columns:
-        rows = rows.withColumn("progress", F.lit(None).cast("double"))
-    rows = rows.select("vehicle_id", "fix_id", "u", "route_id", "seg_seq", "x", "q", "raw_pct", "progress")
-    return rows.groupBy("vehicle_id").transformWithStateInPandas(agent or BusAgent(), outputStructType=OUT, outputMode="Update", timeMode="None")
+SAMPLE = {"progress": "double", "speed_kmh": "double", "stopped": "int", "kind": "string"}
+
+
+def agent_stream(live: DataFrame, baseline: DataFrame, agent: BusAgent | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """A stream of samples (u, vehicle_id, fix_id, route_id, seg_seq, x, and where they are known those of SAMPLE) to the vehicles' states.
+
+    initial: states (vehicle_id and columns of STATE) to begin from, a row for a
+    vehicle, as the batch twin gives them; the first micro-batch reads them.
+    """
+    agent = agent or BusAgent()
+    rows = quantiles.raw_pct(live, baseline)
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in SAMPLE.items() if c not in rows.columns}).withColumn("kind", F.coalesce("kind", F.lit("whole")))
+    # Of samples of one time, a segment that ended comes before the one entered.
+    rows = rows.withColumn("kind", F.when(F.col("kind") == "now", "now").otherwise("a whole"))
+    rows = rows.select("vehicle_id", "fix_id", "u", "route_id", "seg_seq", "x", "q", "raw_pct", *SAMPLE)
+    grouped = initial.groupBy("vehicle_id") if initial is not None else None
+    return rows.groupBy("vehicle_id").transformWithStateInPandas(agent, outputStructType=OUT, outputMode="Update", timeMode="None", initialState=grouped)
 
 
 def live_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.event_fixes(spark, sf_dir, streaming=True).filter("not history").withColumn("x", F.col("speed_kmh"))
+    return src.event_fixes(spark, sf_dir, streaming=True).filter("not history").withColumn("x", F.col("speed_kmh")).drop("history", "time_bucket", "cents")
 
 
 def write_eta(states: DataFrame, sink: str, baseline: DataFrame, stats: DataFrame, checkpoint: str):
@@ -96,7 +136,7 @@ def write_eta(states: DataFrame, sink: str, baseline: DataFrame, stats: DataFram
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        state = batch.filter("u is not null").withColumn("total_ms", F.col("anomaly_ms") + F.col("micro_ms"))
+        state = batch.filter("u is not null or now_u is not null").withColumn("total_ms", F.col("anomaly_ms") + F.col("micro_ms") + F.col("pending_ms"))
         plan = recovery.remaining(state, baseline, stats)
         out = recovery.eta(recovery.propagate(recovery.allocate(plan)))
         out.select("vehicle_id", "route_id", "seg_seq", "recovery", "delay_after", "eta_s").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
@@ -104,17 +144,29 @@ def write_eta(states: DataFrame, sink: str, baseline: DataFrame, stats: DataFram
     return states.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_end(spark: SparkSession, sf_dir: str, baseline: DataFrame) -> DataFrame:
-    """Run the agent over all live fixes there are; each vehicle's last state."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    place = f"{src.scratch(spark)}/agent-{uuid.uuid4().hex}"
-    states = agent_stream(live_samples(spark, sf_dir), src.table(baseline, "baseline"))
+def landing(place: str):
+    """A foreachBatch function that writes a micro-batch's rows under place/batch=<id>; a repeated batch overwrites its own folder."""
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/states/batch={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/batch={batch_id}")
 
-    query = states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    return write
+
+
+def run(rows: DataFrame, write, checkpoint: str, wait: bool = True):
+    """Start a query that gives every micro-batch to `write` and ends with the input there is."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    query = rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if wait:
+        query.awaitTermination()
+    return query
+
+
+def run_to_end(spark: SparkSession, sf_dir: str, baseline: DataFrame, samples: DataFrame | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """Run the agent over all live fixes there are (or a stream of samples), from initial states if there are; each vehicle's last state."""
+    place = f"{src.scratch(spark)}/agent-{uuid.uuid4().hex}"
+    states = agent_stream(samples if samples is not None else live_samples(spark, sf_dir), src.table(baseline, "baseline"), initial=initial)
+    run(states, landing(f"{place}/states"), f"{place}/checkpoint")
     found = spark.read.schema(f"{OUT}, batch bigint").parquet(f"{place}/states")
     last = delay.latest(found.filter("u is not null"))
     return last.select("vehicle_id", F.col("u").alias("last_u"), "route_id", "seg_seq", "progress", "stopped", F.round("ema_pct", 6).alias("ema_pct"), "anomaly_ms", "micro_ms")
