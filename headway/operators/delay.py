@@ -15,9 +15,10 @@ ALPHA = 0.2
 REST = 1e-17
 
 
-def ema(series: DataFrame, alpha: float = ALPHA, value: str = "raw_pct", name: str = "ema_pct") -> DataFrame:
+def ema(series: DataFrame, alpha: float = ALPHA, value: str = "raw_pct", name: str = "ema_pct", exact: str | None = None) -> DataFrame:
     """series with y = alpha * x + (1 - alpha) * y_before for each vehicle, y = x at first, rounded to 6 places; a null keeps y.
 
+    `exact` names a column for y before the rounding, from which a stream can go on.
     The sum of all terms down to REST, for any alpha: each row folds `near` terms,
     and then those folds of `far` rows that lie `near` apart, so that a row costs
     about two square roots of the number of terms and no history becomes one array.
@@ -35,7 +36,9 @@ def ema(series: DataFrame, alpha: float = ALPHA, value: str = "raw_pct", name: s
     out = out.withColumn("_near", fold(F.collect_list("_term").over(one), keep)).withColumn("_rest", F.col("_i") % near)
     apart = Window.partitionBy("vehicle_id", "_none", "_rest").orderBy(*ORDER).rowsBetween(-(far - 1), 0)
     out = out.withColumn("_y", F.when(~F.col("_none"), fold(F.collect_list("_near").over(apart), keep**near)))
-    return out.withColumn(name, F.round(F.last("_y", ignorenulls=True).over(run), 6)).drop("_i", "_none", "_term", "_near", "_rest", "_y")
+    y = F.last("_y", ignorenulls=True).over(run)
+    out = out.withColumn(exact, y) if exact else out
+    return out.withColumn(name, F.round(y, 6)).drop("_i", "_none", "_term", "_near", "_rest", "_y")
 
 
 def delays(live: DataFrame, lo: float | Column = LO, hi: float | Column = HI, gate_on: str = "raw_pct") -> DataFrame:

@@ -61,6 +61,31 @@ def segment_baseline(samples: DataFrame, keys: tuple[str, ...] = SEGMENT, value:
     return out.select(*keys, "n", *[F.element_at("q", i + 1).alias(f"p{i}") for i in (10, 50, 90)], "q")
 
 
+#: Size of a sketch: ranks of a merged baseline are within RANK_ERROR of exact with high probability.
+SKETCH_K = 400
+RANK_ERROR = 0.01
+
+
+def daily_sketches(samples: DataFrame, keys: tuple[str, ...] = SEGMENT, value: str = "x", k: int = SKETCH_K) -> DataFrame:
+    """(keys, day, n, sketch): a KLL sketch of a day's values, day being that of `u` in UTC; nulls and NaN don't count.
+
+    A day's sketches are made once and kept: baselines of any span are merged
+    from them (merged_baseline) without the samples.  Sketches combine before the
+    one shuffle, and a group is never more than its sketch.
+    """
+    x = F.col(value).cast("double")
+    usable = samples.filter(x.isNotNull() & ~F.isnan(x)).withColumn("day", F.expr("cast(floor(u / 86400000000) as bigint)"))
+    return usable.groupBy(*keys, "day").agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch"))
+
+
+def merged_baseline(sketches: DataFrame, keys: tuple[str, ...] = SEGMENT) -> DataFrame:
+    """(keys, n, p10, p50, p90, q) from sketches (daily_sketches) of some days, each a value that was seen, at a rank within RANK_ERROR of the level's."""
+    levels = F.array(*[F.lit(i / 100) for i in range(101)])
+    out = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    out = out.withColumn("q", F.transform(F.kll_sketch_get_quantile_double("_s", levels), lambda v: F.round(v, 6)))
+    return out.select(*keys, "n", *[F.element_at("q", i + 1).alias(f"p{i}") for i in (10, 50, 90)], "q")
+
+
 def raw_pct(live: DataFrame, baseline: DataFrame, keys: tuple[str, ...] = SEGMENT) -> DataFrame:
     """live with its segment's quantiles and `raw_pct`; samples of segments without a baseline go.
 

@@ -45,6 +45,31 @@ def allocate(plan: DataFrame, weight_mode: str = "direct", cap: str | None = "q5
     return out.withColumn("recovery", F.round(F.least("share", F.col("p50") - F.col("p10")), 6) if cap else F.col("share"))
 
 
+def water_fill(plan: DataFrame) -> DataFrame:
+    """plan with `room`, `weight` and `recovery` in seconds: the delay above 0 shared by weight, no segment over its room, and what one can't take given on to the others.
+
+    A segment's room is what it may be driven faster than its median, p50 - p10.
+    Its weight grows with the room and with the time that stops take there, room *
+    (1 + p_stop * mean_dwell_s).  All segments rise together, recovery = level *
+    weight, until they are full; the level at which the delay is used up follows
+    from the segments in the order in which they fill.  So the recoveries' sum is
+    the delay or all the room there is, whichever is less.
+    """
+    room = F.greatest(F.lit(0.0), F.col("p50") - F.col("p10"))
+    out = plan.withColumn("room", F.round(room, 6)).withColumn("weight", F.col("room") * (1 + F.col("p_stop") * F.col("mean_dwell_s")))
+    out = out.withColumn("_full", F.when(F.col("weight") > 0, F.round(F.col("room") / F.when(F.col("weight") > 0, F.col("weight")), 12)))
+    w = Window.partitionBy("vehicle_id")
+    filling = w.orderBy(F.asc_nulls_first("_full"), "seg_seq")
+    budget = F.greatest(F.lit(0), F.col("total_ms")) / 1000
+    before = F.coalesce(F.sum("room").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    open_ = F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing))
+    out = out.withColumn("_level", F.when(F.col("_full").isNotNull(), (budget - before) / F.when(open_ > 0, open_)))
+    level = F.max(F.when(F.col("_level") <= F.col("_full"), F.col("_level"))).over(w)
+    out = out.withColumn("_level", level)
+    share = F.when(F.col("_level").isNull(), F.col("room")).otherwise(F.least("room", F.greatest(F.lit(0.0), F.col("_level") * F.col("weight"))))
+    return out.withColumn("recovery", F.round(share, 6)).drop("_full", "_level")
+
+
 def propagate(plan: DataFrame) -> DataFrame:
     """plan with `delay_after`: the delay left after each segment's recovery, never under 0."""
     run = Window.partitionBy("vehicle_id").orderBy("seg_seq").rowsBetween(Window.unboundedPreceding, 0)

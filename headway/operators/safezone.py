@@ -55,6 +55,22 @@ def sensitivity(qq: DataFrame, tols: list[float]) -> DataFrame:
     return zones(qq, "curvature", tols).unionByName(zones(qq, "inflection", tols))
 
 
+def plateaus(spectrum: DataFrame) -> DataFrame:
+    """(grp, method, tol, lo, hi, n_tols) from a sensitivity spectrum: for each group and method the tolerance to choose, the least of its plateau.
+
+    A plateau is a run of neighbouring tolerances with one zone: there the zone
+    is a property of the sample and not of the tolerance.  The longest one
+    counts, of equal ones that of the least tolerance; unbounded zones (1 to 99)
+    count only where there is no other.
+    """
+    w = Window.partitionBy("grp", "method").orderBy("tol")
+    zone = F.struct("lo", "hi")
+    rows = spectrum.withColumn("_new", F.when(zone == F.lag(zone).over(w), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    runs = rows.groupBy("grp", "method", "_run").agg(F.min("tol").alias("tol"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.count(F.lit(1)).alias("n_tols"))
+    best = F.min_by(F.struct("tol", "lo", "hi", "n_tols"), F.struct((F.col("lo") == 1) & (F.col("hi") == 99), -F.col("n_tols"), "tol"))
+    return runs.groupBy("grp", "method").agg(best.alias("b")).select("grp", "method", "b.*")
+
+
 def intersect_zones(a: DataFrame, b: DataFrame) -> DataFrame:
     """(grp, lo, hi): the common part of two zones, nulls where there is none."""
     both = a.select("grp", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi")).join(b.select("grp", F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")), "grp")

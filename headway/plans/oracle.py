@@ -124,10 +124,34 @@ PARTS = {
     "ranked": ("SELECT *, coalesce(lag(score) OVER w, -1) AS score_before, coalesce(lead(score) OVER w, -1) AS score_after FROM scores WINDOW w AS (PARTITION BY vehicle_id, trip ORDER BY i)", ("scores",)),
     "in_place": ("""SELECT vehicle_id, fix_id, trip, i * 10000000 AS u, max(d) OVER (PARTITION BY vehicle_id, trip ORDER BY i ROWS UNBOUNDED PRECEDING) AS d FROM ranked
         WHERE NOT (score > 10000 AND score > score_before AND score >= score_after)""", ("ranked",)),
+    "stream_place": ("""SELECT vehicle_id, fix_id, trip, i * 10000000 AS u, max(d) OVER (PARTITION BY vehicle_id, trip ORDER BY i ROWS UNBOUNDED PRECEDING) AS d FROM trips
+        WHERE NOT coalesce((wild AND d - d_next > 600) OR (d < held - 100 AND wild_next AND d_next >= held - 100), false)""", ("trips",)),
+    "stream_pairs": ("""SELECT *, lead(u) OVER w AS next_u, lead(d) OVER w AS next_d, lead(fix_id) OVER w AS next_id, d = min(d) OVER (PARTITION BY vehicle_id, trip) AS began FROM stream_place
+        WINDOW w AS (PARTITION BY vehicle_id, trip ORDER BY u, fix_id)""", ("stream_place",)),
+    "stream_places": ("""SELECT vehicle_id, trip, k, next_id, u + CAST(round((k * 500 - d) / (next_d - d) * (next_u - u)) AS BIGINT) AS at_u
+        FROM (SELECT *, unnest(generate_series(0, 10)) AS k FROM stream_pairs) WHERE next_d > d AND (k * 500 > d OR (k * 500 = d AND began)) AND k * 500 <= next_d""", ("stream_pairs",)),
+    "stream_times": ("""SELECT a.vehicle_id, a.trip, CAST(a.k AS INTEGER) AS seg_seq, b.at_u AS u, b.next_id AS fix_id, (b.at_u - a.at_u) / 1e6 AS x
+        FROM stream_places a JOIN stream_places b ON b.vehicle_id = a.vehicle_id AND b.trip = a.trip AND b.k = a.k + 1""", ("stream_places",)),
     "noisy_pairs": ("""SELECT *, lead(u) OVER w AS next_u, lead(d) OVER w AS next_d, d = min(d) OVER (PARTITION BY vehicle_id, trip) AS began FROM in_place WINDOW w AS (PARTITION BY vehicle_id, trip ORDER BY u, fix_id)""", ("in_place",)),
     "noisy_places": ("""SELECT vehicle_id, trip, k, u + CAST(round((k * 500 - d) / (next_d - d) * (next_u - u)) AS BIGINT) AS at_u
         FROM (SELECT *, unnest(generate_series(0, 10)) AS k FROM noisy_pairs) WHERE next_d > d AND (k * 500 > d OR (k * 500 = d AND began)) AND k * 500 <= next_d""", ("noisy_pairs",)),
     "noisy_times": ("SELECT CAST(a.k AS INTEGER) AS seg_seq, (b.at_u - a.at_u) / 1e6 AS x FROM noisy_places a JOIN noisy_places b ON b.vehicle_id = a.vehicle_id AND b.trip = a.trip AND b.k = a.k + 1", ("noisy_places",)),
+    "spectrum_tols": ("SELECT i / 4.0::DOUBLE AS tol FROM range(1, 25) r(i)", ()),
+    "spectrum": ("""SELECT grp, method, tol, coalesce(max(i) FILTER (far AND i < 50) + 1, 1) AS lo, coalesce(min(i) FILTER (far AND i > 50) - 1, 99) AS hi FROM (
+        SELECT grp, i, tol, 'curvature' AS method, abs(d2) > tol * d50 AS far FROM middle, spectrum_tols
+        UNION ALL SELECT grp, i, tol, 'inflection', abs(d1 / nullif(d50, 0) - 1) > tol FROM middle, spectrum_tols) GROUP BY grp, method, tol""", ("middle", "spectrum_tols")),
+    "spectrum_runs": ("""SELECT grp, method, min(tol) AS tol, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n_tols FROM (
+        SELECT *, row_number() OVER (PARTITION BY grp, method ORDER BY tol) - row_number() OVER (PARTITION BY grp, method, lo, hi ORDER BY tol) AS run FROM spectrum) GROUP BY grp, method, lo, hi, run""", ("spectrum",)),
+    "plateaus": ("SELECT * FROM spectrum_runs QUALIFY row_number() OVER (PARTITION BY grp, method ORDER BY lo = 1 AND hi = 99, n_tols DESC, tol) = 1", ("spectrum_runs",)),
+    "rooms": ("SELECT *, greatest(0, total_ms) / 1000 AS budget, round(greatest(0.0::DOUBLE, p50 - p10), 6) AS room, round(greatest(0.0::DOUBLE, p50 - p10), 6) * (1 + weight) AS fill_weight FROM plan", ("plan",)),
+    "filling": ("""SELECT *, round(room / nullif(fill_weight, 0), 12) AS fills FROM rooms""", ("rooms",)),
+    "levels_of": ("""SELECT a.vehicle_id, a.fills, (a.budget - coalesce(sum(b.room) FILTER (b.fills < a.fills), 0)) / sum(b.fill_weight) FILTER (b.fills >= a.fills) AS level
+        FROM filling a JOIN filling b ON b.vehicle_id = a.vehicle_id WHERE a.fills IS NOT NULL GROUP BY a.vehicle_id, a.fills, a.seg_seq, a.budget""", ("filling",)),
+    "filled": ("""SELECT f.*, CASE WHEN l.level IS NULL THEN room ELSE least(room, greatest(0.0::DOUBLE, l.level * fill_weight)) END AS filled FROM filling f LEFT JOIN (
+        SELECT vehicle_id, max(level) AS level FROM levels_of WHERE level <= fills GROUP BY vehicle_id) l ON l.vehicle_id = f.vehicle_id""", ("filling", "levels_of")),
+    "day_medians": ("""SELECT route_id, seg_seq, (u // 86400000000 + 1) * 86400000000 AS since_u, round(quantile_cont(speed_kmh, 0.5), 6) AS day_p50, count(*) AS day_n FROM fixes GROUP BY route_id, seg_seq, since_u""", ("fixes",)),
+    "met": ("""SELECT f.vehicle_id, f.fix_id, f.route_id, f.seg_seq, f.speed_kmh, m.since_u, m.day_p50, m.day_n FROM fixes f ASOF LEFT JOIN day_medians m
+        ON m.route_id = f.route_id AND m.seg_seq = f.seg_seq AND f.u >= m.since_u""", ("fixes", "day_medians")),
     "line_rows": ("SELECT 'line' AS route_id, * FROM line_baseline JOIN line_stats USING (seg_seq)", ("line_baseline", "line_stats")),
 }
 
@@ -164,6 +188,11 @@ SELECTS = {
     "q_channel_calibrated": ("vehicle_id, fix_id, lo, hi, channel", "zone_gated"),
     "q_dual_delay_calibrated": ("vehicle_id, fix_id, channel, anomaly_ms, micro_ms, total_ms", "zone_dual"),
     "q_prepared_baseline": ("route_id, seg_seq, n, p10, p50, p90, n_traversals, p_stop, mean_dwell_s", "line_rows"),
+    "q_zone_plateaus": ("grp, method, tol, lo, hi, n_tols", "plateaus"),
+    "q_recovery_filled": ("vehicle_id, route_id, seg_seq, room, round(fill_weight, 6) AS weight, round(filled, 5) AS recovery", "filled"),
+    "q_asof_baseline": ("*", "met"),
+    "q_traversal_stream": ("vehicle_id, trip, seg_seq, u, fix_id, x", "stream_times"),
+    "q_agent_resumed": ("vehicle_id, u AS last_u, route_id, seg_seq, progress, live_stopped AS stopped, ema_pct, anomaly_ms, micro_ms", "agent"),
     "q_fixes_in_place": ("vehicle_id, fix_id, trip, round(d, 2) AS dist_m", "in_place"),
     "q_jitter_baseline": ("'line' AS route_id, seg_seq, count(*) AS n, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90", "noisy_times", "GROUP BY seg_seq"),
     "q_eta_pace": ("vehicle_id, route_id, seg_seq, remaining_pace AS remaining_current, pace_s, pace_eta_s AS eta_s", "ahead"),

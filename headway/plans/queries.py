@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.functions.scalars import channel
-from headway.operators import anomaly, delay, prep, quantiles, recovery, safezone, stops, travel
+from headway.operators import anomaly, asof, delay, prep, quantiles, recovery, safezone, stops, travel
 from headway.plans import prepared
 from headway.sources import fixes as src
-from headway.streaming import agent
+from headway.streaming import agent, traversal
 
 ROUTE = "click"
 SPACING = 50_000
@@ -17,7 +19,9 @@ STEP_S = 3600
 ENTERS, EXITS = [3.0, 5.0, 8.0], [8.0, 10.0, 15.0]
 SHORT_S, LONG_S = 7200.0, 43_200.0
 TOLS = [0.5, 1.0, 2.0, 4.0]
+SPECTRUM = [i / 4 for i in range(1, 25)]
 REJECT = 0.99
+RESUMED_DAY = 26
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +140,11 @@ def q_qq_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return safezone.sensitivity(qq(spark, sf_dir), TOLS)
 
 
+def q_zone_plateaus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tolerance that each method's spectrum suggests, and its zone."""
+    return safezone.plateaus(safezone.sensitivity(qq(spark, sf_dir), SPECTRUM))
+
+
 def q_safe_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones(spark, sf_dir)
 
@@ -145,6 +154,23 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.raw_pct(live, baseline(spark, sf_dir))
 
 
+def daily_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(route_id, seg_seq, since_u, day_p50, day_n): each day's median and number of samples, in force from the next midnight (UTC) on."""
+    days = base(spark, sf_dir).withColumn("since_u", F.expr("(u div 86400000000 + 1) * 86400000000"))
+    return days.groupBy("route_id", "seg_seq", "since_u").agg(F.round(F.percentile("speed_kmh", F.lit(0.5)), 6).alias("day_p50"), F.count(F.lit(1)).alias("day_n"))
+
+
+def q_asof_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every report with the newest daily median of its segment that was known then."""
+    rows = base(spark, sf_dir).select("vehicle_id", "fix_id", "route_id", "seg_seq", "u", "speed_kmh")
+    return asof.as_of(rows, daily_medians(spark, sf_dir), ("route_id", "seg_seq"), "u", "since_u", ("since_u", "day_p50", "day_n")).drop("u")
+
+
+def q_sketch_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline of the history, merged from sketches by segment and day."""
+    return quantiles.merged_baseline(src.table(quantiles.daily_sketches(src.travel_samples(base(spark, sf_dir))), "sketches"))
+
+
 def q_raw_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("vehicle_id", "fix_id", "x", "raw_pct")
 
@@ -192,8 +218,13 @@ def q_dual_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agent_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch twin of the streaming agent: each vehicle's last live state."""
-    live = delayed(spark, sf_dir).filter("raw_pct is not null").withColumn("speed_kmh", F.col("x"))
-    rows = stops.stop_state(live).select("vehicle_id", "fix_id", "u", "route_id", "seg_seq", "progress", "stopped", "ema_pct", "anomaly_ms", "micro_ms", "total_ms")
+    return folded(scored(spark, sf_dir))
+
+
+def folded(rows: DataFrame, exact: str | None = None) -> DataFrame:
+    """Each vehicle's last state after its scored samples; here the samples are speeds too.  exact: a column for the smoothed percentile before its rounding."""
+    live = delay.delays(delay.ema(rows, exact=exact)).filter("raw_pct is not null").withColumn("speed_kmh", F.col("x"))
+    rows = stops.stop_state(live).select("vehicle_id", "fix_id", "u", "route_id", "seg_seq", "progress", "stopped", "ema_pct", "anomaly_ms", "micro_ms", "total_ms", *([exact] if exact else []))
     return delay.latest(rows)
 
 
@@ -222,6 +253,11 @@ def q_recovery_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.allocate(plan(spark, sf_dir)).select("vehicle_id", "route_id", "seg_seq", "weight", "recovery")
 
 
+def q_recovery_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovery by water-filling: all of the delay that the segments' room can take."""
+    return recovery.water_fill(plan(spark, sf_dir)).select("vehicle_id", "route_id", "seg_seq", "room", F.round("weight", 6).alias("weight"), F.round("recovery", 5).alias("recovery"))
+
+
 def q_delay_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.propagate(recovery.allocate(plan(spark, sf_dir))).select("vehicle_id", "route_id", "seg_seq", "delay_after")
 
@@ -274,6 +310,33 @@ def q_agent_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agent.run_to_end(spark, sf_dir, baseline(spark, sf_dir))
 
 
+def q_traversal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that the stream of noisy landed reports saw passed whole; a last report of another vehicle, a day later, lets it fold all."""
+    place = f"{src.scratch(spark)}/landed-{uuid.uuid4().hex}"
+    fixes = src.jittered_fixes(base(spark, sf_dir)).drop("u")
+    last = fixes.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).filter("ts is not null")
+    last = last.select(F.lit("line").alias("route_id"), F.lit(-1).cast("bigint").alias("vehicle_id"), F.lit(-1).cast("bigint").alias("fix_id"), "ts", F.lit(0.0).alias("speed_kmh"), F.lit(0.0).alias("dist_m"))
+    fixes.unionByName(last).write.parquet(f"{place}/fixes")
+    stream = src.read_fixes(spark, f"{place}/fixes", streaming=True)
+    rows = traversal.traversals(stream, src.line_segments(spark), traversal.Traversals(top_ms=60.0))
+    agent.run(rows, agent.landing(f"{place}/traversals"), f"{place}/checkpoint")
+    found = spark.read.schema(f"{traversal.OUT}, batch bigint").parquet(f"{place}/traversals")
+    return found.filter("kind = 'whole'").select("vehicle_id", "trip", "seg_seq", "u", "fix_id", "x")
+
+
+def q_agent_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming agent over the reports from day 26 on, begun from the batch twin's state of the live days before; rows as q_agent_state."""
+    early = F.dayofmonth(F.timestamp_micros("u")) < RESUMED_DAY
+    known = src.table(baseline(spark, sf_dir), "baseline")
+    live = src.travel_samples(base(spark, sf_dir), history=False)
+    before = src.table(folded(quantiles.raw_pct(live.filter(early), known), exact="exact"), "before")
+    later = agent.live_samples(spark, sf_dir).filter(~early)
+    states = agent.run_to_end(spark, sf_dir, known, later, before.drop("total_ms", "ema_pct").withColumnRenamed("exact", "ema_pct"))
+    # Vehicles without later reports keep their state.
+    kept = before.select("vehicle_id", F.col("u").alias("last_u"), *states.columns[2:]).join(states.select("vehicle_id"), "vehicle_id", "left_anti")
+    return states.unionByName(kept)
+
+
 def q_eta_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrival estimates that the stream published to its sink."""
     return agent.publish_eta(spark, sf_dir, baseline(spark, sf_dir), stop_stats(spark, sf_dir))
