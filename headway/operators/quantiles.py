@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.scalars import percentile_of
 
 SEGMENT = ("route_id", "seg_seq")
+#: Bins of values for each factor of e.
+BINS = 200
 
 
 def normalize(samples: DataFrame, keys: tuple[str, ...] = ("vehicle_id", "time_bucket"), value: str = "x") -> DataFrame:
@@ -22,33 +21,35 @@ def exact_quantiles(rows: DataFrame, keys: tuple[str, ...], value: str, levels:
     """(keys, n, q): for each group its number of values and the quantiles at the levels, linear between neighbours; nulls and NaN don't count.
 
     No task holds a group: equal values are counted, dealt into bins of about
-    equal numbers over all groups, and the ranks of a level are looked up in
+    half a percent of their size, and the ranks of a level are looked up in
     their bins by running counts.  Groups without values are left out.
     """
-    bins = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     x = F.col(value).cast("double")
     usable = rows.filter(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias("_v"))
-    cuts = sorted(set(usable.approxQuantile("_v", [i / bins for i in range(1, bins)], 1 / (4 * bins))))
-    counted = usable.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    counted = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="_v", outputCol="_b").transform(counted)
+    size = F.signum("_v") * F.log1p(F.abs("_v")) * BINS
+    usable = usable.withColumn("_b", F.floor(F.greatest(F.least(size, F.lit(1e9)), F.lit(-1e9))))
+    counted = usable.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*keys)
     binned = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_in"))
     binned = binned.withColumns({"_before": F.coalesce(F.sum("_in").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_of": F.sum("_in").over(whole)})
-    binned = binned.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_bin"), "_before", "_of")
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(levels)])
+    at = lambda p: (F.col("_of") - 1) * p
+    # Only bins that a wanted rank falls into are looked into.
+    inside = lambda first, past: lambda w: (F.floor(at(w["p"])) < past) & (F.ceil(at(w["p"])) >= first)
+    binned = binned.withColumn("_wanted", F.filter(wanted, inside(F.col("_before"), F.col("_before") + F.col("_in")))).filter(F.size("_wanted") > 0)
+    binned = binned.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_bin"), "_before", "_of", "_wanted")
     same = F.col("_b") == F.col("_bin")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
     run = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counted.join(binned, same).withColumn("_to", F.col("_before") + run).withColumn("_from", F.col("_to") - F.col("_n"))
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(levels)])
-    at = lambda p: (F.col("_of") - 1) * p
-    hit = F.filter(wanted, lambda w: (F.floor(at(w["p"])) < F.col("_to")) & (F.ceil(at(w["p"])) >= F.col("_from")))
-    found = ranked.select(*keys, "_v", "_from", "_to", "_of", F.explode(hit).alias("w")).select("*", "w.i", at(F.col("w.p")).alias("_at"))
-    held = lambda rank: F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_v")))
-    found = found.groupBy(*keys, "i").agg(F.max("_of").alias("n"), F.max("_at").alias("_at"), held(F.floor("_at")).alias("_low"), held(F.ceil("_at")).alias("_high"))
-    q = F.col("_low") + (F.col("_at") - F.floor("_at")) * (F.col("_high") - F.col("_low"))
-    found = found.select(*keys, "n", F.struct("i", q.alias("q")).alias("iq"))
-    return found.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list("iq")), lambda e: e["q"]).alias("q"))
+    found = ranked.select(*keys, "_v", "_from", "_to", "_of", F.explode(F.filter("_wanted", inside(F.col("_from"), F.col("_to")))).alias("w"))
+    held = lambda rank: (rank >= F.col("_from")) & (rank < F.col("_to"))
+    ends = {"_low": held(F.floor(at(F.col("w.p")))), "_high": held(F.ceil(at(F.col("w.p"))))}
+    found = found.groupBy(*keys).agg(F.max("_of").alias("n"), *[F.sort_array(F.collect_list(F.when(c, F.struct("w.i", "_v")))).alias(name) for name, c in ends.items()])
+    between = lambda p: (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
+    q = F.transform(wanted, lambda w: F.get("_low", w["i"])["_v"] + between(w["p"]) * (F.get("_high", w["i"])["_v"] - F.get("_low", w["i"])["_v"]))
+    return found.select(*keys, "n", q.alias("q"))
 
 
 def segment_baseline(samples: DataFrame, keys: tuple[str, ...] = SEGMENT, value: str = "x") -> DataFrame:

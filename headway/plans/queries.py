@@ -149,9 +149,9 @@ def q_safe_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones(spark, sf_dir)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     live = src.travel_samples(base(spark, sf_dir), history=False)
-    return quantiles.raw_pct(live, baseline(spark, sf_dir))
+    return quantiles.raw_pct(live, known if known is not None else baseline(spark, sf_dir))
 
 
 def daily_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,9 +216,9 @@ def q_dual_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delayed(spark, sf_dir).select("vehicle_id", "fix_id", "channel", "anomaly_ms", "micro_ms", "total_ms")
 
 
-def agent_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agent_state(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     """Batch twin of the streaming agent: each vehicle's last live state."""
-    return folded(scored(spark, sf_dir))
+    return folded(scored(spark, sf_dir, known))
 
 
 def folded(rows: DataFrame, exact: str | None = None) -> DataFrame:
@@ -241,8 +241,10 @@ def q_stop_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stop_stats(spark, sf_dir)
 
 
-def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recovery.remaining(agent_state(spark, sf_dir), baseline(spark, sf_dir), stop_stats(spark, sf_dir))
+def plan(spark: SparkSession, sf_dir: str, pace: str = "median") -> DataFrame:
+    """What is ahead of each vehicle; the baseline is made once, for the live percentiles and for the segments ahead."""
+    known = src.table(baseline(spark, sf_dir), "baseline")
+    return recovery.remaining(agent_state(spark, sf_dir, known), known, stop_stats(spark, sf_dir), pace)
 
 
 def q_recovery_alloc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,8 +270,7 @@ def q_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_eta_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals at each vehicle's own pace: quantiles at its smoothed percentile instead of medians."""
-    rows = recovery.remaining(agent_state(spark, sf_dir), baseline(spark, sf_dir), stop_stats(spark, sf_dir), pace="ema")
-    return recovery.eta(recovery.allocate(rows)).select("vehicle_id", "route_id", "seg_seq", "remaining_current", "pace_s", "eta_s")
+    return recovery.eta(recovery.allocate(plan(spark, sf_dir, "ema"))).select("vehicle_id", "route_id", "seg_seq", "remaining_current", "pace_s", "eta_s")
 
 
 def q_prepared_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:

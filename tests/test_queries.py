@@ -87,6 +87,21 @@ def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") + df._jdf.queryExecution().executedPlan().toString().count("Exchange rangepartitioning")
 
 
+def test_one_baseline_and_no_job_while_a_plan_is_built(spark):
+    """A set of quantiles is one plan without a job of its own; the flagship's plan holds no second baseline."""
+    from headway.plans import queries
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "")
+    rows = queries.baseline(spark, SF)
+    assert not tracker.getJobIdsForGroup("build")
+    spark.sparkContext.setJobGroup("other", "")
+    rows.collect()
+    ran = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("Exchange hashpartitioning") - ran.count("ReusedExchange") <= 6
+    assert exchanges(QUERIES["q_flagship"](spark, SF)) <= 10
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["q_route_filter"](spark, SF)._jdf.queryExecution().toString()
     scan = plan[plan.rindex("FileScan") :]
