@@ -152,6 +152,15 @@ PARTS = {
     "day_medians": ("""SELECT route_id, seg_seq, (u // 86400000000 + 1) * 86400000000 AS since_u, round(quantile_cont(speed_kmh, 0.5), 6) AS day_p50, count(*) AS day_n FROM fixes GROUP BY route_id, seg_seq, since_u""", ("fixes",)),
     "met": ("""SELECT f.vehicle_id, f.fix_id, f.route_id, f.seg_seq, f.speed_kmh, m.since_u, m.day_p50, m.day_n FROM fixes f ASOF LEFT JOIN day_medians m
         ON m.route_id = f.route_id AND m.seg_seq = f.seg_seq AND f.u >= m.since_u""", ("fixes", "day_medians")),
+    "gps": ("""SELECT vehicle_id, fix_id, 37.5::DOUBLE + 0.003::DOUBLE * (floor(s) + (s - floor(s))) + 0.0001::DOUBLE * (fix_id % 5 - 2) AS lat,
+        127.0::DOUBLE + 0.004::DOUBLE * (floor(s) % 2 + (s - floor(s)) * (1 - 2 * (floor(s) % 2))) AS lon FROM (SELECT *, (dist_c % 500000) / 50000.0::DOUBLE AS s FROM dist)""", ("dist",)),
+    "shape": ("SELECT k, 37.5::DOUBLE + 0.003::DOUBLE * k AS lat, 127.0::DOUBLE + 0.004::DOUBLE * (k % 2) AS lon, 37.5::DOUBLE + 0.003::DOUBLE * (k + 1) AS to_lat, 127.0::DOUBLE + 0.004::DOUBLE * ((k + 1) % 2) AS to_lon FROM range(0, 10) r(k)", ()),
+    "shape_lengths": ("""SELECT *, 2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(to_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(to_lat)) * pow(sin(radians(to_lon - lon) / 2), 2))) AS length FROM shape""", ("shape",)),
+    "shape_edges": ("SELECT *, coalesce(sum(length) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, cos(radians(lat)) AS squeeze FROM shape_lengths", ("shape_lengths",)),
+    "projected": ("""SELECT vehicle_id, fix_id, start, length, px, py, bx, by_, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (px * bx + py * by_) / (bx * bx + by_ * by_))) AS t FROM (
+        SELECT g.vehicle_id, g.fix_id, e.start, e.length, (g.lon - e.lon) * squeeze AS px, g.lat - e.lat AS py, (e.to_lon - e.lon) * squeeze AS bx, e.to_lat - e.lat AS by_ FROM gps g, shape_edges e)""", ("gps", "shape_edges")),
+    "matched": ("""SELECT vehicle_id, fix_id, round(sqrt(pow(px - t * bx, 2) + pow(py - t * by_, 2)) * (6371008.8::DOUBLE / 57.29577951308232::DOUBLE), 3) AS off_m, start + t * length AS dist_m FROM projected
+        QUALIFY row_number() OVER (PARTITION BY vehicle_id, fix_id ORDER BY round(sqrt(pow(px - t * bx, 2) + pow(py - t * by_, 2)) * (6371008.8::DOUBLE / 57.29577951308232::DOUBLE), 3), start + t * length) = 1""", ("projected",)),
     "line_rows": ("SELECT 'line' AS route_id, * FROM line_baseline JOIN line_stats USING (seg_seq)", ("line_baseline", "line_stats")),
 }
 
@@ -193,6 +202,7 @@ SELECTS = {
     "q_asof_baseline": ("*", "met"),
     "q_traversal_stream": ("vehicle_id, trip, seg_seq, u, fix_id, x", "stream_times"),
     "q_agent_resumed": ("vehicle_id, u AS last_u, route_id, seg_seq, progress, live_stopped AS stopped, ema_pct, anomaly_ms, micro_ms", "agent"),
+    "q_map_match": ("vehicle_id, fix_id, round(dist_m, 1) AS dist_m, round(off_m, 1) AS off_m", "matched", "WHERE off_m <= 60"),
     "q_fixes_in_place": ("vehicle_id, fix_id, trip, round(d, 2) AS dist_m", "in_place"),
     "q_jitter_baseline": ("'line' AS route_id, seg_seq, count(*) AS n, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90", "noisy_times", "GROUP BY seg_seq"),
     "q_eta_pace": ("vehicle_id, route_id, seg_seq, remaining_pace AS remaining_current, pace_s, pace_eta_s AS eta_s", "ahead"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.functions.scalars import channel
-from headway.operators import anomaly, asof, delay, prep, quantiles, recovery, safezone, stops, travel
+from headway.operators import anomaly, asof, delay, geo, prep, quantiles, recovery, safezone, stops, travel
 from headway.plans import prepared
 from headway.sources import fixes as src
 from headway.streaming import agent, traversal
@@ -280,6 +280,12 @@ def q_prepared_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.baseline.drop("q").join(found.stats, ["route_id", "seg_seq"])
 
 
+def q_map_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions on the earth as distances along the line."""
+    found = geo.match(src.gps_fixes(base(spark, sf_dir)), src.line_shape(spark))
+    return found.select("vehicle_id", "fix_id", F.round("dist_m", 1).alias("dist_m"), F.round("off_m", 1).alias("off_m"))
+
+
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The adapter's reports with GPS noise, in place: trips, no jumps, distances that never fall."""
     moved = travel.with_trips(src.jittered_fixes(base(spark, sf_dir)), top_ms=60.0)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FIXES = "route_id string, vehicle_id bigint, fix_id bigint, ts timestamp, speed_kmh double, dist_m double"
+GPS = "route_id string, vehicle_id bigint, fix_id bigint, ts timestamp, speed_kmh double, lat double, lon double"
+SHAPES = "route_id string, pt_seq int, lat double, lon double"
 SEGMENTS = "route_id string, seg_seq int, length_m double"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: Days of the month up to this one are history, later ones live.
@@ -51,6 +53,16 @@ def read_fixes(spark: SparkSession, path: str, streaming: bool = False, max_file
     return reader.schema(FIXES).parquet(path).withColumn("u", F.unix_micros("ts"))
 
 
+def read_gps(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Landed positions on the earth (GPS), with `u`; operators.geo.match gives them a distance along their route."""
+    return (spark.readStream if streaming else spark.read).schema(GPS).parquet(path).withColumn("u", F.unix_micros("ts"))
+
+
+def read_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """Landed route lines (SHAPES): points in order."""
+    return spark.read.schema(SHAPES).parquet(path)
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Landed route segments (SEGMENTS), a dimension of fixed size for each route."""
     return spark.read.schema(SEGMENTS).parquet(path)
@@ -115,6 +127,21 @@ def jittered_fixes(fixes: DataFrame, every_s: int = 10, length_m: float = 5000.0
     return moved.select(F.lit("line").alias("route_id"), "vehicle_id", "fix_id", F.timestamp_micros("u").alias("ts"), "u", "speed_kmh", place.alias("dist_m"))
 
 
+def line_shape(spark: SparkSession, n: int = 10) -> DataFrame:
+    """The line on the earth: n zigzag pieces of about 485 m to the north."""
+    k = F.col("id")
+    return spark.range(n + 1).select(F.lit("line").alias("route_id"), k.cast("int").alias("pt_seq"), (37.5 + 0.003 * k).alias("lat"), (127.0 + 0.004 * (k % 2)).alias("lon"))
+
+
+def gps_fixes(fixes: DataFrame, n: int = 10) -> DataFrame:
+    """The adapter's fixes as positions on line_shape: the distance, in pieces of 500 and from the start again after the last, with up to 22 m off to the north or south."""
+    moved = with_distance(fixes).withColumn("_s", (F.col("dist_c") % (n * 50_000)) / 50_000.0)
+    k, share = F.floor("_s"), F.col("_s") - F.floor("_s")
+    lat = 37.5 + 0.003 * (k + share) + 0.0001 * (F.col("fix_id") % 5 - 2)
+    lon = 127.0 + 0.004 * (k % 2 + share * (1 - 2 * (k % 2)))
+    return moved.select(F.lit("line").alias("route_id"), "vehicle_id", "fix_id", "ts", "u", "speed_kmh", lat.alias("lat"), lon.alias("lon"))
+
+
 def line_segments(spark: SparkSession, n: int = 10, length_m: float = 500.0) -> DataFrame:
     """The line's segments: n of one length."""
     return spark.range(n).select(F.lit("line").alias("route_id"), F.col("id").cast("int").alias("seg_seq"), F.lit(float(length_m)).alias("length_m"))
