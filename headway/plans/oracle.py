@@ -149,6 +149,8 @@ PARTS = {
         FROM filling a JOIN filling b ON b.vehicle_id = a.vehicle_id WHERE a.fills IS NOT NULL GROUP BY a.vehicle_id, a.fills, a.seg_seq, a.budget""", ("filling",)),
     "filled": ("""SELECT f.*, CASE WHEN l.level IS NULL THEN room ELSE least(room, greatest(0.0::DOUBLE, l.level * fill_weight)) END AS filled FROM filling f LEFT JOIN (
         SELECT vehicle_id, max(level) AS level FROM levels_of WHERE level <= fills GROUP BY vehicle_id) l ON l.vehicle_id = f.vehicle_id""", ("filling", "levels_of")),
+    "filled_ahead": ("""SELECT vehicle_id, route_id, seg_seq, round(filled, 4) AS recovery, round(greatest(0.0::DOUBLE, budget - sum(round(filled, 6)) OVER w), 4) AS delay_after,
+        round(remaining_current + sum(greatest(p50 - round(filled, 6), least(p10, p50))) OVER w, 4) AS eta_s FROM filled WINDOW w AS (PARTITION BY vehicle_id ORDER BY seg_seq ROWS UNBOUNDED PRECEDING)""", ("filled",)),
     "day_medians": ("""SELECT route_id, seg_seq, (u // 86400000000 + 1) * 86400000000 AS since_u, round(quantile_cont(speed_kmh, 0.5), 6) AS day_p50, count(*) AS day_n FROM fixes GROUP BY route_id, seg_seq, since_u""", ("fixes",)),
     "met": ("""SELECT f.vehicle_id, f.fix_id, f.route_id, f.seg_seq, f.speed_kmh, m.since_u, m.day_p50, m.day_n FROM fixes f ASOF LEFT JOIN day_medians m
         ON m.route_id = f.route_id AND m.seg_seq = f.seg_seq AND f.u >= m.since_u""", ("fixes", "day_medians")),
@@ -199,6 +201,7 @@ SELECTS = {
     "q_prepared_baseline": ("route_id, seg_seq, n, p10, p50, p90, n_traversals, p_stop, mean_dwell_s", "line_rows"),
     "q_zone_plateaus": ("grp, method, tol, lo, hi, n_tols", "plateaus"),
     "q_recovery_filled": ("vehicle_id, route_id, seg_seq, room, round(fill_weight, 6) AS weight, round(filled, 5) AS recovery", "filled"),
+    "q_flagship_filled": ("*", "filled_ahead"),
     "q_asof_baseline": ("*", "met"),
     "q_traversal_stream": ("vehicle_id, trip, seg_seq, u, fix_id, x", "stream_times"),
     "q_agent_resumed": ("vehicle_id, u AS last_u, route_id, seg_seq, progress, live_stopped AS stopped, ema_pct, anomaly_ms, micro_ms", "agent"),

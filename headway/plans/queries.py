@@ -308,6 +308,12 @@ def run_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.eta(recovery.propagate(recovery.allocate(plan(spark, sf_dir))))
 
 
+def q_flagship_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tick with the delay recovered by water-filling."""
+    rows = recovery.eta(recovery.propagate(recovery.water_fill(plan(spark, sf_dir))))
+    return rows.select("vehicle_id", "route_id", "seg_seq", *[F.round(c, 4).alias(c) for c in ("recovery", "delay_after", "eta_s")])
+
+
 def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_tick(spark, sf_dir).select("vehicle_id", "route_id", "cur", "seg_seq", "total_ms", "remaining_current", "recovery", "delay_after", "eta_s")
 
