@@ -84,3 +84,55 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.search(docs, bench).first()["overlaps"] == []
     assert D.search(docs.limit(0), docs.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_blocks_are_read_once_for_a_group(spark, monkeypatch):
+    import pyarrow as pa
+
+    bench = spark.createDataFrame([(i, f"item number {i} " * 6) for i in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    reads, load = [], D.pickle.loads
+    for limit, group_bytes, batches_of in ((60, D.GROUP_BYTES, 1), (60, 1, 5), (D.BLOCK_TOKENS, D.GROUP_BYTES, 5)):
+        blocks = D.Blocks(docs, bench, "item_id", limit, 1)
+        monkeypatch.setattr(D, "GROUP_BYTES", group_bytes)
+        monkeypatch.setattr(D.pickle, "loads", lambda raw: reads.append(1) or load(raw))
+        reads.clear()
+        batches = [pa.RecordBatch.from_pydict({"text": [f"some item number {i} " + f"item number {i} " * 6]}) for i in range(5)]
+        groups = list(blocks.grouped(iter(batches), 0))
+        found = {(g, k, item) for g, group in enumerate(groups) for k, _, item, _ in blocks.overlaps(D.Hasher(), group, 0)}
+        assert len(groups) == batches_of and {str(i) for i in range(5)} <= {item for _, _, item in found}
+        assert len(reads) == (1 if limit > 60 else len(blocks.shared) * batches_of)
+        monkeypatch.undo()
+
+
+def test_repeated_rows_and_null_ids_stay(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, f"a {item} b"), (1, f"a {item} b"), (None, item), (None, None), (2, "clean"), (2, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None)], "item_id long, text string")
+    found = sorted((r["doc_id"] or 0, len(r["overlaps"])) for r in D.search(docs, bench).collect())
+    assert found == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 0), (2, 0)]
+    assert sorted(r["doc_id"] or 0 for r in D.without_passages(docs, bench).collect()) == [0, 2, 2]
+
+
+def test_executors_need_not_have_the_package(tmp_path):
+    """Workers that can't import the package find the passages: only the driver's path has it."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "from headway.llm import decontaminate as D\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "item = 'one two three four five six seven eight nine ten eleven twelve thirteen'\n"
+        "docs = spark.createDataFrame([(1, item), (2, 'x')], 'doc_id long, text string')\n"
+        "bench = spark.createDataFrame([(7, item), (8, 'a b c ' * 30)], 'item_id long, text string')\n"
+        "print('FOUND', [[len(r['overlaps']) for r in D.search(docs, bench, limit=n).orderBy('doc_id').collect()] for n in (10**6, 20)])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "FOUND [[1, 0], [1, 0]]" in out.stdout, out.stderr[-2000:]
