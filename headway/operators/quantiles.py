@@ -32,7 +32,7 @@ def exact_quantiles(rows: DataFrame, keys: tuple[str, ...], value: str, levels:
     whole = Window.partitionBy(*keys)
     binned = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_in"))
     binned = binned.withColumns({"_before": F.coalesce(F.sum("_in").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_of": F.sum("_in").over(whole)})
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(levels)])
+    wanted = F.expr(f"transform(array({', '.join(f'{float(p)!r}D' for p in levels)}), (p, i) -> named_struct('i', i, 'p', p))")
     at = lambda p: (F.col("_of") - 1) * p
     # Only bins that a wanted rank falls into are looked into.
     inside = lambda first, past: lambda w: (F.floor(at(w["p"])) < past) & (F.ceil(at(w["p"])) >= first)
