@@ -53,9 +53,20 @@ def rows():
     return rows
 
 
-@pytest.mark.parametrize("hot", [3, 20_000])
-def test_equals_brute_force(spark, monkeypatch, rows, hot):
-    monkeypatch.setattr(S, "HOT", hot)
+@pytest.mark.parametrize("chunk", [1, 3, 20_000])
+def test_equals_brute_force(spark, monkeypatch, rows, chunk):
+    """Pieces of any size, a name over many of them too, give the same windows."""
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 2 if chunk < 10 else 10_000)
+    try:
+        equals_brute_force(spark, rows)
+    finally:
+        spark.conf.set(size, before)
+
+
+def equals_brute_force(spark, rows):
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, t int").repartition(6)
     found = S.repeats(docs).collect()
     assert sorted((str(r["doc_id"]), tuple((s["start"], s["end"]) for s in r["spans"])) for r in found) == plain(rows)
