@@ -1,9 +1,11 @@
 """Toxicity with noisy-channel deobfuscation.
 
-Words that look disguised (leetspeak, spaced or dotted letters, stretched
-letters), of any length, are read as a lattice of what each character may stand for, decoded
+Words that look disguised (leetspeak, letters set apart one by one or in pairs,
+dotted, doubled or stretched letters, look-alikes of other alphabets), of any
+length, are read as a lattice of what each character may stand for, decoded
 by Viterbi under a trigram character model whose counts come from all
-documents, and the restored words are scored beside the written ones.
+documents, and the restored words are scored beside the written ones.  In
+letters set apart, the strongest words that don't overlap count, once each.
 
 A word's evidence is the lower confidence bound of its log odds between toxic
 and clean training documents, taken over the word and its first 4, 5 and 6
@@ -18,6 +20,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +59,23 @@ STRETCHED = re.compile(r"(.)\1{3,}", re.S)
 #: Words without letters that are numbers, not disguised words.
 NUMBER = re.compile(r"[-+#$(<]*[0-9][0-9.,:;/+*()-]*[%$]*")
 
+#: Words of which every letter is written twice.
+DOUBLED = re.compile(r"(?:([a-z])\1){3,}")
+#: Letters of other alphabets that look like a Latin one (fixed values).
+LOOKS = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h",
+    "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "τ": "t", "υ": "u", "κ": "k",
+}
+LOOK_TABLE = str.maketrans(LOOKS | {c.upper(): x for c, x in LOOKS.items()})
+#: First bytes of these letters.
+LOOK_LEAD = np.zeros(256, bool)
+LOOK_LEAD[[0xCE, 0xCF, 0xD0, 0xD1, 0xD2, 0xD4]] = True
+#: UTF-8 of characters without width, which are taken out, and of spaces, which are read as one (fixed values).
+NO_WIDTH = [c.encode() for c in "\u00ad\u200b\u200c\u200d\u2060\ufeff"]
+SPACES = [c.encode() for c in "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u3000"]
+UNSEEN_LEAD = np.zeros(256, bool)
+UNSEEN_LEAD[[c[0] for c in NO_WIDTH + SPACES]] = True
+
 IS_CORE = np.zeros(256, bool)
 IS_CORE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 IS_LETTER = np.zeros(256, bool)
@@ -105,6 +125,28 @@ def shortened(word: str) -> str:
     return STRETCHED.sub(r"\1\1\1", word)
 
 
+def cleaned(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A step's bytes in lower case without characters of no width and with spaces of every kind as plain ones, and the offsets in them."""
+    data = LOWER[data]
+    lead = np.flatnonzero(UNSEEN_LEAD[data])
+    if not len(lead):
+        return data, offsets
+    padded = np.concatenate([data, np.zeros(2, np.uint8)])
+    code = padded[lead].astype(np.int64) << 16 | padded[lead + 1].astype(np.int64) << 8
+    wide = data[lead] >= 0xE0
+    code[wide] |= padded[lead[wide] + 2]
+    keep = np.ones(len(data), bool)
+    for chars, gone in ((NO_WIDTH, True), (SPACES, False)):
+        known = [int.from_bytes(c.ljust(3, b"\0"), "big") for c in chars]
+        at = np.isin(code, known)
+        for k in range(3):
+            keep[lead[at & (wide | (k < 2))] + k] = False
+        if not gone:
+            data[lead[at]] = 0x20
+            keep[lead[at]] = True
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
 class Decoder:
     """Reads disguised words back by Viterbi over a lattice of what their characters stand for."""
 
@@ -168,10 +210,10 @@ class Decoder:
         return "".join(reversed(out))
 
 
-def disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
-    """(row, characters) of the words, and of the runs of single letters, of a step that may be disguised; data in lower case.
+def disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[list[tuple[int, str]], list[tuple[int, str, int]]]:
+    """(index of the word, characters) of the words, and (row, characters, number of words) of the runs of single letters and pairs, of a step that may be disguised; data in lower case.
 
-    Neither has a greatest length; runs of one character are shortened to three.
+    Any white space may stand between a run's letters.  Neither has a greatest length; runs of one character are shortened to three.
     A word that ends in "$$$" is taken with it, as letters, and without it.
     """
     if not len(starts):
@@ -191,26 +233,44 @@ def disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     inner[1:] |= odd[1:] & letter[:-1]
     sums = np.concatenate([[0], np.cumsum(stretched | inner | IS_MARK[data])])
     flagged = (sums[ends] > sums[starts]) & (ends - starts >= 3)
+    twice = np.zeros(n, np.int64)
+    twice[1:] = letter[1:] & (data[1:] == data[:-1]) & (data[1:] < 128)
+    twice = np.concatenate([[0], np.cumsum(twice)])
+    flagged |= (2 * (twice[ends] - twice[np.minimum(starts + 1, n)]) >= ends - starts - 2) & (ends - starts >= 6)
+    if n and data.max() >= 128:  # letters of two alphabets
+        looks = np.concatenate([[0], np.cumsum(LOOK_LEAD[data])])
+        latin = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
+        flagged |= (looks[ends] > looks[starts]) & (latin[ends] > latin[starts]) & (ends - starts >= 3)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     out = []
     for i in np.flatnonzero(flagged).tolist():
-        word = shortened(bytes(data[starts[i] : ends[i]]).decode("utf-8", "ignore").strip(OUTSIDE))
+        word = bytes(data[starts[i] : ends[i]]).decode("utf-8", "ignore").strip(OUTSIDE)
+        like = latin_letters(word)
+        if like != word and like.isalpha() or DOUBLED.fullmatch(like):
+            out.append((i, like[::2] if DOUBLED.fullmatch(like) else like))
+        word = shortened(like)
         for w in (word, word.rstrip("$")) if word.endswith("$$$") else (word,):
             if len(w) >= 3 and may_hide(w):
-                out.append((int(row[i]), w))
+                out.append((i, w))
     spaced = []
-    single = np.flatnonzero(single_letters(data, starts, ends))
+    pair = (ends - starts == 2) & (data[starts] >= 97) & (data[starts] <= 122) & (data[ends - 1] >= 97) & (data[ends - 1] <= 122)
+    single = np.flatnonzero(pair | single_letters(data, starts, ends))
     if len(single):
-        new = np.concatenate([[True], (np.diff(single) != 1) | (row[single[1:]] != row[single[:-1]]) | (starts[single[1:]] - ends[single[:-1]] != 1)])
+        new = np.concatenate([[True], (np.diff(single) != 1) | (row[single[1:]] != row[single[:-1]])])
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(single)))
         for i, k in zip(begin[size >= 3].tolist(), size[size >= 3].tolist()):
             a, b = starts[single[i]], ends[single[i + k - 1]]
             part = data[a:b]
-            spaced.append((int(row[single[i]]), shortened(bytes(part[~IS_SPACE[part]]).decode("utf-8", "ignore"))))
+            spaced.append((int(row[single[i]]), shortened(latin_letters(bytes(part[~IS_SPACE[part]]).decode("utf-8", "ignore"))), k))
     return out, spaced
 
 
+def latin_letters(word: str) -> str:
+    """The word with look-alikes of other alphabets as Latin letters, if it holds Latin ones too."""
+    return word.translate(LOOK_TABLE) if not word.isascii() and any(c in LETTERS for c in word) else word
+
+
 def may_hide(word: str) -> bool:
     """Whether a word is worth decoding: not plain letters without a stretch, and holding letters, or leet that is no number."""
     if word.isalpha():
@@ -243,29 +303,71 @@ def hashed(hasher: Hasher, data: np.ndarray, starts: np.ndarray, ends: np.ndarra
     return np.stack(cols, axis=1)
 
 
-def features(decode: Decoder, hasher: Hasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, features) of all written and restored words of a step, and each row's number of words."""
-    data = LOWER[data]
+NONE = np.zeros(0, np.int64)
+
+
+class Readings(NamedTuple):
+    """The features from `first` on: readings of odd words, each in place of the written ones from `since` to `until`, then those of spaced runs, from `begin` to `end` of their letters."""
+
+    first: int
+    since: np.ndarray = NONE
+    until: np.ndarray = NONE
+    begin: np.ndarray = NONE
+    end: np.ndarray = NONE
+
+
+def features(decode: Decoder, hasher: Hasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Readings]:
+    """(row, features) of all written and restored words of a step, each row's number of words, and which of the features are restored."""
+    data, offsets = cleaned(data, offsets)
     starts, ends, first = word_spans(data, offsets)
     at, to, begin = spans_where(IS_CORE[data], offsets)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(begin))
     found = hashed(hasher, data, at, to)
+    words, readings = np.diff(first), Readings(len(found))
     odd, spaced = disguised(data, starts, ends, first)
-    odd, spaced = ([(r, decode(w).encode()) for r, w in part] for part in (odd, spaced))
     if odd or spaced:
-        texts = [t for _, t in odd + spaced]
+        of = np.array([i for i, _ in odd], np.int64)
+        owner = np.concatenate([np.searchsorted(first, of, "right") - 1, np.array([r for r, _, _ in spaced], np.int64)])
+        texts = [decode(w).encode() for _, w in odd] + [decode(w).encode() for _, w, _ in spaced]
         extra = np.frombuffer(b" ".join(texts), np.uint8)
         size = np.array([len(t) for t in texts])
         stop = np.cumsum(size + 1) - 1
-        begin, end, of = [stop - size], [stop], [np.array([r for r, _ in odd + spaced])]
+        lo, hi, row = [stop - size], [stop], [owner]
         # Spaced letters don't show where a word ends, so every piece of a run that is as long as a word may be one.
-        for k, (r, t) in enumerate(spaced, len(odd)):
-            edge = np.append(np.flatnonzero(np.frombuffer(t, np.uint8) & 0xC0 != 0x80), len(t)) + stop[k] - len(t)
+        for k, (r, _, n_words) in enumerate(spaced, len(odd)):
+            edge = np.append(np.flatnonzero(np.frombuffer(texts[k], np.uint8) & 0xC0 != 0x80), size[k]) + stop[k] - size[k]
+            words[r] -= n_words - max(1, min(n_words, len(edge) // 5))
             for n in range(PIECES.start, min(PIECES.stop, len(edge) - 1)):
-                begin.append(edge[:-n]), end.append(edge[n:]), of.append(np.full(len(edge) - n, r))
-        found = np.concatenate([found, hashed(hasher, extra, np.concatenate(begin), np.concatenate(end))])
-        rows = np.concatenate([rows, *of])
-    return rows, found, np.diff(first)
+                lo.append(edge[:-n]), hi.append(edge[n:]), row.append(np.full(len(edge) - n, r))
+        lo, hi = np.concatenate(lo), np.concatenate(hi)
+        readings = Readings(len(found), np.searchsorted(at, starts[of]), np.searchsorted(at, ends[of]), lo[len(odd) :], hi[len(odd) :])
+        found = np.concatenate([found, hashed(hasher, extra, lo, hi)])
+        rows = np.concatenate([rows, *row])
+    return rows, found, words, readings
+
+
+def once(strength: np.ndarray, of: Readings) -> np.ndarray:
+    """Strengths in which each word counts once.
+
+    An odd word's reading and the strongest written word in it: the stronger of
+    both.  A spaced run's overlapping words: the strongest; of equal ones the
+    shortest, then the first.
+    """
+    for k in np.flatnonzero(strength[of.first : of.first + len(of.since)] > LEAST).tolist():
+        if of.until[k] > of.since[k]:
+            written = of.since[k] + int(np.argmax(strength[of.since[k] : of.until[k]]))
+            least = min(written, of.first + k, key=lambda i: strength[i])
+            strength[least] = 0.0
+    first = of.first + len(of.since)
+    hit = np.flatnonzero(strength[first:] > LEAST)
+    if len(hit) > 1:
+        taken = np.zeros(int(of.end.max()), bool)
+        for k in hit[np.lexsort((of.begin[hit], of.end[hit] - of.begin[hit], -strength[first + hit]))].tolist():
+            if taken[of.begin[k] : of.end[k]].any():
+                strength[first + k] = 0.0
+            else:
+                taken[of.begin[k] : of.end[k]] = True
+    return strength
 
 
 def counted(model: np.ndarray):
@@ -276,7 +378,7 @@ def counted(model: np.ndarray):
         for batch in batches:
             label, half = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             for i, _, data, offsets in steps(batch.column(2)):
-                rows, found, _ = features(decode, hasher, data, offsets)
+                rows, found, _, _ = features(decode, hasher, data, offsets)
                 pair = np.empty(found.size, [("h", "<u8"), ("r", "<i8")])
                 pair["h"], pair["r"] = found.ravel(), np.repeat(rows, found.shape[1])
                 pair = np.unique(pair)
@@ -358,8 +460,8 @@ def scored_batches(model: Model):
         for batch in batches:
             out = [np.zeros(0)]
             for _, _, data, offsets in steps(batch.column(batch.num_columns - 1)):
-                rows, found, words = features(decode, hasher, data, offsets)
-                out.append(model.score(pooled(rows, strengths(found, model.known, model.weight), words)))
+                rows, found, words, readings = features(decode, hasher, data, offsets)
+                out.append(model.score(pooled(rows, once(strengths(found, model.known, model.weight), readings), words)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(out))], names=[*batch.schema.names[:-1], "score"])
 
     return run
@@ -405,9 +507,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", held: int =
         for batch in batches:
             label, half = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             for i, j, data, offsets in steps(batch.column(2)):
-                rows, found, words = features(decode, hasher, data, offsets)
+                rows, found, words, readings = features(decode, hasher, data, offsets)
                 s = np.where(half[i + rows] == 0, strengths(found, h, of[0]), strengths(found, h, of[1])) if len(rows) else np.zeros(0)
-                values = pooled(rows, s, words)
+                values = pooled(rows, once(s, readings), words)
                 yield pa.RecordBatch.from_arrays([pa.array(label[i:j]), *[pa.array(v) for v in values.T]], names=["y", *[f"x{k}" for k in range(6)]])
 
     rows = sample.mapInArrow(pool, "y long, " + ", ".join(f"x{k} double" for k in range(6))).toPandas()
@@ -433,8 +535,8 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
         for batch in batches:
             out = [np.zeros(0)]
             for _, _, data, offsets in steps(batch.column(place)):
-                rows, found, words = features(decode, hasher, data, offsets)
-                out.append(model.score(pooled(rows, strengths(found, model.known, model.weight), words)))
+                rows, found, words, readings = features(decode, hasher, data, offsets)
+                out.append(model.score(pooled(rows, once(strengths(found, model.known, model.weight), readings), words)))
             yield batch.filter(pa.array(np.concatenate(out) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

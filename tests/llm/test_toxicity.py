@@ -64,7 +64,58 @@ def test_disguises_of_any_length(spark, model):
     assert min(got[:2]) > 0.7 and max(got[2:]) < 0.3
     assert X.Decoder(model.chars)("g" + "r1v3r" * 5000 + "n") == "g" + "river" * 5000 + "n"
     _, runs = X.disguised(*spans("a s s"))
-    assert runs == [(0, "ass")]
+    assert runs == [(0, "ass", 3)]
+
+
+def apart(word, n=1, by=" "):
+    return by.join(word[k : k + n] for k in range(0, len(word), n))
+
+
+@pytest.mark.parametrize(
+    "hide",
+    [
+        apart,
+        lambda w: apart(w, 1, "  "),
+        lambda w: apart(w, 1, "\u00a0"),
+        lambda w: apart(w, 1, " \n "),
+        lambda w: apart(w, 2),
+        lambda w: apart(w, 1, "\u200b"),
+        lambda w: apart(w, 3, "\u200d"),
+        lambda w: apart(w, 4, "\u00ad"),
+        lambda w: "".join(c * 2 for c in w),
+        lambda w: w.translate(str.maketrans("aoek", "аоек")),
+        lambda w: apart(w.translate(str.maketrans("aoek", "аоек")), 1, "   "),
+        lambda w: apart(w, 1, "."),
+    ],
+)
+def test_a_disguise_scores_as_the_plain_word(spark, model, hide):
+    clean = "river garden table window summer letter music paper "
+    texts = []
+    for word in BAD:
+        texts += [clean * 2 + word + " " + clean * 2, clean * 2 + hide(word) + " " + clean * 2, clean * 4]
+    texts += [clean * 2 + hide("garden") + " " + clean * 2]
+    got = scores(spark, model, texts)
+    for k in range(len(BAD)):
+        plain, hidden, without = got[3 * k : 3 * k + 3]
+        assert abs(plain - hidden) < 0.05 and plain - without > 0.1
+    assert abs(got[-1] - got[2]) < 0.05
+
+
+def test_rows_repeated_and_without_ids(spark, model):
+    texts = [(None, "grobnak vilzort murgle river"), (1, "river"), (1, "river"), (None, None), (None, "grobnak vilzort murgle river"), (2, "")]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in texts], "doc_id long, text string, score double")
+    got = [(r["doc_id"], r["score"]) for r in X.score(docs, model).collect()]
+    assert sorted(str(i) for i, _ in got) == sorted(str(i) for i, _ in texts)
+    assert sum(s > 0.7 for _, s in got) == 2 and len({s for i, s in got if i == 1}) == 1
+    assert X.without_toxic(docs, model).count() == 4
+
+
+def test_bytes_taken_out(spark):
+    text = "a\u200bb c\u00a0d \u3000 é\u00ad日本\ufeff"
+    raw = np.frombuffer((text + text).encode(), np.uint8)
+    size = len(text.encode())
+    data, offsets = X.cleaned(raw, np.array([0, size, 2 * size]))
+    assert data.tobytes().decode() == "ab c d   é日本" * 2 and offsets.tolist() == [0, len(data) // 2, len(data)]
 
 
 def spans(text):
@@ -79,7 +130,7 @@ def test_all_alphabets_and_leet(spark, model):
     assert [decode(w) for w in ("gr0ßn4k", "v.i.é.z.o.r.t", "mééérgle")] == ["großnak", "viézort", "mérgle"]
     words, runs = X.disguised(*spans("ok gr0ßn4k @$$h0l3 5h!7 $#!7 a$$$ gr0b$$$ g r ß b é éééé mééérg 455 $45.00 12:30"))
     assert [w for _, w in words] == ["gr0ßn4k", "@$$h0l3", "5h!7", "$#!7", "a$$$", "gr0b$$$", "gr0b", "ééé", "mééérg"]
-    assert runs == [(0, "grßbé")]
+    assert runs == [(0, "grßbé", 5)]
 
 
 def test_empty_tables_and_one_class(spark):
