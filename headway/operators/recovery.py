@@ -46,14 +46,16 @@ def allocate(plan: DataFrame, weight_mode: str = "direct", cap: str | None = "q5
 
 
 def water_fill(plan: DataFrame) -> DataFrame:
-    """plan with `room`, `weight` and `recovery` in seconds: the delay above 0 shared by weight, no segment over its room, and what one can't take given on to the others.
+    """plan with `room`, `weight`, `filled` and `recovery` in seconds: the delay above 0 shared by weight, no segment over its room, and what one can't take given on to the others.
 
     A segment's room is what it may be driven faster than its median, p50 - p10.
     Its weight grows with the room and with the time that stops take there, room *
     (1 + p_stop * mean_dwell_s).  All segments rise together, recovery = level *
     weight, until they are full; the level at which the delay is used up follows
     from the segments in the order in which they fill.  So the recoveries' sum is
-    the delay or all the room there is, whichever is less.
+    the delay or all the room there is, whichever is less.  `filled` is the
+    recovery before its rounding to 6 places: who wants fewer rounds that one, as
+    rounding twice takes values just under a half up.
     """
     room = F.greatest(F.lit(0.0), F.col("p50") - F.col("p10"))
     out = plan.withColumn("room", F.round(room, 6)).withColumn("weight", F.col("room") * (1 + F.col("p_stop") * F.col("mean_dwell_s")))
@@ -67,7 +69,7 @@ def water_fill(plan: DataFrame) -> DataFrame:
     level = F.max(F.when(F.col("_level") <= F.col("_full"), F.col("_level"))).over(w)
     out = out.withColumn("_level", level)
     share = F.when(F.col("_level").isNull(), F.col("room")).otherwise(F.least("room", F.greatest(F.lit(0.0), F.col("_level") * F.col("weight"))))
-    return out.withColumn("recovery", F.round(share, 6)).drop("_full", "_level")
+    return out.withColumn("filled", share).withColumn("recovery", F.round("filled", 6)).drop("_full", "_level")
 
 
 def propagate(plan: DataFrame) -> DataFrame:

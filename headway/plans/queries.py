@@ -257,7 +257,7 @@ def q_recovery_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_recovery_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovery by water-filling: all of the delay that the segments' room can take."""
-    return recovery.water_fill(plan(spark, sf_dir)).select("vehicle_id", "route_id", "seg_seq", "room", F.round("weight", 6).alias("weight"), F.round("recovery", 5).alias("recovery"))
+    return recovery.water_fill(plan(spark, sf_dir)).select("vehicle_id", "route_id", "seg_seq", "room", F.round("weight", 6).alias("weight"), F.round("filled", 5).alias("recovery"))
 
 
 def q_delay_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,7 +311,7 @@ def run_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_flagship_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same tick with the delay recovered by water-filling."""
     rows = recovery.eta(recovery.propagate(recovery.water_fill(plan(spark, sf_dir))))
-    return rows.select("vehicle_id", "route_id", "seg_seq", *[F.round(c, 4).alias(c) for c in ("recovery", "delay_after", "eta_s")])
+    return rows.select("vehicle_id", "route_id", "seg_seq", F.round("filled", 4).alias("recovery"), *[F.round(c, 4).alias(c) for c in ("delay_after", "eta_s")])
 
 
 def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
