@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group that pairs with five-word shingles at similarity 0.8 or more join."""
+    """One document, that of least id, of each group that pairs with five-word shingles at similarity 0.8 or more join: SimHash and BK-trees first, MinHash for what they can't reach, all pairs compared exactly."""
     return simhash.one_of_each(docs, nearcopies.near_copies(docs))
 
 

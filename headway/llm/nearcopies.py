@@ -1,9 +1,12 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-At that similarity SimHash fingerprints differ in about 10 of 64 bits on average
-and in 18 at times, more than equal blocks of a fingerprint can make certain.
-So texts meet by MinHash instead: of 32 bands of four minima a pair at 0.8
-shares one with all but 5e-8 probability, a more similar pair all the more.
+Texts meet by SimHash first: fingerprints over the same shingles that differ in
+two bits at most are found by `simhash`'s BK-trees, and the pairs that they give
+are compared by their exact sets.  At a similarity of 0.8 fingerprints differ in
+about 10 of 64 bits, more than equal blocks can make certain, so what is not yet
+one class meets by MinHash: of 32 bands of four minima a pair at 0.8 shares one
+with all but 5e-8 probability, a more similar pair all the more.  Bands whose
+texts SimHash has joined already are not looked into.
 
 A band's texts meet in one task with their sets, groups of the same texts once,
 and each group sends on a link of exactly compared texts for every two classes
@@ -21,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import materialize, mix, partitions, steps, text_of
-from .simhash import components, shingles
+from .simhash import components, links, majority, shingles
 
 WORDS = 5
 #: Similarity from which texts are near copies, as a fraction of whole numbers.
@@ -52,6 +55,11 @@ def names_of(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(values[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist())], np.uint64)
 
 
+def fingerprints_of(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SimHash fingerprint of each row's set."""
+    return majority(np.repeat(np.arange(len(first) - 1), np.diff(first)), values, len(first) - 1)
+
+
 def bands_of(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """BANDS keys for each row's set."""
     out = np.zeros((len(first) - 1, BANDS), np.uint64)
@@ -67,18 +75,18 @@ def listed(values: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, id_col: str) -> DataFrame:
-    """(id, h, name, n, bands) of every row, h being XXH64 of the text and n the size of its shingle set; null text counts as empty."""
+    """(id, h, name, n, fp, bands) of every row, h being XXH64 of the text, n the size of its shingle set and fp the set's SimHash; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in steps(batch.column(2)):
                 values, first = sets_of(data, offsets)
                 bands = listed(bands_of(values, first).ravel(), np.arange(j - i + 1) * BANDS)
-                cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(names_of(values, first).view(np.int64)), pa.array(np.diff(first)), bands]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "name", "n", "bands"])
+                cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(names_of(values, first).view(np.int64)), pa.array(np.diff(first)), pa.array(fingerprints_of(values, first).view(np.int64)), bands]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "name", "n", "fp", "bands"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
-    return chosen.mapInArrow(run, T.StructType([chosen.schema["id"], *T.StructType.fromDDL("h long, name long, n long, bands array<long>").fields]))
+    return chosen.mapInArrow(run, T.StructType([chosen.schema["id"], *T.StructType.fromDDL("h long, name long, n long, fp long, bands array<long>").fields]))
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +160,24 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of([of(held)])
 
 
+def simhash_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): names of texts to compare, those that BK-trees link by fingerprints within two bits, and neighbours by name of one fingerprint."""
+    some = texts.filter("n > 0").select("name", "fp")
+    firsts = materialize(some.groupBy("fp").agg(F.min("name").alias("first")), "firsts")
+    side = lambda end, name: firsts.select(F.col("fp").alias(end), F.col("first").alias(name))
+    across = links(firsts.select("fp")).withColumnsRenamed({"a": "p", "b": "q"}).join(side("p", "a"), "p").join(side("q", "b"), "q").select("a", "b")
+    same = some.select("name", F.lag("name").over(Window.partitionBy("fp").orderBy("name")).alias("b")).filter("b is not null").select(F.col("name").alias("a"), "b")
+    return across.unionByName(same)
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of names whose sets are similar, compared exactly."""
+    p, q = SIMILAR
+    side = lambda end: sets.select(F.col("name").alias(end), F.col("shingles").alias(f"of_{end}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    return rows.filter(F.size(F.array_intersect("of_a", "of_b")) * (p + q) >= p * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+
+
 def groups_of(texts: DataFrame) -> DataFrame:
     """(key, total, parts): bands' keys of several texts, one for all groups of the same texts, and the shingles of the group."""
     members = texts.filter("n > 0").select("name", "n", F.explode("bands").alias("key"))
@@ -172,18 +198,26 @@ def part_of(name: str, parts: Column) -> Column:
 
 
 def near_links(docs: DataFrame, texts: DataFrame, id_col: str) -> DataFrame:
-    """(v, label): for every text (name, n, least id and hash, bands) with a near copy, the least name that pairs of near copies reach."""
+    """(v, label): for every text (name, n, fp, least id and hash, bands) with a near copy, the least name that pairs of near copies reach."""
     groups = materialize(groups_of(texts), "groups")
     members = texts.filter("n > 0").select("name", "n", F.explode("bands").alias("key")).join(groups, "key")
     members = materialize(members.select("key", "parts", "name", "n", part_of("name", F.col("parts")).alias("part")), "members")
+    pairs = materialize(simhash_pairs(texts), "pairs")
     # The row of least id stands for the copies of a text, which don't meet then.
-    wanted = texts.join(members.select("name").distinct(), "name", "left_semi").select(F.col("least.id").alias("least_id"), F.col("least.h").alias("least_h"))
+    met = members.select("name").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = texts.join(met, "name", "left_semi").select(F.col("least.id").alias("least_id"), F.col("least.h").alias("least_h"))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
     chosen = rows.join(wanted, rows["id"].eqNullSafe(wanted["least_id"]) & (rows["h"] == wanted["least_h"]), "left_semi").dropDuplicates(["h"])
     sets = materialize(chosen.select("text").mapInArrow(shingle_sets, "name long, shingles array<long>"), "sets")
+    sure = materialize(similar(pairs, sets), "sure")
+    known = components(sure)
+    members = members.join(known, members["name"] == known["v"], "left").withColumn("label", F.coalesce("label", "name")).drop("v")
+    several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    members = materialize(members.join(several, "key", "left_semi"), "open")
     zero, yes = F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("pivot")
-    edges = materialize(dealt(members.select("key", "part", zero, yes, "name", F.col("name").alias("label")), sets).distinct(), "edges")
+    edges = materialize(dealt(members.select("key", "part", zero, yes, "name", "label"), sets).union(sure).distinct(), "edges")
     labels = components(edges)
+    members = members.drop("label")
     split = members.filter("parts > 1")
     if split.isEmpty():
         return labels
@@ -206,7 +240,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     found = materialize(signatures(docs, id_col), "signatures")
     least = F.coalesce(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))), F.min(F.struct("id", "h")))
-    texts = materialize(found.groupBy("name").agg(least.alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
+    texts = materialize(found.groupBy("name").agg(least.alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
     labels = near_links(docs, texts, id_col)
     named = materialize(texts.join(labels, texts["name"] == labels["v"], "left").select("name", F.col("least.id").alias("least_id"), F.coalesce("label", "name").alias("label")), "named")
     smallest = named.groupBy("label").agg(F.min("least_id").alias("component"))

@@ -64,7 +64,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, seed: in
 
 def simhash(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, seed: int = SEED) -> np.ndarray:
     """Fingerprint (uint64) of each row of a step of text."""
-    (owner, values), rows = shingles(data, offsets, words, seed), len(offsets) - 1
+    return majority(*shingles(data, offsets, words, seed), len(offsets) - 1)
+
+
+def majority(owner: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Fingerprint (uint64) of each of so many rows from hashes with their rows, a row's hashes standing together."""
     ones, total = np.zeros((rows, 64), np.int64), np.bincount(owner, minlength=rows)
     for i in range(0, len(values), PIECE):
         own = owner[i : i + PIECE]

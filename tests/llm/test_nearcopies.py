@@ -87,3 +87,26 @@ def joined(n, pairs):
 
 def test_empty_table(spark):
     assert N.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_simhash_joins_what_it_reaches_without_minhash(spark, monkeypatch):
+    """With no band looked into, BK-trees over fingerprints within two bits join near copies; texts of one fingerprint that aren't similar stay apart."""
+    groups_of = N.groups_of
+    monkeypatch.setattr(N, "groups_of", lambda texts: groups_of(texts).filter("false"))
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(20):
+        base = [f"w{i}" for i in rng.integers(0, 9000, 1500)]
+        texts += [" ".join(base), " ".join([*base, "one", "more"]), " ".join([*base[:700], "changed", *base[701:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = N.signatures(docs, "doc_id").collect()
+    fp = {r["id"]: r["fp"] & (2**64 - 1) for r in found}
+    reached = [(i, j) for i in fp for j in range(i // 3 * 3, i) if (fp[i] ^ fp[j]).bit_count() <= 2]
+    assert len(reached) > 10
+    got = {r["doc_id"]: r["component"] for r in N.near_copies(docs).collect()}
+    assert got == dict(enumerate(joined(len(texts), reached)))
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4]), (3, [1, 2, 3, 9])], "name long, shingles array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 2)], "a long, b long")
+    assert [tuple(r) for r in N.similar(pairs, sets).collect()] == [(1, 2)]
+    texts = spark.createDataFrame([(n, 5, 7) for n in (1, 2, 3)], "name long, n long, fp long")
+    assert sorted(map(tuple, N.simhash_pairs(texts).collect())) == [(2, 1), (3, 2)]
