@@ -176,3 +176,25 @@ def test_the_stream_goes_on_from_the_batch_twins_state(spark, tmp_path):
     cols = ["vehicle_id", "u", "seg_seq", "stopped", F.round("ema_pct", 5).alias("e"), "anomaly_ms", "micro_ms"]
     got, want = (sorted(map(tuple, rows.select(cols).collect())) for rows in (spark.read.parquet(f"{tmp_path}/out"), batch(rows)))
     assert got == want
+
+
+def test_vehicles_of_one_bucket_share_a_key_and_nothing_else(spark, tmp_path, segments):
+    """A bus, another of its bucket that is parked and forgotten, and one of the next bucket; the state has a key for each bucket."""
+    from headway.streaming.buckets import BUCKETS
+
+    place, other = str(tmp_path), 1 + BUCKETS
+    parts = [
+        [(v, t, 30.0, (8.0 + v % 3) * t) for v in (1, 2, other) for t in range(0, 200, 20)],
+        [(v, 3600 * 30 + t, 30.0, 8.0 * t) for v in (1, 2) for t in range(0, 200, 20)],
+        [(v, 3600 * 30 + 1200, 0.0, 1900.0) for v in (1, 2)],
+    ]
+    for i, part in enumerate(parts):
+        land(spark, f"{place}/in", landed(spark, part, 1000 * i))
+        agent.run(traversal.traversals(src.read_fixes(spark, f"{place}/in", streaming=True), segments), agent.landing(f"{place}/out"), f"{place}/cp")
+    rows = spark.read.parquet(f"{place}/out").filter("kind = 'whole'").collect()
+    got = sorted((r["vehicle_id"], r["seg_seq"], r["x"]) for r in rows if r["u"] < (DAY + datetime.timedelta(hours=1)).timestamp() * 1e6)
+    want = sorted((v, k, m / (8.0 + v % 3)) for v in (1, 2, other) for k, m in enumerate(LENGTHS) if sum(LENGTHS[: k + 1]) <= (8.0 + v % 3) * 180)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
+    store = spark.read.format("statestore").option("stateVarName", "trip").load(f"{place}/cp")
+    found = store.selectExpr("key", "explode_outer(list_element)" if dict(store.dtypes).get("list_element", "").startswith("array") else "list_element as col")
+    assert sorted((r["key"][0], r["col"]["vehicle_id"]) for r in found.collect()) == [(1, 1), (2, 2)]
