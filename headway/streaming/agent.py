@@ -26,6 +26,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from headway.functions.scalars import HI, LO
 from headway.operators import delay, quantiles, recovery, stops
 from headway.sources import fixes as src
+from headway.streaming.buckets import bucket, listed, number
 
 STATE = "u bigint, fix_id bigint, route_id string, seg_seq int, stopped int, ema_pct double, anomaly_ms bigint, micro_ms bigint, progress double, late bigint, skipped bigint, now_u bigint, now_pct double, pending_ms bigint"
 OUT = f"vehicle_id bigint, {STATE}"
@@ -39,13 +40,13 @@ def half_up(x: float, places: int) -> float:
 
 
 class BusAgent(StatefulProcessor):
-    """Folds a vehicle's new samples, in order of time, into its state, and emits the state after each micro-batch."""
+    """Folds the new samples of a bucket's vehicles (`buckets`), in order of time, into their states, and emits the state of each that has some after each micro-batch."""
 
     def __init__(self, lo: int = LO, hi: int = HI, alpha: float = delay.ALPHA, enter: float = stops.ENTER, exit_: float = stops.EXIT):
         self.lo, self.hi, self.alpha, self.enter, self.exit_ = lo, hi, alpha, enter, exit_
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("agent", STATE)
+        self.state = handle.getListState("agent", OUT)
 
     def step(self, s: dict, r) -> dict:
         """The state after one fix with its segment's quantiles q, raw_pct and progress; pandas reads nulls as NaN or None."""
@@ -86,21 +87,24 @@ class BusAgent(StatefulProcessor):
         }
 
     def handleInitialState(self, key, initial: pd.DataFrame, timerValues) -> None:
-        """Begin from a state of the batch twin (columns of STATE; absent ones are as in a new state)."""
-        row = {k: v for k, v in initial.iloc[0].to_dict().items() if k in FIELDS and not (v is None or v != v)}
+        """Begin from states of the batch twin (columns of STATE; absent ones are as in a new state)."""
         whole = [f.split()[0] for f in STATE.split(", ") if f.split()[1] in ("bigint", "int")]
-        self.state.update(tuple((self.new() | {k: int(v) if k in whole else v for k, v in row.items()})[f] for f in FIELDS))
+        rows = []
+        for given in initial.to_dict("records"):
+            row = {k: int(v) if k in whole else v for k, v in given.items() if k in FIELDS and not (v is None or v != v)}
+            rows.append((number(given["vehicle_id"]), *((self.new() | row)[f] for f in FIELDS)))
+        self.state.appendList(rows)
 
     def new(self) -> dict:
         return dict.fromkeys(FIELDS) | {"stopped": 0, "anomaly_ms": 0, "micro_ms": 0, "late": 0, "skipped": 0, "pending_ms": 0}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.state.get() if self.state.exists() else None
-        s = dict(zip(FIELDS, old)) if old else self.new()
+        states, new = listed(self.state, FIELDS), {}
         for r in pd.concat(list(rows)).sort_values(["u", "kind", "fix_id"], kind="stable").itertuples():
-            s = self.step(s, r)
-        self.state.update(tuple(s[f] for f in FIELDS))
-        yield pd.DataFrame([{"vehicle_id": key[0], **s}], columns=["vehicle_id", *FIELDS])
+            n = number(r.vehicle_id)
+            states[n] = new[n] = self.step(states.get(n) or self.new(), r)
+        self.state.put([(n, *(s[f] for f in FIELDS)) for n, s in states.items()])
+        yield pd.DataFrame([{"vehicle_id": n, **s} for n, s in new.items()], columns=["vehicle_id", *FIELDS])
 
     def close(self) -> None:
         pass
@@ -120,9 +124,9 @@ def agent_stream(live: DataFrame, baseline: DataFrame, agent: BusAgent | None =
     rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in SAMPLE.items() if c not in rows.columns}).withColumn("kind", F.coalesce("kind", F.lit("whole")))
     # Of samples of one time, a segment that ended comes before the one entered.
     rows = rows.withColumn("kind", F.when(F.col("kind") == "now", "now").otherwise("a whole"))
-    rows = rows.select("vehicle_id", "fix_id", "u", "route_id", "seg_seq", "x", "q", "raw_pct", *SAMPLE)
-    grouped = initial.groupBy("vehicle_id") if initial is not None else None
-    return rows.groupBy("vehicle_id").transformWithStateInPandas(agent, outputStructType=OUT, outputMode="Update", timeMode="None", initialState=grouped)
+    rows = rows.select("vehicle_id", "fix_id", "u", "route_id", "seg_seq", "x", "q", "raw_pct", *SAMPLE, bucket())
+    grouped = initial.withColumn("bucket", bucket()).groupBy("bucket") if initial is not None else None
+    return rows.groupBy("bucket").transformWithStateInPandas(agent, outputStructType=OUT, outputMode="Update", timeMode="None", initialState=grouped)
 
 
 def live_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
