@@ -159,20 +159,23 @@ def fit_autoencoder(windows: DataFrame, hidden: int = 16, epochs: int = 20, seed
 
 
 def reconstruction_mse(windows: DataFrame, model: Autoencoder) -> DataFrame:
-    """windows with `mse`, the autoencoder's error in units of the training variance."""
+    """windows with `mse`, the autoencoder's error in units of the training variance; null where `xs` is."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for xs in batches:
-            yield pd.Series(model.mse(np.stack(xs.to_list()).astype(float)) if len(xs) else [], dtype=float)
+            known, errors = xs[xs.notna()], pd.Series(np.nan, index=xs.index, dtype=float)
+            if len(known):
+                errors[known.index] = model.mse(np.stack(known.to_list()).astype(float))
+            yield errors
 
     return windows.withColumn("mse", score("xs"))
 
 
 def threshold(scored: DataFrame, level: float = 0.99, exact: bool = True) -> DataFrame:
-    """One row (cut): the quantile of the errors, rounded to 6 places; exact=False takes a sketch within one in 10,000 of the rank."""
+    """One row (cut): the quantile of the errors, rounded to 6 places; scored is read twice, so it should be stored; exact=False takes a sketch within one in 10,000 of the rank."""
     if exact:
-        return exact_quantiles(scored, (), "mse", [level]).select(F.round(F.get("q", F.lit(0)), 6).alias("cut"))
+        return exact_quantiles(scored, (), "mse", [level], stored=True).select(F.round(F.get("q", F.lit(0)), 6).alias("cut"))
     return scored.agg(F.round(F.percentile_approx("mse", F.lit(level), F.lit(10_000)), 6).alias("cut"))
 
 
@@ -182,6 +185,11 @@ def reject(fixes: DataFrame, scored: DataFrame, cut: DataFrame) -> DataFrame:
     return fixes.join(bad, ["vehicle_id", "fix_id"], "left_anti")
 
 
+def above(scored: DataFrame, cut: DataFrame, kept: bool = False) -> DataFrame:
+    """The rows of scored whose error is above the cut; kept: those whose isn't, unknown errors among them."""
+    return scored.join(F.broadcast(cut), F.col("mse") > F.col("cut"), "left_anti" if kept else "left_semi")
+
+
 def fix_windows(moved: DataFrame, half: int = HALF, distance: str = "dist_m") -> DataFrame:
     """moved (travel.with_trips) with `steps`, the vectors (speed, displacement), in metres per second, of the fixes up to `half` before and after on the same trip, and `_place`, the fix's own place among them.
 

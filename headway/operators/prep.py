@@ -57,10 +57,11 @@ def resample_linear(fixes: DataFrame, step_s: int = 5, value: str = "speed_kmh",
     return resample_columns(fixes, step_s, (value,), max_gap_s=max_gap_s).withColumnRenamed(value, "value")
 
 
-def sequence_windows(series: DataFrame, length: int = LENGTH, value: str = "speed_kmh", stride: int = 1) -> DataFrame:
-    """series with `xs`, the last `length` values in order, for rows that have so many; every stride-th of a vehicle's."""
+def sequence_windows(series: DataFrame, length: int = LENGTH, value: str = "speed_kmh", stride: int = 1, short: bool = False) -> DataFrame:
+    """series with `xs`, the last `length` values in order, for rows that have so many; every stride-th of a vehicle's.  short: the other rows stay too, with a null."""
     w = by_vehicle()
-    out = series.withColumn("xs", F.collect_list(value).over(w.rowsBetween(-(length - 1), 0))).filter(F.size("xs") == length)
+    out, whole = series.withColumn("xs", F.collect_list(value).over(w.rowsBetween(-(length - 1), 0))), F.size("xs") == length
+    out = out.withColumn("xs", F.when(whole, F.col("xs"))) if short else out.filter(whole)
     return out if stride == 1 else out.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") - 1) % stride == 0).drop("_n")
 
 
@@ -68,3 +69,14 @@ def persistence_mse(windows: DataFrame) -> DataFrame:
     """windows with `mse`, the error of the reconstruction that repeats the previous value."""
     n = F.size("xs")
     return windows.withColumn("mse", mse(F.slice("xs", F.lit(2), n - 1), F.slice("xs", F.lit(1), n - 1)))
+
+
+def persistence_error(series: DataFrame, length: int = LENGTH, value: str = "speed_kmh") -> DataFrame:
+    """series, whole, with `mse` as persistence_mse has it for its windows, to the last bit; null for rows that end none.  No row holds its window."""
+    w = by_vehicle()
+    step = F.col(value) - F.lag(value).over(w)
+    rows = series.withColumn("_step", step).withColumn("_square", F.col("_step") * F.col("_step"))
+    # A step is known where both its values are, so length - 1 known steps are a window.
+    last, n = w.rowsBetween(-(length - 2), 0), length - 1
+    error = F.when(F.count("_square").over(last) == n, F.sum("_square").over(last) / n)
+    return rows.withColumn("mse", error).drop("_step", "_square")

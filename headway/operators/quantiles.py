@@ -17,20 +17,23 @@ def normalize(samples: DataFrame, keys: tuple[str, ...] = ("vehicle_id", "time_b
     return samples.withColumn("pct", 100 * F.percent_rank().over(Window.partitionBy(*keys).orderBy(value)))
 
 
-def exact_quantiles(rows: DataFrame, keys: tuple[str, ...], value: str, levels: list[float]) -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: tuple[str, ...], value: str, levels: list[float], stored: bool = False) -> DataFrame:
     """(keys, n, q): for each group its number of values and the quantiles at the levels, linear between neighbours; nulls and NaN don't count.
 
     No task holds a group: equal values are counted, dealt into bins of about
     half a percent of their size, and the ranks of a level are looked up in
-    their bins by running counts.  Groups without values are left out.
+    their bins by running counts.  Groups without values are left out.  stored:
+    rows are cheap to read, so they are read twice, first for the bins' counts and
+    then for the values of the bins that a level's rank falls into, and no others
+    are shuffled.  That pays for few levels.
     """
     x = F.col(value).cast("double")
     usable = rows.filter(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias("_v"))
     size = F.signum("_v") * F.log1p(F.abs("_v")) * BINS
     usable = usable.withColumn("_b", F.floor(F.greatest(F.least(size, F.lit(1e9)), F.lit(-1e9))))
-    counted = usable.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    each = lambda found: found.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*keys)
-    binned = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_in"))
+    binned = usable.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_in")) if stored else each(usable).groupBy(*keys, "_b").agg(F.sum("_n").alias("_in"))
     binned = binned.withColumns({"_before": F.coalesce(F.sum("_in").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_of": F.sum("_in").over(whole)})
     wanted = F.expr(f"transform(array({', '.join(f'{float(p)!r}D' for p in levels)}), (p, i) -> named_struct('i', i, 'p', p))")
     at = lambda p: (F.col("_of") - 1) * p
@@ -41,6 +44,7 @@ def exact_quantiles(rows: DataFrame, keys: tuple[str, ...], value: str, levels:
     same = F.col("_b") == F.col("_bin")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    counted = each(usable.join(F.broadcast(binned), same, "left_semi") if stored else usable)
     run = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counted.join(binned, same).withColumn("_to", F.col("_before") + run).withColumn("_from", F.col("_to") - F.col("_n"))
     found = ranked.select(*keys, "_v", "_from", "_to", "_of", F.explode(F.filter("_wanted", inside(F.col("_from"), F.col("_to")))).alias("w"))

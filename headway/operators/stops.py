@@ -21,17 +21,19 @@ def stop_state(series: DataFrame, enter=ENTER, exit_=EXIT, keys: tuple[str, ...]
     return series.withColumn("stopped", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0)))
 
 
-def stop_episodes(states: DataFrame, keys: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:
-    """Maximal runs of state 1: (keys, enter_u, enter_fix_id, exit_u, dwell_s, n_fixes).  A run ends at the next fix after it, or at its last one when data ends."""
+def stop_episodes(states: DataFrame, keys: tuple[str, ...] = ("vehicle_id",), entry: tuple[str, ...] = ()) -> DataFrame:
+    """Maximal runs of state 1: (keys, enter_u, enter_fix_id, exit_u, n_fixes, entry, dwell_s).  A run ends at the next fix after it, or at its last one when data ends.  entry: columns of the fix that begins it."""
     w = Window.partitionBy(*keys).orderBy(*ORDER)
     change = F.when(F.col("stopped") != F.coalesce(F.lag("stopped").over(w), F.lit(0)), 1).otherwise(0)
     runs = states.withColumn("_next", F.lead("u").over(w)).withColumn("_change", change)
     runs = runs.withColumn("_run", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = lambda c: F.first(F.when(F.col("_change") == 1, F.col(c)), ignorenulls=True)
     out = runs.filter("stopped = 1").groupBy(*keys, "_run").agg(
         F.min("u").alias("enter_u"),
-        F.min_by("fix_id", F.struct(*ORDER)).alias("enter_fix_id"),
+        first("fix_id").alias("enter_fix_id"),
         F.max(F.coalesce("_next", "u")).alias("exit_u"),
         F.count(F.lit(1)).alias("n_fixes"),
+        *[first(c).alias(c) for c in entry],
     )
     return out.withColumn("dwell_s", (F.col("exit_u") - F.col("enter_u")) / 1e6).drop("_run")
 

@@ -63,7 +63,8 @@ def q_seq_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.persistence_mse(windows(spark, sf_dir)).withColumn("mse", F.round("mse", 4))
+    rows = base(spark, sf_dir).select("vehicle_id", "fix_id", "u", "speed_kmh", "history")
+    return prep.persistence_error(rows).filter("mse is not null").withColumn("mse", F.round("mse", 4))
 
 
 def q_mse_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,8 +276,8 @@ def q_eta_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_prepared_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five preparation stages over the adapter's reports as one line of ten segments; rejection by the persistence error, which SQL can check."""
-    fixes = src.line_fixes(base(spark, sf_dir))
-    found = prepared.prepare(fixes, src.line_segments(spark), STEP_S, REJECT, lambda w: prep.persistence_mse(w).withColumn("mse", F.round("mse", 4)), clean=None)
+    fixes = src.line_fixes(src.dealt(base(spark, sf_dir)))
+    found = prepared.prepare(fixes, src.line_segments(spark), STEP_S, REJECT, lambda w: prep.persistence_error(w).withColumn("mse", F.round("mse", 4)), clean=None)
     return found.baseline.drop("q").join(found.stats, ["route_id", "seg_seq"])
 
 

@@ -45,6 +45,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(fixes: DataFrame) -> DataFrame:
+    """fixes by vehicle over all shuffle partitions: a fix that becomes many rows does so where it lies, so the fixes' own size mustn't make them fewer."""
+    return fixes.repartition(int(fixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "vehicle_id")
+
+
 def read_fixes(spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None) -> DataFrame:
     """Landed position reports (FIXES), with `u`, their time in microseconds; a stream takes at most max_files files into a micro-batch."""
     reader = spark.readStream if streaming else spark.read

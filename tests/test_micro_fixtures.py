@@ -223,6 +223,40 @@ def test_five_stages_reach_a_baseline(spark, segments, model):
     assert {r["seg_seq"]: (r["n_traversals"], r["p_stop"], r["mean_dwell_s"]) for r in found.stats.collect()} == {0: (12, 0.0, 0.0), 1: (12, 1.0, 18.0), 2: (11, 0.0, 0.0)}
 
 
+def test_persistence_error_equals_that_of_the_windows(spark):
+    """To the last bit, with nulls, NaN, equal times, and vehicles of fewer values than a window."""
+    import random
+
+    rng = random.Random(4)
+    draw = lambda: rng.choice([None, float("nan"), 0.0, *[rng.expovariate(0.02)] * 40])
+    rows = [(v, i, i // 2, draw()) for v in range(9) for i in range(v * 6)]
+    series = spark.createDataFrame(rows, "vehicle_id long, fix_id long, u long, speed_kmh double").repartition(3)
+    known = lambda found: sorted((r["vehicle_id"], r["fix_id"], repr(r["mse"])) for r in found.collect() if r["mse"] is not None)
+    found = prep.persistence_error(series)
+    assert known(found) == known(prep.persistence_mse(prep.sequence_windows(series))) != []
+    assert known(found) == known(prep.persistence_mse(prep.sequence_windows(series, short=True)))
+    assert found.count() == len(rows)
+
+
+def test_quantiles_of_stored_rows_are_the_same(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), 0.0, -0.0, 7.0, -1e300, *[round(rng.gauss(0, 90), 1)] * 60])) for _ in range(3000)]
+    table = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    for keys, levels in (((), [0.99]), (("g",), [0.0, 0.37, 0.5, 1.0])):
+        of = lambda stored: sorted(map(repr, quantiles.exact_quantiles(table, keys, "x", levels, stored=stored).collect()))  # noqa: E731, B023
+        assert of(True) == of(False) != []
+
+
+def test_series_without_a_window_lose_no_point(spark, segments):
+    """No error, no cut: every point of the grid and every travel time stays."""
+    rows = [(v, t, 36, 10 * t) for v in range(3) for t in range(0, 12, 2)]
+    found = prepared.prepare(landed(spark, rows), segments, 1, 0.99, prep.persistence_error, clean=None)
+    assert sorted((r["vehicle_id"], r["dist_m"]) for r in found.grid.collect()) == [(v, 10.0 * t) for v in range(3) for t in range(10)]
+    assert [(r["seg_seq"], r["n"]) for r in found.baseline.collect()] == [(0, 3)]
+
+
 def test_no_shared_folder_is_an_error_on_a_cluster(monkeypatch):
     class Conf:
         def get(self, name, other=None):

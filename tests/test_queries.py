@@ -102,6 +102,17 @@ def test_one_baseline_and_no_job_while_a_plan_is_built(spark):
     assert exchanges(QUERIES["q_flagship"](spark, SF)) <= 10
 
 
+def test_prepared_points_are_shuffled_once(spark):
+    """The points that rejection leaves are read with their errors, without a join, and only the stops shuffle them; no row holds its window."""
+    from headway.operators import prep
+    from headway.plans import prepared, queries
+    from headway.sources import fixes as src
+
+    found = prepared.prepare(src.line_fixes(queries.base(spark, SF)), src.line_segments(spark), queries.STEP_S, queries.REJECT, prep.persistence_error, clean=None)
+    assert exchanges(found.grid) == 0 and exchanges(found.episodes) == 1
+    assert "collect_list" not in queries.persistence(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["q_route_filter"](spark, SF)._jdf.queryExecution().toString()
     scan = plan[plan.rindex("FileScan") :]
